@@ -29,6 +29,7 @@ import numpy as np
 from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,9 +50,14 @@ def with_split(df: DataFrame, key: str = "house_id") -> DataFrame:
         .withColumn("fold", _md5_byte(F.col(key), 3) % N_FOLDS)
 
 
+_EXPONENTS: dict[tuple[int, int], list[tuple[int, ...]]] = {}
+
+
 def poly_exponents(spark: SparkSession, n_inputs: int, degree: int) -> list[tuple[int, ...]]:
     """Exponent tuple of every term of Spark's ``PolynomialExpansion``, in its
     output order (found by expanding distinct primes and factorising)."""
+    if (n_inputs, degree) in _EXPONENTS:
+        return _EXPONENTS[(n_inputs, degree)]
     primes = [2, 3, 5, 7, 11, 13, 17, 19, 23, 29][:n_inputs]
     df = spark.createDataFrame([tuple(float(p) for p in primes)], [f"x{i}" for i in range(n_inputs)])
     vec = VectorAssembler(inputCols=df.columns, outputCol="v").transform(df)
@@ -68,6 +74,7 @@ def poly_exponents(spark: SparkSession, n_inputs: int, degree: int) -> list[tupl
                 k += 1
             e.append(k)
         exps.append(tuple(e))
+    _EXPONENTS[(n_inputs, degree)] = exps
     return exps
 
 
@@ -246,11 +253,18 @@ def fit(train: DataFrame, inputs: list[str] = INPUTS, degree: int = 5, alphas=AL
     cond = F.col(target).isNotNull()
     for c in inputs:
         cond = cond & F.col(c).isNotNull()
-    train = train.filter(cond)
     exps = poly_exponents(spark, len(inputs), degree) if degree > 1 else \
         [tuple(1 if j == i else 0 for j in range(len(inputs))) for i in range(len(inputs))]
-    center, scale = prescale(train, inputs, degree)
-    grams = fold_grams(train, inputs, degree, exps, center, scale, target)
+    # The two passes (pre-scaling, Gram) read the same narrow projection: keep
+    # it (memory, spilling to disk) for the duration of the fit only.
+    train = train.filter(cond).select(*[F.col(c).cast("double") for c in inputs],
+                                      F.col(target).cast("double").alias(target), "fold") \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        center, scale = prescale(train, inputs, degree)
+        grams = fold_grams(train, inputs, degree, exps, center, scale, target)
+    finally:
+        train.unpersist()
     if alpha is None:
         alpha, cv = grid_search(grams, alphas)
     else:
