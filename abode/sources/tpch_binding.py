@@ -17,7 +17,7 @@ from abode.schema import (
     DIRECTIONS, RAW_COLUMNS, STATUS_PENDING, STATUS_PROCESSING, STATUS_SELLING,
     STATUS_SOLD, STATUSES,
 )
-from abode.session import table_path
+from abode.session import checkpoint_dir, table_path
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,9 +37,21 @@ def keyed_by_house(df: DataFrame, key: Column) -> DataFrame:
     The partition count is fixed (``spark.sql.shuffle.partitions``, sized for
     the cluster): AQE would otherwise coalesce this shuffle by bytes, and the
     rows are small but their cleaning is CPU-heavy.
+
+    When the source comes in fewer splits than the cluster has cores (a table
+    stored as one row group), the spread result is checkpointed to the shared
+    checkpoint folder. Otherwise filters on cleaned columns would be pushed
+    below the shuffle into the under-split scan stage and run in a single
+    task; the checkpoint keeps the partitioning, so joins stay co-partitioned.
+    Large inputs arrive in many splits and are never checkpointed here.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, house_id_of(key))
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.repartition(n, house_id_of(key))
+    if df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        checkpoint_dir(spark)
+        keyed = keyed.checkpoint(eager=True)
+    return keyed
 
 
 def house_id_of(key: Column) -> Column:
