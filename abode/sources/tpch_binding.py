@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from abode.schema import (
     DIRECTIONS, RAW_COLUMNS, STATUS_PENDING, STATUS_PROCESSING, STATUS_SELLING,
     STATUS_SOLD, STATUSES,
 )
-from abode.session import checkpoint_dir, table_path
+from abode.session import table_path
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,19 +39,19 @@ def keyed_by_house(df: DataFrame, key: Column) -> DataFrame:
     the cluster): AQE would otherwise coalesce this shuffle by bytes, and the
     rows are small but their cleaning is CPU-heavy.
 
-    When the source comes in fewer splits than the cluster has cores (a table
-    stored as one row group), the spread result is checkpointed to the shared
-    checkpoint folder. Otherwise filters on cleaned columns would be pushed
-    below the shuffle into the under-split scan stage and run in a single
-    task; the checkpoint keeps the partitioning, so joins stay co-partitioned.
-    Large inputs arrive in many splits and are never checkpointed here.
+    When the source comes in fewer splits than the cluster has cores (a small
+    table stored as one row group), the spread copy is persisted. Otherwise
+    filters on cleaned columns would be pushed below the shuffle into the
+    under-split scan stage and run in a single task. The persisted copy keeps
+    its partitioning (joins stay co-partitioned) and is recomputed from its
+    lineage if an executor is lost. Large inputs arrive in many splits and
+    never take this path: their filters go into the parallel scan.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = df.repartition(n, house_id_of(key))
     if df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
-        checkpoint_dir(spark)
-        keyed = keyed.checkpoint(eager=True)
+        keyed = keyed.persist(StorageLevel.MEMORY_AND_DISK)
     return keyed
 
 
