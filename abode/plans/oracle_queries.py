@@ -398,6 +398,9 @@ def oracle_queries() -> dict[str, str]:
         "ELSE replace(\"Price\", ',', '') END AS price_input FROM raw_listings")
     o["dq_listings"] = Q(failed("house_id", "listings", LISTING_RULES))
     o["dq_users"] = Q(failed("user_id", "users", USER_RULES))
+    # the streams must leave the same tables as the batch jobs
+    o["stream_status_updates"] = o["chg_update_status"]
+    o["stream_add_favorites"] = o["chg_add_favorites"]
     from abode.plans.model_oracle import model_oracle_queries
     o.update(model_oracle_queries(Q))
     return o

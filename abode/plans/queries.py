@@ -695,3 +695,16 @@ def q_dq_users(spark, sf_dir):
 def queries() -> dict[str, Query]:
     from abode.plans import model_queries  # noqa: F401  (registers the model queries)
     return dict(REGISTRY)
+
+
+# ---------------- request streams (Structured Streaming) ----------------
+@query("stream_status_updates")
+def q_stream_status_updates(spark, sf_dir):
+    from abode.streaming.requests import stream_status_updates
+    return stream_status_updates(spark, sf_dir)
+
+
+@query("stream_add_favorites")
+def q_stream_add_favorites(spark, sf_dir):
+    from abode.streaming.requests import stream_add_favorites
+    return stream_add_favorites(spark, sf_dir)
