@@ -21,38 +21,33 @@ from abode.schema import (
 from abode.session import table_path
 
 
+# Primary key of each driver table (used to spread an under-split scan).
+TABLE_KEYS = {"orders": "o_orderkey", "lineitem": "l_orderkey", "customer": "c_custkey",
+              "events": "event_id"}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
-
-
-def keyed_by_house(df: DataFrame, key: Column) -> DataFrame:
-    """Hash-partition rows on the listing id they belong to.
-
-    Listings, status rows, favourites and deposits are all keyed by
-    ``house_id``. Partitioning each source once on that id (the same
-    expression, the same partition count) lets every later join on
-    ``house_id`` run without another exchange, and lets the listing and
-    status sides share one scan + shuffle of ``orders`` (exchange reuse).
-    It also spreads sources stored as a single row group over all cores.
-
-    The partition count is fixed (``spark.sql.shuffle.partitions``, sized for
-    the cluster): AQE would otherwise coalesce this shuffle by bytes, and the
-    rows are small but their cleaning is CPU-heavy.
-
-    When the source comes in fewer splits than the cluster has cores (a small
-    table stored as one row group), the spread copy is persisted. Otherwise
-    filters on cleaned columns would be pushed below the shuffle into the
-    under-split scan stage and run in a single task. The persisted copy keeps
-    its partitioning (joins stay co-partitioned) and is recomputed from its
-    lineage if an executor is lost. Large inputs arrive in many splits and
-    never take this path: their filters go into the parallel scan.
+    """Scan a driver table; spread it when the files give too few splits.
+
+    A table stored as one parquet row group is read by a single task however
+    many cores there are. When a scan yields fewer splits than the default
+    parallelism, it is hash-partitioned on its primary key (deterministic on
+    retry) and that spread copy is persisted: later filters on cleaned
+    columns then run in parallel after the shuffle instead of being pushed
+    into the single-task scan. Large inputs arrive as many files and splits
+    and never take this path; their filters go into the parallel scan.
+
+    Joins are not pre-partitioned on purpose: favourites and deposits are
+    bags that may hold a third of their rows on one listing, and AQE can only
+    split such a hot partition (skew join) or broadcast a small side when the
+    join shuffles both inputs itself.
     """
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.repartition(n, house_id_of(key))
-    if df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
-        keyed = keyed.persist(StorageLevel.MEMORY_AND_DISK)
-    return keyed
+    df = spark.read.parquet(table_path(sf_dir, name))
+    key = TABLE_KEYS.get(name)
+    if key is not None and df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartition(n, key).persist(StorageLevel.MEMORY_AND_DISK)
+    return df
 
 
 def house_id_of(key: Column) -> Column:
@@ -75,8 +70,8 @@ def listing_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     file statistics. ``customer`` is joined by key (AQE picks broadcast only if
     the runtime size is under the threshold, else sort-merge).
     """
-    o = keyed_by_house(read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"), F.col("o_orderkey"))
+    o = read_table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
     c = read_table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -193,7 +188,6 @@ class ListingTables:
 
     def _line_pairs(self, flag: str) -> DataFrame:
         li = self.read("lineitem").select("l_orderkey", "l_suppkey", "l_returnflag")
-        li = keyed_by_house(li.filter(F.col("l_returnflag") == flag), F.col("l_orderkey"))
         return li.filter((F.col("l_returnflag") == flag) & (F.col("l_orderkey") % 20 != 7)).select(
             "l_orderkey", "l_suppkey",
             user_id_of(F.col("l_suppkey")).alias("user_id"),
