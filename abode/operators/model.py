@@ -50,14 +50,27 @@ def with_split(df: DataFrame, key: str = "house_id") -> DataFrame:
         .withColumn("fold", _md5_byte(F.col(key), 3) % N_FOLDS)
 
 
-_EXPONENTS: dict[tuple[int, int], list[tuple[int, ...]]] = {}
+def term_order(n_inputs: int, degree: int) -> list[tuple[int, ...]]:
+    """Exponents of the terms in ``PolynomialExpansion`` output order.
+
+    Terms are grouped by the power of the last input (0, 1, ...); inside a
+    group come the terms of the other inputs with the remaining degree
+    (constant first), each times that power. For (x, y) at degree 2 this is
+    x, x^2, y, xy, y^2. ``tests/test_model.py`` checks the rule against
+    Spark's expansion of distinct primes.
+    """
+    def with_const(n: int, d: int) -> list[tuple[int, ...]]:
+        if n == 0:
+            return [()]
+        out = []
+        for p in range(d + 1):
+            out += [t + (p,) for t in with_const(n - 1, d - p)]
+        return out
+    return [t for t in with_const(n_inputs, degree) if any(t)]
 
 
 def poly_exponents(spark: SparkSession, n_inputs: int, degree: int) -> list[tuple[int, ...]]:
-    """Exponent tuple of every term of Spark's ``PolynomialExpansion``, in its
-    output order (found by expanding distinct primes and factorising)."""
-    if (n_inputs, degree) in _EXPONENTS:
-        return _EXPONENTS[(n_inputs, degree)]
+    """Exponents found by expanding distinct primes with Spark and factorising."""
     primes = [2, 3, 5, 7, 11, 13, 17, 19, 23, 29][:n_inputs]
     df = spark.createDataFrame([tuple(float(p) for p in primes)], [f"x{i}" for i in range(n_inputs)])
     vec = VectorAssembler(inputCols=df.columns, outputCol="v").transform(df)
@@ -74,7 +87,6 @@ def poly_exponents(spark: SparkSession, n_inputs: int, degree: int) -> list[tupl
                 k += 1
             e.append(k)
         exps.append(tuple(e))
-    _EXPONENTS[(n_inputs, degree)] = exps
     return exps
 
 
@@ -253,7 +265,7 @@ def fit(train: DataFrame, inputs: list[str] = INPUTS, degree: int = 5, alphas=AL
     cond = F.col(target).isNotNull()
     for c in inputs:
         cond = cond & F.col(c).isNotNull()
-    exps = poly_exponents(spark, len(inputs), degree) if degree > 1 else \
+    exps = term_order(len(inputs), degree) if degree > 1 else \
         [tuple(1 if j == i else 0 for j in range(len(inputs))) for i in range(len(inputs))]
     # The two passes (pre-scaling, Gram) read the same narrow projection: keep
     # it (memory, spilling to disk) for the duration of the fit only.

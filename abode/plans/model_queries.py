@@ -60,7 +60,7 @@ def q_ml_split(spark, sf_dir):
 @query("ml_poly_features")
 def q_ml_poly_features(spark, sf_dir):
     inputs = ["area", "bedrooms"]
-    exps = M.poly_exponents(spark, 2, 2)
+    exps = M.term_order(2, 2)
     names = ["__".join(f"{n}{k if k > 1 else ''}" for n, k in zip(inputs, e) if k) for e in exps]
     p = M.poly_column(training(T(spark, sf_dir)), inputs, 2, "poly")
     arr = M.vector_to_array(F.col("poly"))

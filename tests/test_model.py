@@ -10,6 +10,8 @@ from tests.conftest import SF_SMALL
 def test_poly_exponent_order(spark):
     assert M.poly_exponents(spark, 2, 2) == [(1, 0), (2, 0), (0, 1), (1, 1), (0, 2)]
     assert len(M.poly_exponents(spark, 5, 5)) == 251
+    for n, d in [(2, 2), (3, 4), (5, 5)]:
+        assert M.term_order(n, d) == M.poly_exponents(spark, n, d)
 
 
 def direct_ridge(x, y, exps, alpha):
