@@ -11,9 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from abode.functions import price as P
-from abode.schema import (
-    INTERIOR_DEFAULT, LEGAL_DEFAULT, LISTING_COLUMNS, UNIT_FLOOR, UNIT_ROOM,
-)
+from abode.schema import INTERIOR_DEFAULT, LEGAL_DEFAULT, UNIT_BILLION, UNIT_FLOOR, UNIT_ROOM
 
 
 def trim_columns(df: DataFrame) -> DataFrame:
@@ -31,9 +29,18 @@ def with_surrogate_id(df: DataFrame, ordinal: str = "row_ordinal") -> DataFrame:
     return df.withColumn("house_id", F.format_string("%05d", F.col(ordinal) + 1))
 
 
-def clean_columns(df: DataFrame) -> dict:
-    """The cleaning rules as named column expressions over the raw columns."""
+def clean_columns(df: DataFrame, strict_text: bool = False) -> dict:
+    """The cleaning rules as named column expressions over the raw columns.
+
+    ``strict_text`` reproduces the stored-text behaviour of the original
+    loader: a 'tỷ' price was kept as scientific-notation text, which the
+    numeric guard rejects, so such prices get no numeric value.
+    """
     area_dec = P.area_decimal("Area")
+    price = P.price_vnd("Price", area_dec)
+    if strict_text:
+        price = F.when(F.col("Price").contains(UNIT_BILLION), F.lit(None).cast("decimal(20,2)")) \
+            .otherwise(price)
     return {
         "title": F.col("Title"),
         "address": F.col("Address"),
@@ -41,7 +48,7 @@ def clean_columns(df: DataFrame) -> dict:
         "posting_date": F.col("PostingDate"),
         "post_type": F.col("PostType"),
         "price_raw": F.col("Price"),
-        "price_vnd": P.price_vnd("Price", area_dec),
+        "price_vnd": price,
         "area": P.area_value("Area"),
         "direction": F.col("Direction"),
         "bedrooms": P.count_value("Bedrooms", UNIT_ROOM),
@@ -54,14 +61,14 @@ def clean_columns(df: DataFrame) -> dict:
     }
 
 
-def clean_listings(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def clean_listings(raw: DataFrame, keep: list[str] | None = None, strict_text: bool = False) -> DataFrame:
     """Raw scraped rows -> typed listings, id column first.
 
     ``raw`` carries the 15 text columns and ``row_ordinal``. Columns named in
     ``keep`` are passed through after the listing columns.
     """
     raw = drop_monthly(trim_columns(raw))
-    exprs = clean_columns(raw)
+    exprs = clean_columns(raw, strict_text)
     cols = [F.format_string("%05d", F.col("row_ordinal") + 1).alias("house_id")]
     cols += [e.alias(name) for name, e in exprs.items()]
     cols += [F.col(c) for c in (keep or [])]

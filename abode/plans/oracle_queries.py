@@ -285,6 +285,7 @@ def oracle_queries() -> dict[str, str]:
     o["anycol_contains_processing"] = Q(
         f"SELECT house_id, title, district, price, area, bedrooms, bathrooms, user_id FROM pq WHERE {ANY_PQ}")
     o["anycol_contains_users"] = Q(f"SELECT user_id, username, phone FROM users WHERE {ANY_USERS}")
+    o["anycol_contains_users_count"] = Q(f"SELECT count(*) AS match_count FROM users WHERE {ANY_USERS}")
     # 2.4 aggregations
     o["district_counts_top10"] = Q("SELECT district, count(*) AS listing_count FROM active GROUP BY district "
                                    "ORDER BY listing_count DESC, district LIMIT 10")

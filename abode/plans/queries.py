@@ -334,6 +334,12 @@ def q_anycol_users(spark, sf_dir):
     return C.anycol_contains(u, ["user_id", "username", "phone"], ANYCOL_USERS)
 
 
+@query("anycol_contains_users_count")
+def q_anycol_users_count(spark, sf_dir):
+    u = T(spark, sf_dir).users
+    return S.total_count(C.anycol_contains(u, ["user_id", "username", "phone"], ANYCOL_USERS), "match_count")
+
+
 # ---------------- 2.4 aggregations ----------------
 @query("district_counts_top10")
 def q_district_counts_top10(spark, sf_dir):

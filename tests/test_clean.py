@@ -106,3 +106,12 @@ def test_numeric_guard(spark):
     df = spark.createDataFrame([("12.5",), ("5.5E+9",), ("abc",), ("7",)], "t string")
     got = [r[0] for r in df.select(P.numeric_guard(F.col("t"))).collect()]
     assert got == [Decimal("12.50"), None, None, Decimal("7.00")]
+
+
+def test_strict_text_reproduces_text_prices(spark):
+    rows = [raw_row(0, "5,5 tỷ"), raw_row(1, "95,5 triệu/m²", area="52,5 m²")]
+    df = spark.createDataFrame(rows, RAW_SCHEMA)
+    strict = {r["house_id"]: r["price_vnd"] for r in clean_listings(df, strict_text=True).collect()}
+    loose = {r["house_id"]: r["price_vnd"] for r in clean_listings(df).collect()}
+    assert strict["00001"] is None and loose["00001"] == Decimal("5500000000.00")
+    assert strict["00002"] == loose["00002"] == Decimal("5013750000.00")
