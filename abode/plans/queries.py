@@ -66,7 +66,7 @@ def _combined(t: ListingTables) -> DataFrame:
 
 def _compare_batch(t: ListingTables) -> DataFrame:
     """Comparison requests: every listing against the one ten orders later."""
-    o = t.read("orders").select("o_orderkey")
+    o = t.read("orders", ["o_orderkey"])
     return o.select(house_id_of(F.col("o_orderkey")).alias("id_a"),
                     house_id_of(F.col("o_orderkey") + 10).alias("id_b"))
 

@@ -26,7 +26,7 @@ TABLE_KEYS = {"orders": "o_orderkey", "lineitem": "l_orderkey", "customer": "c_c
               "events": "event_id"}
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
     """Scan a driver table; spread it when the files give too few splits.
 
     A table stored as one parquet row group is read by a single task however
@@ -43,6 +43,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     join shuffles both inputs itself.
     """
     df = spark.read.parquet(table_path(sf_dir, name))
+    if columns:
+        df = df.select(*columns)  # prune before any spread copy is made
     key = TABLE_KEYS.get(name)
     if key is not None and df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -70,11 +72,10 @@ def listing_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     file statistics. ``customer`` is joined by key (AQE picks broadcast only if
     the runtime size is under the threshold, else sort-merge).
     """
-    o = read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
-    c = read_table(spark, sf_dir, "customer").select(
-        "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    o = read_table(spark, sf_dir, "orders",
+                   ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"])
+    c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
+    n = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name"])
     j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
 
     k, ck = F.col("o_orderkey"), F.col("o_custkey")
@@ -145,8 +146,8 @@ class ListingTables:
         self.spark = spark
         self.sf_dir = sf_dir
 
-    def read(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.sf_dir, name)
+    def read(self, name: str, columns: list[str] | None = None) -> DataFrame:
+        return read_table(self.spark, self.sf_dir, name, columns)
 
     @cached_property
     def base(self) -> DataFrame:
@@ -175,7 +176,7 @@ class ListingTables:
 
     @cached_property
     def users(self) -> DataFrame:
-        c = self.read("customer")
+        c = self.read("customer", ["c_custkey", "c_name"])
         return c.select(user_id_of(F.col("c_custkey")).alias("user_id"),
                         F.col("c_name").alias("username"),
                         (F.lit(900000000) + F.col("c_custkey")).cast("bigint").alias("phone"))
@@ -187,7 +188,7 @@ class ListingTables:
             [("admin", "Admin"), ("mod1", "Moderator")], "admin_id string, admin_name string")
 
     def _line_pairs(self, flag: str) -> DataFrame:
-        li = self.read("lineitem").select("l_orderkey", "l_suppkey", "l_returnflag")
+        li = self.read("lineitem", ["l_orderkey", "l_suppkey", "l_returnflag"])
         return li.filter((F.col("l_returnflag") == flag) & (F.col("l_orderkey") % 20 != 7)).select(
             "l_orderkey", "l_suppkey",
             user_id_of(F.col("l_suppkey")).alias("user_id"),
@@ -218,7 +219,8 @@ class ListingTables:
 
     # ---- request batches (events and derived rows) ----
     def events_of(self, event_type: str) -> DataFrame:
-        return self.read("events").filter(F.col("event_type") == event_type) \
+        return self.read("events", ["event_id", "ts", "user_id", "event_type"]) \
+            .filter(F.col("event_type") == event_type) \
             .select("event_id", "ts", "user_id")
 
     def batch_add_favorites(self) -> DataFrame:
@@ -277,7 +279,7 @@ class ListingTables:
         return p.filter((n % 5 == 0) & (n % 2 == 1))
 
     def batch_delete_users(self) -> DataFrame:
-        c = self.read("customer")
+        c = self.read("customer", ["c_custkey"])
         return c.filter(F.col("c_custkey") % 10 == 0).select(user_id_of(F.col("c_custkey")).alias("user_id"))
 
     def batch_register_users(self) -> DataFrame:
