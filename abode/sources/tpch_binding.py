@@ -139,6 +139,28 @@ def pending_raw_of(base: DataFrame) -> DataFrame:
         *RAW_COLUMNS, "poster_id")
 
 
+def status_update_requests(events: DataFrame) -> DataFrame:
+    """Admin status changes from 'error' events (batch or stream).
+
+    admin: 'admin' when event_id % 3 != 0, else an unknown id; new status:
+    element floor(event_id / 3) % 3 of the statuses; listing: id of
+    event_id % 500, so several requests meet on one listing.
+    """
+    eid = F.col("event_id")
+    status = F.when(F.floor(eid / 3) % 3 == 0, STATUSES[0]) \
+        .when(F.floor(eid / 3) % 3 == 1, STATUSES[1]).otherwise(STATUSES[2])
+    return events.filter(F.col("event_type") == "error").select(
+        F.when(eid % 3 != 0, "admin").otherwise("nobody").alias("admin_id"),
+        house_id_of(eid % 500).alias("house_id"), status.alias("statue"), "ts", "event_id")
+
+
+def favorite_click_requests(events: DataFrame) -> DataFrame:
+    """(user, listing) favourite requests from 'click' events (batch or stream)."""
+    return events.filter(F.col("event_type") == "click").select(
+        user_id_of(F.col("user_id")).alias("user_id"), house_id_of(F.col("event_id")).alias("house_id"),
+        "ts", "event_id")
+
+
 class ListingTables:
     """Lazily derived tables of the listing application for one data folder."""
 
@@ -223,10 +245,11 @@ class ListingTables:
             .filter(F.col("event_type") == event_type) \
             .select("event_id", "ts", "user_id")
 
+    def events(self) -> DataFrame:
+        return self.read("events", ["event_id", "ts", "user_id", "event_type"])
+
     def batch_add_favorites(self) -> DataFrame:
-        e = self.events_of("click")
-        return e.select(user_id_of(F.col("user_id")).alias("user_id"),
-                        house_id_of(F.col("event_id")).alias("house_id"), "ts", "event_id")
+        return favorite_click_requests(self.events())
 
     def batch_remove_favorites(self) -> DataFrame:
         f = self.favorites_src
@@ -250,13 +273,7 @@ class ListingTables:
             .filter((F.col("house_id").cast("bigint") - 1) % 50 == 0)
 
     def batch_status_updates(self) -> DataFrame:
-        e = self.events_of("error")
-        eid = F.col("event_id")
-        status = F.when(F.floor(eid / 3) % 3 == 0, STATUSES[0]) \
-            .when(F.floor(eid / 3) % 3 == 1, STATUSES[1]).otherwise(STATUSES[2])
-        return e.select(F.when(eid % 3 != 0, "admin").otherwise("nobody").alias("admin_id"),
-                        house_id_of(eid % 500).alias("house_id"),
-                        status.alias("statue"), "ts", "event_id")
+        return status_update_requests(self.events())
 
     def batch_buy_requests(self) -> DataFrame:
         e = self.events_of("view")

@@ -23,8 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abode.session import scratch_path
-from abode.sources.tpch_binding import ListingTables, house_id_of, user_id_of
-from abode.schema import STATUSES
+from abode.sources.tpch_binding import ListingTables, favorite_click_requests, status_update_requests
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,22 +33,15 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         .option("maxFilesPerTrigger", 1).parquet(sf_dir)
 
 
-def status_requests(events: DataFrame) -> DataFrame:
-    eid = F.col("event_id")
-    status = F.when(F.floor(eid / 3) % 3 == 0, STATUSES[0]) \
-        .when(F.floor(eid / 3) % 3 == 1, STATUSES[1]).otherwise(STATUSES[2])
-    return events.filter(F.col("event_type") == "error").select(
-        F.when(eid % 3 != 0, "admin").otherwise("nobody").alias("admin_id"),
-        house_id_of(eid % 500).alias("house_id"), status.alias("statue"), "ts", "event_id")
-
-
 def _merge_overrides(base: str):
     """foreachBatch body: new overrides = old overrides updated by this batch."""
     def run(batch: DataFrame, batch_id: int) -> None:
+        # Start from the last version written (batches without data write
+        # nothing). A replayed batch merges the same keys again: same result.
         spark = batch.sparkSession
-        prev = f"{base}/v{batch_id - 1}"
         try:
-            old = spark.read.parquet(prev)
+            last = spark.read.json(f"{base}/latest").first()["v"]
+            old = spark.read.parquet(f"{base}/v{last}")
         except Exception:  # noqa: BLE001 - first batch: no previous version
             old = None
         upd = batch.select("house_id", "_last")
@@ -64,7 +56,7 @@ def stream_status_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the status-change request stream; return the resulting status table."""
     t = ListingTables(spark, sf_dir)
     base = scratch_path(spark, "status_stream")
-    reqs = status_requests(event_stream(spark, sf_dir)) \
+    reqs = status_update_requests(event_stream(spark, sf_dir)) \
         .join(t.admins.select("admin_id"), "admin_id", "left_semi")
     latest = reqs.groupBy("house_id").agg(
         F.max_by(F.struct("statue", "ts", "event_id"), F.struct("ts", "event_id")).alias("_last"))
@@ -85,8 +77,7 @@ def stream_add_favorites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the favourite-click stream; return the resulting favourites (a bag)."""
     t = ListingTables(spark, sf_dir)
     base = scratch_path(spark, "favorites_stream")
-    clicks = event_stream(spark, sf_dir).filter(F.col("event_type") == "click").select(
-        user_id_of(F.col("user_id")).alias("user_id"), house_id_of(F.col("event_id")).alias("house_id"))
+    clicks = favorite_click_requests(event_stream(spark, sf_dir)).select("user_id", "house_id")
     ok = clicks.join(t.users.select("user_id"), "user_id", "left_semi") \
         .join(t.listings.select("house_id"), "house_id", "left_semi")
     q = ok.writeStream.format("parquet").outputMode("append") \
