@@ -26,11 +26,17 @@ from abode.session import scratch_path
 from abode.sources.tpch_binding import ListingTables, favorite_click_requests, status_update_requests
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a file stream (schema fixed, no inference)."""
+def event_stream(spark: SparkSession, sf_dir: str, events_dir: str | None = None) -> DataFrame:
+    """The events table as a file stream (schema fixed, no inference).
+
+    By default the driver's ``events.parquet``; ``events_dir`` names a folder
+    that receives event files over time (one micro-batch per file).
+    """
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet") \
-        .option("maxFilesPerTrigger", 1).parquet(sf_dir)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    if events_dir:
+        return reader.parquet(events_dir)
+    return reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
 def _merge_overrides(base: str):
@@ -52,11 +58,11 @@ def _merge_overrides(base: str):
     return run
 
 
-def stream_status_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_status_updates(spark: SparkSession, sf_dir: str, events_dir: str | None = None) -> DataFrame:
     """Apply the status-change request stream; return the resulting status table."""
     t = ListingTables(spark, sf_dir)
     base = scratch_path(spark, "status_stream")
-    reqs = status_update_requests(event_stream(spark, sf_dir)) \
+    reqs = status_update_requests(event_stream(spark, sf_dir, events_dir)) \
         .join(t.admins.select("admin_id"), "admin_id", "left_semi")
     latest = reqs.groupBy("house_id").agg(
         F.max_by(F.struct("statue", "ts", "event_id"), F.struct("ts", "event_id")).alias("_last"))
@@ -73,11 +79,11 @@ def stream_status_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "house_id", F.coalesce("_new", "statue").alias("statue"), "poster_id")
 
 
-def stream_add_favorites(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_add_favorites(spark: SparkSession, sf_dir: str, events_dir: str | None = None) -> DataFrame:
     """Apply the favourite-click stream; return the resulting favourites (a bag)."""
     t = ListingTables(spark, sf_dir)
     base = scratch_path(spark, "favorites_stream")
-    clicks = favorite_click_requests(event_stream(spark, sf_dir)).select("user_id", "house_id")
+    clicks = favorite_click_requests(event_stream(spark, sf_dir, events_dir)).select("user_id", "house_id")
     ok = clicks.join(t.users.select("user_id"), "user_id", "left_semi") \
         .join(t.listings.select("house_id"), "house_id", "left_semi")
     q = ok.writeStream.format("parquet").outputMode("append") \
