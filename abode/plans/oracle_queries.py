@@ -261,6 +261,7 @@ def oracle_queries() -> dict[str, str]:
     # 2.3 filters, search, sort, paging
     o["active_page"] = Q(page("apv", "house_id"))
     o["active_count_pages"] = Q(count_pages("active"))
+    o["active_keyset_page"] = Q("SELECT * FROM apv WHERE house_id > '01000' ORDER BY house_id LIMIT 10")
     o["all_page"] = Q(page("pv", "house_id"))
     o["filter_area"] = Q(page("pv", "house_id", where="district ILIKE '%nation_1%'"))
     o["filter_price"] = Q(page("pv", "house_id", where="price_vnd >= 1e9 AND price_vnd <= 4e9"))

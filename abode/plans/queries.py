@@ -37,6 +37,7 @@ USER = "u7"
 ANYCOL_PROCESSING = "nation_2"
 ANYCOL_USERS = "#00000012"
 ADMIN_ID = "admin"
+KEYSET_AFTER = "01000"
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -226,6 +227,12 @@ def q_active_page(spark, sf_dir):
     return C.page(_active_pv(T(spark, sf_dir)), C.sort_order("house_id"), PAGE, PER_PAGE)
 
 
+@query("active_keyset_page")
+def q_active_keyset_page(spark, sf_dir):
+    """Deep-page form: the page after a known last id (pushed filter + top-n)."""
+    return C.keyset_page(_active_pv(T(spark, sf_dir)), "house_id", KEYSET_AFTER, PER_PAGE)
+
+
 @query("active_count_pages")
 def q_active_count_pages(spark, sf_dir):
     return C.count_pages(T(spark, sf_dir).active, PER_PAGE)
