@@ -46,12 +46,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     if columns:
         df = df.select(*columns)  # prune before any spread copy is made
     key = TABLE_KEYS.get(name)
-    if key is not None and df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+    if key is not None and _under_split(spark, df):
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         df = df.repartition(n, key).persist(StorageLevel.MEMORY_AND_DISK)
     return df
 
 
+def _under_split(spark: SparkSession, df: DataFrame) -> bool:
+    """True when the scan has fewer splits than the default parallelism.
+
+    Only a classic session exposes splits; elsewhere (e.g. Spark Connect) the
+    scan is left as it is.
+    """
+    try:
+        return df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - no RDD view of this session
+        return False
+
+
 def house_id_of(key: Column) -> Column:
     """Official id: zero-padded to 5 digits, wider keys keep all digits."""
     return F.format_string("%05d", key + F.lit(1))
