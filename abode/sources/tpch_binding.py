@@ -21,9 +21,10 @@ from abode.schema import (
 from abode.session import table_path
 
 
-# Primary key of each driver table (used to spread an under-split scan).
-TABLE_KEYS = {"orders": "o_orderkey", "lineitem": "l_orderkey", "customer": "c_custkey",
-              "events": "event_id"}
+# Key of each listing-sized table (used to spread an under-split scan). The
+# dimension and request tables are small or broadcast; spreading them only
+# adds jobs.
+TABLE_KEYS = {"orders": "o_orderkey", "lineitem": "l_orderkey"}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
