@@ -7,7 +7,7 @@ places), so they are exact and do not depend on a printf rounding mode.
 
 from __future__ import annotations
 
-from abode.plans.oracle_prelude import INT_RE, LOOSE, NUM_RE, _clean_select, with_prelude
+from abode.plans.oracle_prelude import LOOSE, NUM_RE, _clean_select, with_prelude
 
 SELLING, SOLD, PROCESSING = "Đang bán", "Đã bán", "Đang xử lý"
 

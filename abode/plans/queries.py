@@ -21,7 +21,7 @@ from abode.operators import changes as X
 from abode.operators import stats as S
 from abode.operators.clean import clean_step
 from abode.operators.dedup import dedup_cascade, dedup_title_keep_min_id
-from abode.schema import LISTING_COLUMNS, STATUS_SELLING, UNIT_BILLION
+from abode.schema import UNIT_BILLION
 from abode.sources.tpch_binding import ListingTables, house_id_of
 
 # --- request parameters of the checked queries ---
