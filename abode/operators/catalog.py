@@ -139,8 +139,11 @@ def search_listings(active: DataFrame, sort_by: str = "house_id", page_no: int =
                 page_no, per_page)
 
 
-def distinct_districts(active: DataFrame) -> DataFrame:
-    return active.select("district").distinct().orderBy("district")
+def distinct_districts(active: DataFrame, collation: str | None = None) -> DataFrame:
+    """Districts with active listings, sorted. Binary order by default; a
+    collation (e.g. 'vi' or 'UNICODE_CI') gives language-aware order."""
+    key = F.col("district") if collation is None else F.collate("district", collation)
+    return active.select("district").distinct().orderBy(key)
 
 
 def lookup_by_ids(listings: DataFrame, ids: DataFrame) -> DataFrame:

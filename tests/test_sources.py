@@ -20,3 +20,11 @@ def test_split_input_is_scanned_directly(spark):
     assert not df.storageLevel.useMemory
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "PushedFilters: [IsNotNull(o_orderkey), GreaterThan(o_orderkey,10)]" in plan
+
+
+def test_district_collation(spark):
+    from abode.operators.catalog import distinct_districts
+
+    df = spark.createDataFrame([(d,) for d in ["Đống Đa", "Ba Đình", "an", "Cầu Giấy"]], "district string")
+    assert [r[0] for r in distinct_districts(df).collect()] == ["Ba Đình", "Cầu Giấy", "an", "Đống Đa"]
+    assert [r[0] for r in distinct_districts(df, "vi").collect()] == ["an", "Ba Đình", "Cầu Giấy", "Đống Đa"]
