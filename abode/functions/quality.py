@@ -65,5 +65,6 @@ def dq_users(users: DataFrame) -> DataFrame:
 
 
 def dq_raw_prices(raw: DataFrame) -> DataFrame:
-    """Raw rows whose price text cannot be read (kept as null, reported here)."""
-    return raw.filter(P.price_unparsable("Price"))
+    """Raw sale rows whose price text cannot be read (cleaned to null, reported here)."""
+    return raw.filter(~P.is_monthly_rent("Price") & P.price_unparsable("Price")) \
+        .select("row_ordinal", "Price")

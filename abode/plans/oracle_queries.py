@@ -400,6 +400,13 @@ def oracle_queries() -> dict[str, str]:
         "ELSE replace(\"Price\", ',', '') END AS price_input FROM raw_listings")
     o["dq_listings"] = Q(failed("house_id", "listings", LISTING_RULES))
     o["dq_users"] = Q(failed("user_id", "users", USER_RULES))
+    ty = "trim(replace(replace(replace(\"Price\",'\"',''),'tỷ',''),',','.'))"
+    ppm = "trim(replace(replace(\"Price\",',','.'),'triệu/m²',''))"
+    o["dq_raw_prices"] = Q(
+        f'SELECT row_ordinal, "Price" FROM raw_listings WHERE "Price" IS NOT NULL '
+        f"AND NOT contains(\"Price\", '/tháng') AND NOT CASE WHEN contains(\"Price\", 'tỷ') "
+        f"THEN regexp_matches({ty}, '{LOOSE}') ELSE (regexp_matches({ppm}, '{LOOSE}') "
+        f"OR trim(\"Price\") IN {NEG}) END")
     # the streams must leave the same tables as the batch jobs
     o["stream_status_updates"] = o["chg_update_status"]
     o["stream_add_favorites"] = o["chg_add_favorites"]

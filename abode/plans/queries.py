@@ -700,6 +700,11 @@ def q_dq_listings(spark, sf_dir):
     return Q.dq_listings(T(spark, sf_dir).listings)
 
 
+@query("dq_raw_prices")
+def q_dq_raw_prices(spark, sf_dir):
+    return Q.dq_raw_prices(T(spark, sf_dir).raw_listings)
+
+
 @query("dq_users")
 def q_dq_users(spark, sf_dir):
     return Q.dq_users(T(spark, sf_dir).users)

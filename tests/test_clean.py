@@ -115,3 +115,12 @@ def test_strict_text_reproduces_text_prices(spark):
     loose = {r["house_id"]: r["price_vnd"] for r in clean_listings(df).collect()}
     assert strict["00001"] is None and loose["00001"] == Decimal("5500000000.00")
     assert strict["00002"] == loose["00002"] == Decimal("5013750000.00")
+
+
+def test_dq_raw_prices_reports_unreadable_text(spark):
+    from abode.functions.quality import dq_raw_prices
+
+    prices = ["5 tỷ/m²", "1.234,5 tỷ", "Thỏa thuận", "500 triệu", "12 triệu/tháng", "2 tỷ", None]
+    df = spark.createDataFrame([raw_row(i, p) for i, p in enumerate(prices)], RAW_SCHEMA)
+    assert [r["Price"] for r in dq_raw_prices(df).orderBy("row_ordinal").collect()] == \
+        ["5 tỷ/m²", "1.234,5 tỷ", "500 triệu"]
