@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -50,33 +52,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     Reads ``spark.checkpoint.dir`` from the session (the cluster names a shared
-    folder there). Only when it is unset, as in local tests, a scratch folder is
-    created and registered.
+    folder there). Only when it is unset on a local master, as in tests, a scratch
+    folder is created and registered; on any other master an unset folder is an
+    error, because the driver's own disk is not visible to the executors.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        try:
-            path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-        except Exception:  # noqa: BLE001 - session without a SparkContext view
-            path = None
-    if not path:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is unset on master {master!r}: name a folder "
+                             "that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="abode-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    try:
-        spark.sparkContext.setCheckpointDir(path)
-    except Exception:  # noqa: BLE001 - the session's own setting applies
-        pass
+    spark.sparkContext.setCheckpointDir(path)
     return path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
-    import uuid
-
     base = checkpoint_dir(spark)
     sep = "" if base.endswith("/") else "/"
     return f"{base}{sep}abode-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a written table of this session from the shared folder."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
