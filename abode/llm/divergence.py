@@ -48,9 +48,9 @@ class Limits:
 
     least_words: int = 20
     repeat_percent: int = 30
-    class_distance: float = 0.22
-    class_least_chars: int = 200
-    word_distance: float = 0.55
+    class_distance: float = 0.25
+    class_least_chars: int = 300
+    word_distance: float = 0.28
     word_least_words: int = 100
 
 

@@ -1,17 +1,18 @@
 """Quality classifier from weak labels.
 
 Overlapping heuristic labellers vote reject, keep or abstain on two aspects of
-each document, low quality and toxicity. Given labels, where a document has
-them, are one more labeller of their aspect, and words that go with toxic
-labels make a learned lexicon beside the fixed one. Expectation-maximisation
-over the votes of all documents estimates how often each labeller is right,
-without looking at any single truth. The posterior labels of a bounded sample
+each document, low quality and toxicity. Most look for one fault and abstain
+without it; others vote keep where nothing is found. Given labels, where a
+document has them, are one more labeller of their aspect, and words that go
+with toxic labels make a learned lexicon beside the fixed one.
+Expectation-maximisation over the votes of all documents estimates how often
+each labeller is right. The posterior labels of a bounded sample
 train a linear scorer per aspect over hashed words, word beginnings and binned
 signals, and the scorers decide on every document.
 
-Bounded, documented parameters: ``sample_rows`` documents (smallest hash of the
-id) train lexicon and scorers; ``lexicon_words`` words at most make the learned
-lexicon. Vote counts, signals and scores cover all documents and whole texts.
+Bounded, documented parameters: ``sample_rows`` labelled documents (smallest
+hash of the id) train the scorers and ``lexicon_rows`` the lexicon, of at most
+``lexicon_words`` words. Vote counts, signals and scores cover all documents and whole texts.
 
 Defined cases: a text without letters or digits (null, empty) is rejected as
 low quality. Without any labels the label-based labellers abstain throughout.
@@ -37,19 +38,20 @@ from abode.llm.common import Scratch
 INSULTS = ("idiot moron loser scum clown trash stupid pathetic worthless disgusting imbecile "
            "dumb fool jerk retard bastard bitch").split()
 SYMBOL_BYTES = b"#*$%&|<>"
-QUALITY = ("symbols", "capitals", "repeats", "copied_runs", "marks", "quality_label")
-TOXIC = ("insults", "learned_words", "learned_rate", "toxic_label")
+QUALITY = ("symbols", "capitals", "repeats", "copied_runs", "marks", "plain", "quality_label")
+TOXIC = ("insults", "dense_words", "short_words", "sparse_words", "no_words", "toxic_label")
 ABSTAIN = 2
 
 
 @dataclass(frozen=True)
 class Settings:
     sample_rows: int = 10_000
+    lexicon_rows: int = 40_000
     lexicon_words: int = 4_000
     lexicon_least_docs: int = 5
-    lexicon_log_odds: float = 2.0
+    lexicon_share: float = 0.6
     bits: int = 18
-    rounds: int = 60
+    rounds: int = 40
     reject_from: float = 0.5
 
 
@@ -60,7 +62,7 @@ class Model:
     settings: Settings
     lexicon: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     weights: dict[str, np.ndarray] = field(default_factory=dict)
-    accuracy: dict[str, dict[str, tuple[float, float]]] = field(default_factory=dict)
+    accuracy: dict[str, dict[str, float]] = field(default_factory=dict)
 
 
 def _insult_hashes() -> np.ndarray:
@@ -139,21 +141,26 @@ class Texts:
 
     def votes(self, model: Model) -> dict[str, np.ndarray]:
         """1 reject, 0 keep, 2 abstain, for each labeller but the given labels."""
-        def vote(reject, keep, able=None):
-            out = np.where(reject, 1, np.where(keep, 0, ABSTAIN))
-            return out if able is None else np.where(able, out, ABSTAIN)
-        enough = self.n_words >= 5
-        learned = self.hits(model.lexicon)
-        rate = learned / np.maximum(self.n_words, 1)
+        def one_sided(flags: np.ndarray, vote: int = 1) -> np.ndarray:
+            return np.where(flags, vote, ABSTAIN)
+        enough, lettered = self.n_words >= 5, self.letters >= 20
+        insults, learned = self.hits(_insult_hashes()), self.hits(model.lexicon)
+        found = insults + learned
+        rate = found / np.maximum(self.n_words, 1)
+        plain = (self.n_words > 0) & (self.symbols < 0.01) & (self.capitals < 0.2) & (self.repeats < 0.03) & \
+            (self.copied < 0.15) & (self.marks < 0.03)
         return {
-            "symbols": vote(self.symbols > 0.03, self.symbols < 0.01, enough),
-            "capitals": vote(self.capitals > 0.5, self.capitals < 0.2, self.letters >= 20),
-            "repeats": vote(self.repeats > 0.2, self.repeats < 0.02, enough),
-            "copied_runs": vote(self.copied > 0.3, self.copied < 0.1, enough),
-            "marks": vote(self.marks > 0.1, self.marks < 0.03, enough),
-            "insults": vote(self.hits(_insult_hashes()) > 0, np.zeros(self.n, bool)),
-            "learned_words": vote(learned > 1, learned == 0) if len(model.lexicon) else np.full(self.n, ABSTAIN),
-            "learned_rate": vote(rate > 0.008, rate < 0.001) if len(model.lexicon) else np.full(self.n, ABSTAIN),
+            "symbols": one_sided(enough & (self.symbols > 0.02)),
+            "capitals": one_sided(lettered & (self.capitals > 0.5)),
+            "repeats": one_sided(enough & (self.repeats > 0.2)),
+            "copied_runs": one_sided(enough & (self.copied > 0.4)),
+            "marks": one_sided(enough & (self.marks > 0.1)),
+            "plain": one_sided(plain, 0),
+            "insults": one_sided((insults > 0) & (rate >= 0.003)),
+            "dense_words": one_sided((found >= 2) & (rate >= 0.006)),
+            "short_words": one_sided((found >= 1) & (rate >= 0.012)),
+            "sparse_words": one_sided((found >= 1) & (rate < 0.003), 0),
+            "no_words": one_sided(found == 0, 0),
         }
 
     def signal_bins(self, model: Model) -> np.ndarray:
@@ -167,10 +174,10 @@ class Texts:
         return np.stack([np.digitize(x, c) for x, c in cuts], axis=1)
 
     def design(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sparse rows of the scorer: (text, column, value). Words count 4 / sqrt(distinct) each."""
+        """Sparse rows of the scorer: (text, column, value). Words count 4 / sqrt(distinct + 16) each."""
         bits = model.settings.bits
         doc, col = self.features(bits)
-        value = 4.0 / np.sqrt(np.maximum(np.bincount(doc, minlength=self.n), 1))[doc]
+        value = 4.0 / np.sqrt(np.bincount(doc, minlength=self.n) + 16)[doc]
         bins = self.signal_bins(model)
         base = (1 << bits) + 1 + 8 * np.arange(bins.shape[1])
         rows = np.repeat(np.arange(self.n), bins.shape[1] + 1)
@@ -194,87 +201,124 @@ def _unpacked(codes: np.ndarray, n: int) -> np.ndarray:
     return np.stack([codes // 3 ** (n - 1 - k) % 3 for k in range(n)], axis=1)
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
+def estimate(patterns: np.ndarray, counts: np.ndarray, start: np.ndarray, held: np.ndarray,
+             given: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
     """EM over vote patterns (rows: patterns, columns: labellers).
 
-    Returns the posterior of reject for each pattern, each labeller's rates
-    (reject votes among rejected, keep votes among kept) and the prior. Starts
-    from the majority of the votes; rates stay between 0.5 and 0.999, since a
-    labeller is taken to be better than chance.
+    Each labeller keeps, rejects or abstains with its own probabilities for
+    documents to reject and to keep, independently given the truth. ``start``
+    (labeller, truth, vote) are the first values; ``held`` is the weight, in
+    shares of all documents, that they keep. Where ``given``, abstaining says
+    nothing about the truth. Returns the posterior of reject for each pattern,
+    each labeller's share of right votes and the prior of reject.
     """
-    voted, reject = patterns != ABSTAIN, patterns == 1
-    n_votes = voted.sum(1)
-    post = np.where(n_votes > 0, (reject.sum(1) + 0.1) / (n_votes + 0.6), 0.15)
-    rates, prior = np.full((patterns.shape[1], 2), 0.9), 0.15
+    n = counts.sum()
+    vote = np.eye(3)[patterns]  # pattern, labeller, vote
+    rate, prior, post = start.copy(), 0.1, np.zeros(len(patterns))
+    speaks = ~(given & (patterns == ABSTAIN))
     for _ in range(rounds):
-        bad, good = counts * post, counts * (1 - post)
-        prior = float(np.clip((bad.sum() + 1) / (counts.sum() + 2), 0.01, 0.99))
-        for k in range(patterns.shape[1]):
-            v, r = voted[:, k], reject[:, k]
-            rates[k, 0] = (bad[v & r].sum() + 9) / (bad[v].sum() + 10)
-            rates[k, 1] = (good[v & ~r].sum() + 9) / (good[v].sum() + 10)
-        rates = np.clip(rates, 0.5, 0.999)
-        log_bad = np.log(prior) + np.where(voted, np.where(reject, np.log(rates[:, 0]), np.log(1 - rates[:, 0])), 0).sum(1)
-        log_good = np.log(1 - prior) + np.where(voted, np.where(reject, np.log(1 - rates[:, 1]), np.log(rates[:, 1])), 0).sum(1)
-        now = 1 / (1 + np.exp(np.clip(log_good - log_bad, -50, 50)))
-        if np.abs(now - post).max() < 1e-6:
+        logs = np.einsum("pkv,ktv->pkt", vote, np.log(rate)) * speaks[:, :, None]
+        z = np.log(prior / (1 - prior)) + (logs[:, :, 1] - logs[:, :, 0]).sum(1)
+        now = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+        weight = np.stack((counts * (1 - now), counts * now))
+        seen = np.einsum("tp,pkv,pk->ktv", weight, vote, speaks.astype(float))
+        pseudo = (held * n + 1)[:, None, None] * start
+        rate = np.maximum(seen + pseudo, 1e-9)
+        rate /= rate.sum(2, keepdims=True)
+        prior = float(np.clip((counts @ now + 1) / (n + 10), 0.01, 0.9))
+        if np.abs(now - post).max(initial=0) < 1e-6:
             break
         post = now
-    return post, rates, prior
+    right = (prior * rate[:, 1, 1] + (1 - prior) * rate[:, 0, 0])
+    voted = prior * rate[:, 1, :2].sum(1) + (1 - prior) * rate[:, 0, :2].sum(1)
+    return now, right / np.maximum(voted, 1e-9), prior
+
+
+def _start(names: tuple[str, ...]) -> np.ndarray:
+    """First vote probabilities: (truth keep, truth reject) x (keep, reject, abstain)."""
+    one_fault = [[0.005, 0.01, 0.985], [0.01, 0.3, 0.69]]
+    nothing_found = [[0.8, 0.005, 0.195], [0.1, 0.01, 0.89]]
+    label = [[0.97, 0.01, 0.02], [0.01, 0.97, 0.02]]
+    return np.array([label if n.endswith("_label") else nothing_found if n in ("plain", "no_words", "sparse_words") else one_fault
+                     for n in names])
 
 
 def fit_scorer(row: np.ndarray, col: np.ndarray, value: np.ndarray, target: np.ndarray, width: int, rounds: int) -> np.ndarray:
-    """Logistic regression on soft targets by full-batch Adam with a small ridge."""
-    w, m, v = np.zeros(width), np.zeros(width), np.zeros(width)
-    n, used = max(len(target), 1), np.unique(col)
-    place = np.searchsorted(used, col)
-    w_, m_, v_ = w[used], m[used], v[used]
-    for t in range(1, rounds + 1):
-        z = np.bincount(row, w_[place] * value, minlength=len(target))
-        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target
-        g = np.bincount(place, error[row] * value, minlength=len(used)) / n + 1e-5 * w_
-        m_ = 0.9 * m_ + 0.1 * g
-        v_ = 0.99 * v_ + 0.01 * g * g
-        w_ = w_ - 0.3 * (m_ / (1 - 0.9 ** t)) / (np.sqrt(v_ / (1 - 0.99 ** t)) + 1e-6)
-    w[used] = w_
-    return w
+    """Logistic regression on soft targets with a small ridge, by L-BFGS."""
+    used, place = np.unique(col, return_inverse=True)
+    n, ridge = max(len(target), 1), 1e-4
 
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = np.bincount(row, w[place] * value, minlength=len(target))
+        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target
+        g = np.bincount(place, error[row] * value, minlength=len(used)) / n + ridge * w
+        return float((np.logaddexp(0, z) - target * z).mean() + 0.5 * ridge * (w @ w)), g
 
-def _sample(df: DataFrame, settings: Settings) -> DataFrame:
-    """About ``sample_rows`` documents: those with the smallest hash of the id."""
-    h = F.xxhash64("doc_id")
-    keys = df.filter("doc_id is not null").select(h.alias("h")).orderBy("h").limit(settings.sample_rows)
-    cut = keys.agg(F.max("h")).collect()[0][0]
-    rows = df.filter("doc_id is not null").filter(h <= F.lit(cut if cut is not None else 0))
-    return rows.select("doc_id", "text").limit(2 * settings.sample_rows)
+    w = np.zeros(len(used))
+    f, g = loss(w)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        d, kept = -g, []
+        for s, y in reversed(steps):
+            a = (s @ d) / (y @ s)
+            d = d - a * y
+            kept.append(a)
+        if steps:
+            s, y = steps[-1]
+            d = d * ((s @ y) / (y @ y))
+        for (s, y), a in zip(steps, reversed(kept)):
+            d = d + s * (a - (y @ d) / (y @ s))
+        size = 1.0
+        while size > 1e-6:
+            f_now, g_now = loss(w + size * d)
+            if f_now <= f + 1e-4 * size * (g @ d):
+                break
+            size /= 2
+        else:
+            break
+        s, y = size * d, g_now - g
+        w, f, g = w + s, f_now, g_now
+        if y @ s > 1e-12:
+            steps = [*steps[-7:], (s, y)]
+        if np.abs(g).max() < 1e-6:
+            break
+    out = np.zeros(width)
+    out[used] = w
+    return out
 
 
-def learn_lexicon(texts: pa.ChunkedArray, toxic: np.ndarray, settings: Settings) -> np.ndarray:
-    """Hashes of words that occur in far more toxic than other labelled texts of the sample.
+def _sample(df: DataFrame, given: DataFrame, settings: Settings) -> DataFrame:
+    """About ``lexicon_rows`` labelled documents: those with the smallest hash of the id (column h).
 
-    ``toxic``: 1, 0, or -1 without a label.
+    Without any label, ``sample_rows`` documents as such. The limit bounds repeated ids.
     """
-    seen: list[tuple[np.ndarray, np.ndarray]] = []
-    at = 0
-    for chunk in texts.chunks:
-        t = Texts(chunk)
-        labels = toxic[at:at + len(chunk)]
-        at += len(chunk)
-        known = labels[t.words.doc] >= 0
-        key = t.hash[known] ^ (t.words.doc[known].astype(np.uint64) << np.uint64(44))
-        order, first, _ = B.grouped(key)
-        pick = order[first]
-        seen.append((t.hash[known][pick], labels[t.words.doc[known][pick]]))
-    n_bad, n_good = (toxic == 1).sum(), (toxic == 0).sum()
-    if not n_bad or not seen:
-        return np.zeros(0, np.uint64)
-    words, bad = np.concatenate([s[0] for s in seen]), np.concatenate([s[1] for s in seen])
-    order, first, total = B.grouped(words)
-    in_bad = np.add.reduceat(bad[order], first) if len(first) else np.zeros(0)
-    odds = np.log((in_bad + 0.5) / (n_bad + 1)) - np.log((total - in_bad + 0.5) / (n_good + 1))
-    good = np.flatnonzero((in_bad >= settings.lexicon_least_docs) & (odds > settings.lexicon_log_odds))
-    best = good[np.argsort(-odds[good], kind="stable")[:settings.lexicon_words]]
-    return np.sort(words[order[first[best]]])
+    h = F.xxhash64("doc_id")
+    labelled = given.limit(1).count() > 0
+    ids, most = (given, settings.lexicon_rows) if labelled else (df.filter("doc_id is not null"), settings.sample_rows)
+    cut = ids.select(h.alias("h")).orderBy("h").limit(most).agg(F.max("h")).collect()[0][0]
+    rows = df.filter("doc_id is not null").filter(h <= F.lit(cut if cut is not None else 0)).select("doc_id", "text", h.alias("h"))
+    return rows.join(given, "doc_id", "inner" if labelled else "left").limit(2 * most)
+
+
+def learn_lexicon(sample: DataFrame, settings: Settings) -> np.ndarray:
+    """Hashes of words that occur mostly in toxic ones among the labelled texts of the sample."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in B.slices(batches, "text", 8 << 20):
+            t = Texts(b.column("text"))
+            toxic = np.asarray(b.column("toxic_label"))
+            order, first, _ = B.grouped(t.hash ^ (t.words.doc.astype(np.uint64) << np.uint64(44)))
+            pick = order[first]  # each word once per text
+            word, bad = t.hash[pick], toxic[t.words.doc[pick]].astype(np.int64)
+            order, first, docs = B.grouped(word)
+            yield pa.record_batch({"word": word[order[first]].view(np.int64), "docs": docs.astype(np.int64),
+                                   "bad": np.add.reduceat(bad[order], first) if len(first) else docs.astype(np.int64)})
+    known = sample.filter("toxic_label is not null")
+    counts = known.select("text", "toxic_label").mapInArrow(count, "word long, docs long, bad long") \
+        .groupBy("word").agg(F.sum("docs").alias("docs"), F.sum("bad").alias("bad"))
+    share = F.col("bad") / F.col("docs")
+    found = counts.filter((F.col("bad") >= settings.lexicon_least_docs) & (share >= settings.lexicon_share)) \
+        .orderBy(F.desc("bad"), "word").limit(settings.lexicon_words)
+    return np.sort(np.asarray(found.select("word").toArrow().column("word")).astype(np.int64).view(np.uint64))
 
 
 def fit(df: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
@@ -285,11 +329,11 @@ def fit(df: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Mo
         F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     given = given.select("doc_id", (1 - F.col("quality")).cast("int").alias("quality_label"),
                          F.col("toxic").cast("int").alias("toxic_label"))
-    sample = scratch.write(_sample(df, settings).join(given, "doc_id", "left"), "sample").toArrow()
-    sample = sample.sort_by("doc_id")
+    table = scratch.write(_sample(df, given, settings), "sample")
     model = Model(settings)
-    known = np.asarray(sample.column("toxic_label").fill_null(-1))
-    model.lexicon = learn_lexicon(sample.column("text"), known, settings)
+    model.lexicon = learn_lexicon(table, settings)
+    sample = table.orderBy("h", "doc_id", "text").limit(settings.sample_rows).toArrow()
+    parts = [b.column("text") for b in B.slices(sample.to_batches(), "text", 8 << 20)]
     shared = spark.sparkContext.broadcast(model)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,29 +346,33 @@ def fit(df: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Mo
     votes = votes.join(given, "doc_id", "left")
     code = {"q": "quality_label", "t": "toxic_label"}
     votes = votes.select(*[(F.col(k) * 3 + F.coalesce(F.col(v), F.lit(ABSTAIN))).alias(k) for k, v in code.items()])
-    # at most 3 ** 10 patterns, whatever the corpus
+    # at most 3 ** 13 patterns, whatever the corpus; far fewer occur, as labellers look for one fault each
     found = votes.groupBy("q", "t").count().toArrow()
     count = np.asarray(found.column("count"), dtype=np.float64)
-    parts = [Texts(c) for c in sample.column("text").chunks]
+    votes_of: dict[str, list[np.ndarray]] = {n: [] for n in (*QUALITY[:-1], *TOXIC[:-1])}
+    design: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    at = 0
+    for part in parts:
+        t = Texts(part)
+        for n, v in t.votes(model).items():
+            votes_of[n].append(v)
+        row, col, value = t.design(model)
+        design.append(((row + at).astype(np.int32), col.astype(np.int32), value.astype(np.float32)))
+        at += t.n
+    row, col, value = (np.concatenate(x) for x in zip(*design)) if design else (np.zeros(0, np.int32),) * 3
+    del design
     for aspect, names, column in (("quality", QUALITY, "q"), ("toxic", TOXIC, "t")):
         codes, where = np.unique(np.asarray(found.column(column)), return_inverse=True)
         patterns = _unpacked(codes, len(names))
-        post, rates, _ = estimate(patterns, np.bincount(where, count, minlength=len(codes)))
-        model.accuracy[aspect] = {n: (float(a), float(b)) for n, (a, b) in zip(names, rates)}
-        label = np.asarray(sample.column(names[-1]).fill_null(ABSTAIN))
-        mine, rows, cols, vals, at = [], [], [], [], 0
-        for t in parts:
-            v = t.votes(model)
-            mine.append(_packed([*[v[k] for k in names[:-1]], label[at:at + t.n]]))
-            r, c, x = t.design(model)
-            rows.append(r + at)
-            cols.append(c)
-            vals.append(x)
-            at += t.n
+        is_label = np.arange(len(names)) == len(names) - 1
+        post, right, _ = estimate(patterns, np.bincount(where, count, minlength=len(codes)), _start(names),
+                                  np.where(is_label, 1.0, 0.001), is_label)
+        model.accuracy[aspect] = dict(zip(names, right.tolist()))
         if at:
-            slot = np.minimum(np.searchsorted(codes, np.concatenate(mine)), len(codes) - 1)
-            model.weights[aspect] = fit_scorer(np.concatenate(rows), np.concatenate(cols), np.concatenate(vals),
-                                               post[slot], _width(settings), settings.rounds).astype(np.float32)
+            label = np.asarray(sample.column(names[-1]).fill_null(ABSTAIN))
+            mine = _packed([*[np.concatenate(votes_of[n]) for n in names[:-1]], label])
+            target = post[np.minimum(np.searchsorted(codes, mine), len(codes) - 1)]
+            model.weights[aspect] = fit_scorer(row, col, value, target, _width(settings), settings.rounds).astype(np.float32)
         else:
             model.weights[aspect] = np.zeros(_width(settings), np.float32)
     shared.unpersist()
