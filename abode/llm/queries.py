@@ -17,7 +17,8 @@ N_SHARDS = 24
 
 
 def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return divergence.divergence_rules(read_table(spark, sf_dir, "documents"))
+    found = divergence.divergence_rules(read_table(spark, sf_dir, "documents"))
+    return found.withColumn("failed_rules", F.array_join("failed_rules", ","))
 
 
 def op2_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,24 +44,26 @@ def assign_shards(df: DataFrame, key: str, weights: Sequence[float], name: str =
 
 
 def with_slots(df: DataFrame, order: Sequence[str], shard: str = "shard", name: str = "slot") -> DataFrame:
-    """Gapless positions from 0 within each shard.
+    """Gapless positions from 0 within each shard, by an md5 of the order columns, then by the columns.
 
     A shard may hold any share of the rows, so none is numbered in one task:
-    rows are numbered within buckets of (shard, hash of the order columns),
-    and the buckets' counts, one row each, give the offsets.
+    the md5's range is cut into buckets, rows are numbered within (shard,
+    bucket), and the buckets' counts, one row each, give the offsets. The cut
+    changes no position.
     """
-    spark = df.sparkSession
-    n_rows = df.count()
-    n_buckets = max(1, -(-n_rows // BUCKET_ROWS))
-    narrow = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(n_buckets)).cast("int"))
-    sizes = narrow.groupBy(shard, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    n_buckets = max(1, -(-df.count() // BUCKET_ROWS))
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in order])
+    place = F.conv(F.substring(F.md5(text), 1, _HEX_DIGITS), 16, 10).cast("long")
+    width = -(-(16 ** _HEX_DIGITS) // n_buckets)
+    rows = df.withColumn("_place", place).withColumn("_bucket", F.floor(F.col("_place") / F.lit(width)).cast("int"))
+    sizes = rows.groupBy(shard, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(shard, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy(shard, "_bucket").orderBy(*order)
-    numbered = narrow.withColumn("_row", F.row_number().over(within) - 1)
+    within = Window.partitionBy(shard, "_bucket").orderBy("_place", *order)
+    numbered = rows.withColumn("_row", F.row_number().over(within) - 1)
     return numbered.join(offsets, [shard, "_bucket"]) \
         .withColumn(name, (F.col("_offset") + F.col("_row")).cast("long")) \
-        .drop("_bucket", "_offset", "_row")
+        .drop("_place", "_bucket", "_offset", "_row")
 
 
 def write_shards(df: DataFrame, path: str, shard: str = "shard", files_per_shard: int = 8) -> None:

@@ -223,6 +223,12 @@ def test_op5_law(spark, odd, odd_docs, given):
         assert all(len(s) == 1 for s in of.values())
 
 
+def test_op5_buckets_change_nothing(spark, monkeypatch):
+    one = Q.op5_rendezvous_shards(spark, cases.SF).collect()
+    monkeypatch.setattr(rendezvous, "BUCKET_ROWS", 7)
+    check(Q.op5_rendezvous_shards(spark, cases.SF).collect(), one)
+
+
 def test_op5_weights(spark):
     rows = rendezvous.assign_shards(spark.range(20_000), "id", [1, 0, 2, 1]).groupBy("shard").count().collect()
     share = {r["shard"]: r["count"] / 20_000 for r in rows}
