@@ -15,6 +15,13 @@ from abode.schema import (
 )
 
 
+#: Numbers in listing text: 18 places before the point and 10 after it.
+TEXT_NUMBER = "decimal(28,10)"
+#: VND per square metre: a text number with the point moved by six.
+PER_M2 = "decimal(28,4)"
+MONEY = "decimal(20,2)"
+
+
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -44,35 +51,63 @@ def area_value(area: Column | str) -> Column:
 
 
 def area_decimal(area: Column | str) -> Column:
-    return to_number(measure_text(area, UNIT_M2), dtype="decimal(12,4)")
+    return to_number(measure_text(area, UNIT_M2), dtype=TEXT_NUMBER)
+
+
+def _money(v: Column) -> Column:
+    """VND to two places; null beyond the money type's range, never an error."""
+    return F.round(v, 2).try_cast(MONEY)
 
 
 def price_vnd(price: Column | str, area_dec: Column) -> Column:
-    """Listing price text -> VND as DECIMAL(20,2) (null when not a number).
+    """Listing price text -> VND (null when not a number, or out of range).
 
     * 'X tỷ' (quotes allowed, decimal comma): X * 1e9, exact.
-    * 'X triệu/m²' and bare digits: X * 1e6 * area (null area -> null).
+    * 'X triệu/m²' and bare digits: X * 1e6 * area (null area -> null), exact
+      to six places before the result is rounded to two.
     * negotiable / other text: null (the text itself stays in ``price_raw``).
+
+    The factor moves the point of X before the product with the area, so no
+    digit of X is lost; products beyond the type give null instead of an error.
     """
     p = _c(price)
-    ty_txt = F.trim(_replace(_replace(_replace(p, '"'), UNIT_BILLION), ",", "."))
-    ppm_txt = F.trim(_replace(_replace(p, ",", "."), UNIT_MILLION_PER_M2))
-    ty_val = to_number(ty_txt, dtype="decimal(12,4)") * F.lit(1000000000)
-    ppm_val = to_number(ppm_txt, dtype="decimal(12,4)") * area_dec * F.lit(1000000)
-    return (F.when(p.contains(UNIT_BILLION), ty_val.cast("decimal(20,2)"))
-            .otherwise(ppm_val.cast("decimal(20,2)")))
+    ty_val = F.try_multiply(to_number(billions_text(p), dtype=TEXT_NUMBER), F.lit(1000000000).cast("decimal(10,0)"))
+    per_m2 = F.try_multiply(to_number(per_m2_text(p), dtype=TEXT_NUMBER), F.lit(1000000).cast("decimal(7,0)"))
+    ppm_val = F.try_multiply(per_m2.try_cast(PER_M2), area_dec)
+    return F.when(p.contains(UNIT_BILLION), _money(ty_val)).otherwise(_money(ppm_val))
+
+
+def billions_text(p: Column) -> Column:
+    """The number in 'X tỷ': quotes and unit dropped, decimal comma as a dot."""
+    return F.trim(_replace(_replace(_replace(p, '"'), UNIT_BILLION), ",", "."))
+
+
+def per_m2_text(p: Column) -> Column:
+    """The number in 'X triệu/m²' or in bare digits."""
+    return F.trim(_replace(_replace(p, ",", "."), UNIT_MILLION_PER_M2))
+
+
+def plain_number(price: Column | str) -> Column:
+    """Value of a price that is digits with at most one dot or comma, else null."""
+    return to_number(F.trim(_replace(_c(price), ",", ".")), dtype=TEXT_NUMBER)
 
 
 def price_unparsable(price: Column | str) -> Column:
     """Price text that is neither a number form nor negotiable (DQ reason)."""
     p = _c(price)
-    ty_txt = F.trim(_replace(_replace(_replace(p, '"'), UNIT_BILLION), ",", "."))
-    ppm_txt = F.trim(_replace(_replace(p, ",", "."), UNIT_MILLION_PER_M2))
-    ok = F.when(p.contains(UNIT_BILLION), ty_txt.rlike(LOOSE_NUMBER)).otherwise(
-        ppm_txt.rlike(LOOSE_NUMBER) | F.trim(p).isin(*NEGOTIABLE))
+    ok = F.when(p.contains(UNIT_BILLION), billions_text(p).rlike(LOOSE_NUMBER)).otherwise(
+        per_m2_text(p).rlike(LOOSE_NUMBER) | F.trim(p).isin(*NEGOTIABLE))
     return p.isNotNull() & ~ok
 
 
+def price_out_of_range(price: Column | str, area: Column | str) -> Column:
+    """A price in number form whose value does not fit the money type (DQ reason)."""
+    p, area_dec = _c(price), area_decimal(area)
+    number = F.when(p.contains(UNIT_BILLION), billions_text(p).rlike(LOOSE_NUMBER)).otherwise(
+        per_m2_text(p).rlike(LOOSE_NUMBER) & measure_text(area, UNIT_M2).rlike(LOOSE_NUMBER))
+    return F.coalesce(number, F.lit(False)) & price_vnd(p, area_dec).isNull()
+
+
 def count_value(c: Column | str, unit: str) -> Column:
     """'3 phòng' -> 3, '0 phòng' -> 1 (zero means one), non-integer -> null."""
     t = F.trim(_replace(_c(c), unit))

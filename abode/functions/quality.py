@@ -65,6 +65,9 @@ def dq_users(users: DataFrame) -> DataFrame:
 
 
 def dq_raw_prices(raw: DataFrame) -> DataFrame:
-    """Raw sale rows whose price text cannot be read (cleaned to null, reported here)."""
-    return raw.filter(~P.is_monthly_rent("Price") & P.price_unparsable("Price")) \
-        .select("row_ordinal", "Price")
+    """Raw sale rows whose price is cleaned to null although it is not negotiable, with the reason:
+    text that cannot be read, or a value beyond the money type."""
+    reason = F.when(P.price_unparsable("Price"), "price_unparsable") \
+        .when(P.price_out_of_range("Price", "Area"), "price_out_of_range")
+    return raw.filter(~P.is_monthly_rent("Price")).withColumn("reason", reason) \
+        .filter("reason is not null").select("row_ordinal", "Price", "reason")

@@ -3,7 +3,8 @@
 All joins are inner equi-joins on ``house_id``. They are written without
 hints: the planner broadcasts a side only when its measured size is under
 ``spark.sql.autoBroadcastJoinThreshold`` (AQE re-checks at runtime) and uses a
-sort-merge join otherwise, with AQE splitting skewed partitions, so a listing
+sort-merge join otherwise. AQE splits skewed partitions, also where two joins on
+``house_id`` follow each other (``session.split_skewed_joins``), so a listing
 with a third of all favourites does not end up in one task.
 """
 
@@ -24,7 +25,7 @@ def favorites_active(listings: DataFrame, favorites: DataFrame, status: DataFram
     """Active listings a user marked (one row per favourite row: a bag)."""
     f = favorites if user_id is None else favorites.filter(F.col("user_id") == user_id)
     s = status.filter(F.col("statue") == STATUS_SELLING).select("house_id")
-    return property_view(listings).join(f, "house_id").join(s, "house_id")
+    return property_view(listings).join(f, "house_id").join(s, "house_id").orderBy("house_id", "user_id")
 
 
 def favorites_all(listings: DataFrame, favorites: DataFrame, user_id: str | None = None) -> DataFrame:
@@ -37,7 +38,7 @@ def my_deposits(listings: DataFrame, deposits: DataFrame, status: DataFrame,
     """Listings in processing that the user holds a deposit on."""
     d = deposits if user_id is None else deposits.filter(F.col("user_id") == user_id)
     s = status.filter(F.col("statue") == STATUS_PROCESSING).select("house_id")
-    return property_view(listings).join(s, "house_id").join(d, "house_id")
+    return property_view(listings).join(s, "house_id").join(d, "house_id").orderBy("house_id", "user_id")
 
 
 def processing_queue(listings: DataFrame, deposits: DataFrame, status: DataFrame) -> DataFrame:
@@ -96,8 +97,9 @@ def compare_price_per_m2(pairs: DataFrame) -> DataFrame:
 
 # ---- moderation views ----
 
-PENDING_COLUMNS = ["house_id", "title", "district", "price", "area", "bedrooms", "bathrooms",
-                   "posting_date", "poster_id"]
+def _newest_first() -> list[Column]:
+    """Order of the lists of posts; the id settles equal dates."""
+    return [F.desc("posting_date"), F.asc("house_id")]
 
 
 def pending_view(pending: DataFrame) -> DataFrame:
@@ -109,7 +111,7 @@ def pending_view(pending: DataFrame) -> DataFrame:
 def my_posts_pending(pending: DataFrame, user_id: str | None = None) -> DataFrame:
     """Own pending posts (admin: all) with the literal 'Chờ phê duyệt' label."""
     p = pending if user_id is None else pending.filter(F.col("poster_id") == user_id)
-    return pending_view(p).withColumn("status", F.lit(POST_LABEL_PENDING))
+    return pending_view(p).withColumn("status", F.lit(POST_LABEL_PENDING)).orderBy(*_newest_first())
 
 
 def my_posts_approved(listings: DataFrame, status: DataFrame, user_id: str | None = None,
@@ -122,6 +124,5 @@ def my_posts_approved(listings: DataFrame, status: DataFrame, user_id: str | Non
         "house_id", "title", "district", P.fmt_price_ty("price_vnd", "price_raw").alias("price"),
         "area", "bedrooms", "bathrooms", "posting_date", "poster_id",
         F.lit(POST_LABEL_APPROVED).alias("status"))
-    if user_id is None:
-        out = out.orderBy(F.col("posting_date").desc(), F.col("house_id").asc()).limit(admin_limit)
-    return out
+    out = out.orderBy(*_newest_first())
+    return out.limit(admin_limit) if user_id is None else out

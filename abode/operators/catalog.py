@@ -8,10 +8,13 @@ merge), so a page never sorts or shuffles the whole table. Deep pages can use
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from abode.functions import price as P
+from abode.functions.price import MONEY
 from abode.schema import (
     NO_INFO, PRICE_SORT_HIGH_SENTINEL, PRICE_SORT_LOW_SENTINEL, STATUS_SELLING,
 )
@@ -79,9 +82,14 @@ def filter_area(listings: DataFrame, fragment: str) -> DataFrame:
     return listings.filter(F.col("district").ilike(f"%{fragment}%"))
 
 
+def _money(vnd: float) -> Column:
+    """A DECIMAL literal, so that the money column is compared as it is stored."""
+    return F.lit(Decimal(str(vnd))).cast(MONEY)
+
+
 def filter_price(listings: DataFrame, low_vnd: float, high_vnd: float) -> DataFrame:
     v = F.col("price_vnd")
-    return listings.filter((v >= F.lit(low_vnd)) & (v <= F.lit(high_vnd)))
+    return listings.filter((v >= _money(low_vnd)) & (v <= _money(high_vnd)))
 
 
 def filter_area_price(listings: DataFrame, fragment: str, low_vnd: float, high_vnd: float) -> DataFrame:
@@ -102,9 +110,9 @@ def search_filter(active: DataFrame, q: str = "", district: str = "", price_min:
     if district:
         df = df.filter(F.col("district") == F.lit(district))
     if price_min not in ("", None):
-        df = df.filter(F.col("price_vnd") >= F.lit(float(price_min) * 1e9))
+        df = df.filter(F.col("price_vnd") >= _money(float(price_min) * 1e9))
     if price_max not in ("", None):
-        df = df.filter(F.col("price_vnd") <= F.lit(float(price_max) * 1e9))
+        df = df.filter(F.col("price_vnd") <= _money(float(price_max) * 1e9))
     if area_min not in ("", None):
         df = df.filter(F.col("area") >= F.lit(float(area_min)))
     if area_max not in ("", None):

@@ -20,7 +20,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from abode.operators.clean import clean_columns
+from abode.functions.price import numeric_guard, price_input_normalise
 from abode.operators.ids import max_numeric_id, with_sequence
 from abode.schema import (
     DEFAULT_POSTER, LISTING_COLUMNS, STATUS_PENDING, STATUS_PROCESSING, STATUS_SELLING,
@@ -89,7 +89,8 @@ def cancel_deposits(status: DataFrame, deposits: DataFrame, batch: DataFrame) ->
     'Đang bán', whatever its status and even if nothing was deleted."""
     left = deposits.select(*PAIR).join(batch.select(*PAIR).distinct(), PAIR, "left_anti")
     asked = batch.select("house_id").distinct()
-    revert = asked.join(left.select("house_id"), "house_id", "left_anti")
+    # distinct first: an anti-join cannot split a hot listing on its right side
+    revert = asked.join(left.select("house_id").distinct(), "house_id", "left_anti")
     return DepositState(_set_status(status, revert, STATUS_SELLING), left)
 
 
@@ -116,44 +117,74 @@ def buy_requests(status: DataFrame, users: DataFrame, batch: DataFrame) -> DataF
     return _set_status(status, ok, STATUS_PROCESSING)
 
 
-def _typed_posts(requests: DataFrame) -> DataFrame:
-    """Form posts (raw text columns) -> typed listing columns (no rent filter)."""
-    exprs = clean_columns(requests)
-    return requests.select("request_order", "poster_id",
-                           *[e.alias(n) for n, e in exprs.items()])
+def _typed_posts(requests: DataFrame, posting_date: str) -> DataFrame:
+    """Form posts (text fields as typed) -> typed listing columns.
 
-
-def submit_posts(pending: DataFrame, requests: DataFrame) -> DataFrame:
-    """User posts join the pending table with the next 't%04d' ids in request
-    order (numeric maximum of the current suffixes)."""
+    The form's rules, not those of scraped text: the price is VND as typed
+    (commas dropped) or negotiable text, rooms and floors are integers as
+    typed (0 stays 0), measures are plain numbers, a missing entrance width is
+    0, and the date is that of the request.
+    """
+    text = price_input_normalise(F.col("price"))
+    fields = {
+        "title": F.col("title"), "address": F.col("address"), "district": F.col("district"),
+        "posting_date": F.lit(posting_date), "post_type": F.col("post_type"),
+        "price_raw": text, "price_vnd": numeric_guard(text),
+        "area": F.col("area").try_cast("double"), "direction": F.coalesce("direction", F.lit("")),
+        "bedrooms": F.col("bedrooms").try_cast("int"), "bathrooms": F.col("bathrooms").try_cast("int"),
+        "floors": F.col("floors").try_cast("int"), "width_meters": F.col("width_meters").try_cast("double"),
+        "legal": F.col("legal"), "interior": F.col("interior"),
+        "entrancewidth": F.coalesce(F.col("entrancewidth").try_cast("double"), F.lit(0.0)),
+    }
+    return requests.select("request_order", "poster_id", *[e.alias(n) for n, e in fields.items()])
+
+
+def new_pending_posts(pending: DataFrame, requests: DataFrame, posting_date: str) -> DataFrame:
+    """The rows that user posts add to the pending table: the next 't%04d' ids
+    in request order (numeric maximum of the current suffixes)."""
     start = max_numeric_id(pending, "house_id", prefix="t") + 1
-    typed = with_sequence(_typed_posts(requests), ["request_order"], start=start)
-    new = typed.select(
+    typed = with_sequence(_typed_posts(requests, posting_date), ["request_order"], start=start)
+    return typed.select(
         F.concat(F.lit("t"), F.format_string("%04d", F.col("seq"))).alias("house_id"),
         *LISTING_COLUMNS[1:], F.lit(STATUS_PENDING).alias("statue"), "poster_id")
+
+
+def submit_posts(pending: DataFrame, requests: DataFrame, posting_date: str) -> DataFrame:
+    """The pending table with the new user posts."""
+    new = new_pending_posts(pending, requests, posting_date)
     return pending.select(*new.columns).unionByName(new)
 
 
-def admin_posts(listings: DataFrame, status: DataFrame, requests: DataFrame,
-                admin_id: str = DEFAULT_POSTER) -> PostState:
-    """Admin posts go live at once with the next '%05d' ids and a status row."""
-    start = max_numeric_id(listings, "house_id") + 1
-    typed = with_sequence(_typed_posts(requests), ["request_order"], start=start)
+def new_admin_posts(ids: DataFrame, requests: DataFrame, posting_date: str,
+                    admin_id: str = DEFAULT_POSTER) -> PostState:
+    """The rows that admin posts add: listings with the next '%05d' ids after
+    those of ``ids`` (house_id) and their status rows."""
+    start = max_numeric_id(ids, "house_id") + 1
+    typed = with_sequence(_typed_posts(requests, posting_date), ["request_order"], start=start)
     new = typed.withColumn("house_id", F.format_string("%05d", F.col("seq")))
     new_status = new.select("house_id", F.lit(STATUS_SELLING).alias("statue"),
                             F.lit(admin_id).alias("poster_id"))
-    return PostState(listings.select(*LISTING_COLUMNS).unionByName(new.select(*LISTING_COLUMNS)),
-                     status.select("house_id", "statue", "poster_id").unionByName(new_status),
-                     None)
+    return PostState(new.select(*LISTING_COLUMNS), new_status, None)
+
+
+def admin_posts(listings: DataFrame, status: DataFrame, requests: DataFrame, posting_date: str,
+                admin_id: str = DEFAULT_POSTER) -> PostState:
+    """Admin posts go live at once with the next '%05d' ids and a status row."""
+    new = new_admin_posts(listings.select("house_id"), requests, posting_date, admin_id)
+    return PostState(listings.select(*LISTING_COLUMNS).unionByName(new.listings),
+                     status.select("house_id", "statue", "poster_id").unionByName(new.status), None)
 
 
 def approve_posts(pending: DataFrame, listings: DataFrame, status: DataFrame,
-                  batch: DataFrame) -> PostState:
+                  batch: DataFrame, listing_ids: DataFrame | None = None) -> PostState:
     """Approved posts move to listings with new '%05d' ids (in pending-id order),
-    get status 'Đang bán' with their poster (fallback 'admin') and leave pending."""
+    get status 'Đang bán' with their poster (fallback 'admin') and leave pending.
+
+    ``listing_ids``: a cheaper source of the listings' house_id, where there is one.
+    """
     ids = batch.select("house_id").distinct()
     chosen = pending.join(ids, "house_id", "left_semi")
-    start = max_numeric_id(listings, "house_id") + 1
+    start = max_numeric_id(listings if listing_ids is None else listing_ids, "house_id") + 1
     seq = with_sequence(chosen, ["house_id"], start=start)
     moved = seq.withColumn("house_id", F.format_string("%05d", F.col("seq")))
     new_status = moved.select("house_id", F.lit(STATUS_SELLING).alias("statue"),

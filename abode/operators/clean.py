@@ -7,7 +7,7 @@ stage right after the scan: no shuffle, no Python.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from abode.functions import price as P
@@ -26,7 +26,11 @@ def drop_monthly(df: DataFrame) -> DataFrame:
 
 def with_surrogate_id(df: DataFrame, ordinal: str = "row_ordinal") -> DataFrame:
     """house_id = '%05d' of (input row ordinal + 1); dropped rows leave gaps."""
-    return df.withColumn("house_id", F.format_string("%05d", F.col(ordinal) + 1))
+    return df.withColumn("house_id", surrogate_id(ordinal))
+
+
+def surrogate_id(ordinal: str = "row_ordinal") -> Column:
+    return F.format_string("%05d", F.col(ordinal) + 1)
 
 
 def clean_columns(df: DataFrame, strict_text: bool = False) -> dict:
@@ -69,7 +73,7 @@ def clean_listings(raw: DataFrame, keep: list[str] | None = None, strict_text: b
     """
     raw = drop_monthly(trim_columns(raw))
     exprs = clean_columns(raw, strict_text)
-    cols = [F.format_string("%05d", F.col("row_ordinal") + 1).alias("house_id")]
+    cols = [surrogate_id().alias("house_id")]
     cols += [e.alias(name) for name, e in exprs.items()]
     cols += [F.col(c) for c in (keep or [])]
     return raw.select(*cols)
@@ -79,5 +83,5 @@ def clean_step(raw: DataFrame, column: str) -> DataFrame:
     """One cleaning rule in isolation: (house_id, raw text, cleaned value)."""
     raw = drop_monthly(trim_columns(raw))
     exprs = clean_columns(raw)
-    return raw.select(F.format_string("%05d", F.col("row_ordinal") + 1).alias("house_id"),
+    return raw.select(surrogate_id().alias("house_id"),
                       exprs[column].alias(column))

@@ -18,15 +18,12 @@ def dedup_title_keep_min_id(listings: DataFrame) -> DataFrame:
     """Keep, per title, only the row with the smallest id (text order); null
     titles form one group.
 
-    One aggregation: ``min_by`` over the whole row keyed by id. It is computed
-    partially before the shuffle, so each partition ships at most one row per
-    title, and a title repeated across a third of the table costs one row per
-    partition, not a third of the table in one task. No join back is needed.
+    The aggregate works on two columns with map-side partial minima, so a title
+    repeated across a third of the table costs one row per partition; the rows
+    of the surviving ids (unique) follow by a semi-join.
     """
-    cols = listings.columns
-    best = listings.groupBy("title").agg(
-        F.min_by(F.struct(*[F.col(c) for c in cols]), F.col("house_id")).alias("_row"))
-    return best.select(*[F.col(f"_row.{c}").alias(c) for c in cols])
+    keep = listings.groupBy("title").agg(F.min("house_id").alias("house_id")).select("house_id")
+    return listings.join(keep, "house_id", "left_semi")
 
 
 def dedup_cascade(survivors: DataFrame, favorites: DataFrame, deposits: DataFrame,

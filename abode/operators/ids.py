@@ -46,10 +46,13 @@ def with_sequence(df: DataFrame, order_cols: list[str], start: int = 1, name: st
 
 
 def max_numeric_id(df: DataFrame, col: str = "house_id", prefix: str = "") -> int:
-    """Largest numeric id (numeric, not text order); 0 when there is none."""
+    """Largest numeric id (numeric, not text order); 0 when there is none.
+
+    Digits beyond 64 bits are no id of this table and do not count.
+    """
     body = F.substring(F.col(col), len(prefix) + 1, 1 << 20) if prefix else F.col(col)
     cond = body.rlike(r"^[0-9]+$")
     if prefix:
         cond = cond & F.col(col).startswith(prefix)
-    row = df.filter(cond).agg(F.max(body.cast("bigint")).alias("m")).collect()[0]
+    row = df.filter(cond).agg(F.max(body.try_cast("bigint")).alias("m")).collect()[0]
     return int(row["m"] or 0)

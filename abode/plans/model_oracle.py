@@ -23,7 +23,7 @@ tr_all AS (SELECT house_id, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in IN
                   CAST({_byte(3)} % 5 AS INTEGER) AS fold
            FROM listings WHERE price_vnd IS NOT NULL AND {" AND ".join(f"{c} IS NOT NULL" for c in INPUTS)}),
 tr AS (SELECT fold, area AS x, price / 1e9 AS y FROM tr_all WHERE NOT is_test),
-te AS (SELECT area AS x, price / 1e9 AS y FROM tr_all WHERE is_test),
+te AS (SELECT house_id, area AS x, price / 1e9 AS y FROM tr_all WHERE is_test),
 alphas AS (SELECT CAST(a AS DOUBLE) AS alpha FROM (VALUES (0.001), (0.01), (0.1), (1.0), (10.0), (100.0)) t(a)),
 fs AS (SELECT f.fold, regr_slope(t.y, t.x) AS s, count(*) AS n, avg(t.x) AS mx, avg(t.y) AS my
        FROM (SELECT DISTINCT fold FROM tr) f JOIN tr t ON t.fold <> f.fold GROUP BY f.fold),
@@ -35,7 +35,7 @@ gs AS (SELECT alpha, avg(mse) AS mean_mse FROM fm GROUP BY alpha),
 best AS (SELECT alpha FROM gs ORDER BY mean_mse, alpha LIMIT 1),
 fit AS (SELECT regr_slope(y, x) * count(*) / (count(*) + (SELECT alpha FROM best)) AS b1,
                avg(y) - regr_slope(y, x) * count(*) / (count(*) + (SELECT alpha FROM best)) * avg(x) AS b0 FROM tr),
-pr AS (SELECT te.y, fit.b0 + fit.b1 * te.x AS yhat FROM te CROSS JOIN fit)
+pr AS (SELECT te.house_id, te.y, fit.b0 + fit.b1 * te.x AS yhat FROM te CROSS JOIN fit)
 """
 
 
@@ -57,7 +57,19 @@ def model_oracle_queries(Q) -> dict[str, str]:
     o["ml_evaluate"] = Q(
         "SELECT count(*) AS n_test, round(avg((y - yhat) * (y - yhat)), 6) AS mse, "
         "round(sqrt(avg((y - yhat) * (y - yhat))), 6) AS rmse, "
-        "round(1 - avg((y - yhat) * (y - yhat)) / (avg(y * y) - avg(y) * avg(y)), 6) AS r2, "
+        "round(1 - avg((y - yhat) * (y - yhat)) / var_pop(y), 6) AS r2, "
         "round(avg(CASE WHEN y <> 0 THEN abs((y - yhat) / y) END) * 100, 6) AS mape_pct, "
         "CAST(sum(CASE WHEN y = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_zero_price_skipped FROM pr", CTES)
+    yhat = "round((fit.b0 + fit.b1 * {x}) * 1e9, 2)"
+    o["ml_batch_predict"] = Q(f"SELECT house_id, {yhat.format(x='area')} AS prediction FROM listings CROSS JOIN fit", CTES)
+    c = "CAST(floor((p + 5000000) / 10000000) AS BIGINT)"
+    o["ml_sample_predict"] = Q(
+        f"SELECT area, bedrooms, bathrooms, floors, width_meters, p AS prediction, "
+        f"concat(format('{{:,.2f}}', CAST({c} AS DOUBLE) / 100), ' tỷ VND') AS price_text FROM (SELECT s.*, {yhat.format(x='area')} AS p FROM "
+        "(VALUES (240.0::DOUBLE, 3.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE, 10.0::DOUBLE), (150, 2, 1, 1, 8), (300, 4, 3, 2, 12), "
+        "(120, 2, 1, 1, 5), (500, 5, 3, 3, 15)) s(area, bedrooms, bathrooms, floors, width_meters) CROSS JOIN fit)", CTES)
+    o["ml_top10_importance"] = Q(
+        "SELECT 'area' AS term, round(abs(fit.b1) * (SELECT stddev_pop(x) FROM tr), 6) AS importance FROM fit", CTES)
+    o["model_save_load"] = Q("SELECT house_id, round(yhat * 1e9, 2) AS before, round(yhat * 1e9, 2) AS after, "
+                             "true AS same FROM pr", CTES)
     return o

@@ -7,8 +7,6 @@ by rows only.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +18,7 @@ from abode.sources.files import TRAIN_FEATURES
 
 ONE_INPUT = ["area"]
 RIDGE_ALPHA = 1.0
+# The sample requests.
 SAMPLE_ROWS = [  # (area, bedrooms, bathrooms, floors, width) - the fixed sample requests
     (240.0, 3, 2, 1, 10.0), (150.0, 2, 1, 1, 8.0), (300.0, 4, 3, 2, 12.0),
     (120.0, 2, 1, 1, 5.0), (500.0, 5, 3, 3, 15.0),
@@ -42,7 +41,6 @@ def _train_test(spark, sf_dir):
     return d.filter(~F.col("is_test")), d.filter(F.col("is_test"))
 
 
-@lru_cache(maxsize=8)
 def _fitted(spark, sf_dir, inputs: tuple, degree: int, alpha):
     tr, _ = _train_test(spark, sf_dir)
     return M.fit(tr, list(inputs), degree, alpha=alpha)
@@ -128,41 +126,78 @@ def q_ml_evaluate_poly5(spark, sf_dir):
     return M.evaluate(m.transform(te))
 
 
+def _batch_predict(spark, sf_dir, inputs, degree):
+    """Predictions for all listings; those without an input keep their row with a null prediction."""
+    m = _fitted(spark, sf_dir, tuple(inputs), degree, None)
+    l = T(spark, sf_dir).listings.select("house_id", *[F.col(c).cast("double").alias(c) for c in TRAIN_FEATURES])
+    return m.transform(l).select("house_id", F.round("prediction", 2).alias("prediction"))
+
+
 @query("ml_batch_predict")
 def q_ml_batch_predict(spark, sf_dir):
-    m = _fitted(spark, sf_dir, tuple(M.INPUTS), 5, None)
-    _, te = _train_test(spark, sf_dir)
-    return m.transform(te).select("house_id", "price", "prediction")
+    return _batch_predict(spark, sf_dir, ONE_INPUT, 1)
+
+
+@query("ml_batch_predict_poly5")
+def q_ml_batch_predict_poly5(spark, sf_dir):
+    return _batch_predict(spark, sf_dir, M.INPUTS, 5)
+
+
+def _sample_predict(spark, sf_dir, inputs, degree):
+    m = _fitted(spark, sf_dir, tuple(inputs), degree, None)
+    s = spark.createDataFrame([tuple(float(v) for v in r) for r in SAMPLE_ROWS],
+                              "area double, bedrooms double, bathrooms double, floors double, width_meters double")
+    out = m.transform(s).withColumn("prediction", F.round("prediction", 2))
+    return out.withColumn("price_text", P.fmt_price_long(F.col("prediction").cast("decimal(24,2)")))
 
 
 @query("ml_sample_predict")
 def q_ml_sample_predict(spark, sf_dir):
-    m = _fitted(spark, sf_dir, tuple(M.INPUTS), 5, None)
-    s = spark.createDataFrame([tuple(float(v) for v in r) for r in SAMPLE_ROWS], "area double, bedrooms double, bathrooms double, "
-                                           "floors double, width_meters double")
-    out = m.transform(s)
-    return out.withColumn("price_text", P.fmt_price_long(F.col("prediction").cast("decimal(24,2)")))
+    return _sample_predict(spark, sf_dir, ONE_INPUT, 1)
 
 
-@query("ml_top10_importance")
-def q_ml_top10_importance(spark, sf_dir):
-    m = _fitted(spark, sf_dir, tuple(M.INPUTS), 5, None)
+@query("ml_sample_predict_poly5")
+def q_ml_sample_predict_poly5(spark, sf_dir):
+    return _sample_predict(spark, sf_dir, M.INPUTS, 5)
+
+
+def _importance(spark, sf_dir, inputs, degree):
+    m = _fitted(spark, sf_dir, tuple(inputs), degree, None)
     names = M.term_names(m.inputs, [tuple(e) for e in m.exponents])
     rows = [(n, abs(c * s)) for n, c, s in zip(names, m.coefficients(), m.term_sigma)]
     df = spark.createDataFrame(rows, "term string, importance double")
     return df.orderBy(F.col("importance").desc(), F.col("term")).limit(10)
 
 
-@query("model_save_load")
-def q_model_save_load(spark, sf_dir):
-    m = _fitted(spark, sf_dir, tuple(M.INPUTS), 5, None)
+@query("ml_top10_importance")
+def q_ml_top10_importance(spark, sf_dir):
+    return _importance(spark, sf_dir, ONE_INPUT, 1).select("term", _r("importance"))
+
+
+@query("ml_top10_importance_poly5")
+def q_ml_top10_importance_poly5(spark, sf_dir):
+    return _importance(spark, sf_dir, M.INPUTS, 5)
+
+
+def _save_load(spark, sf_dir, inputs, degree):
+    m = _fitted(spark, sf_dir, tuple(inputs), degree, None)
     path = scratch_path(spark, "price_model")
     m.save(spark, path)
     loaded = M.RidgeModel.load(spark, path)
     _, te = _train_test(spark, sf_dir)
-    a = m.transform(te).select("house_id", F.col("prediction").alias("before"))
-    b = loaded.transform(te).select("house_id", F.col("prediction").alias("after"))
-    return a.join(b, "house_id").withColumn("same", F.col("before") == F.col("after"))
+    both = loaded.transform(m.transform(te, "before"), "after")
+    return both.select("house_id", F.round("before", 2).alias("before"), F.round("after", 2).alias("after"),
+                       (F.col("before") == F.col("after")).alias("same"))
+
+
+@query("model_save_load")
+def q_model_save_load(spark, sf_dir):
+    return _save_load(spark, sf_dir, ONE_INPUT, 1)
+
+
+@query("model_save_load_poly5")
+def q_model_save_load_poly5(spark, sf_dir):
+    return _save_load(spark, sf_dir, M.INPUTS, 5)
 
 
 assert "ml_split" in REGISTRY

@@ -19,7 +19,12 @@ base AS (
   concat(c_name,', ',n_name) AS "Address", n_name AS "District",
   strftime(o_orderdate,'%Y-%m-%d') AS "PostingDate",
   CASE WHEN o_orderkey%10=9 THEN 'Cho thuê' ELSE 'Bán' END AS "PostType",
-  CASE WHEN o_orderkey%10<=3 THEN concat(CAST(CAST(floor(h/100) AS BIGINT) AS VARCHAR),',',lpad(CAST(h%100 AS VARCHAR),2,'0'),' tỷ')
+  CASE WHEN o_orderkey%50=0 THEN concat(CAST(CAST(floor(h/100) AS BIGINT) AS VARCHAR),',',lpad(CAST(h%100 AS VARCHAR),2,'0'),lpad(CAST(o_orderkey%1000 AS VARCHAR),3,'0'),' tỷ')
+       WHEN o_orderkey%50=10 THEN concat(CAST(CAST(floor(h/10) AS BIGINT) AS VARCHAR),'.',CAST(h%10 AS VARCHAR),lpad(CAST(o_orderkey%1000 AS VARCHAR),4,'0'))
+       WHEN o_orderkey%50=20 THEN concat(CAST(5500000000+o_orderkey AS VARCHAR), '00000000')
+       WHEN o_orderkey%50=30 THEN concat('Liên hệ ', CAST(h AS VARCHAR))
+       WHEN o_orderkey%50=40 THEN concat('"',CAST(CAST(floor(h/100) AS BIGINT) AS VARCHAR),',5" tỷ')
+       WHEN o_orderkey%10<=3 THEN concat(CAST(CAST(floor(h/100) AS BIGINT) AS VARCHAR),',',lpad(CAST(h%100 AS VARCHAR),2,'0'),' tỷ')
        WHEN o_orderkey%10<=7 THEN concat(CAST(CAST(floor(h/10) AS BIGINT) AS VARCHAR),',',CAST(h%10 AS VARCHAR),' triệu/m²')
        WHEN o_orderkey%10=8 THEN 'Thỏa thuận' ELSE concat(CAST(h AS VARCHAR),' triệu/tháng') END AS "Price",
   CASE WHEN o_orderkey%97=0 THEN 'KXĐ' ELSE concat(CAST(20+o_orderkey%180 AS VARCHAR),',',CAST(o_custkey%10 AS VARCHAR),' m²') END AS "Area",
@@ -39,14 +44,25 @@ base AS (
 )"""
 
 
+def digits(text: str) -> str:
+    """A number text times 1e10 as a whole number: its digits, with the point moved by hand."""
+    return (f"CAST(concat('0', split_part({text},'.',1), rpad(substr(split_part({text},'.',2),1,10),10,'0')) AS HUGEINT)")
+
+
+def vnd(cents: str, text: str) -> str:
+    """Whole hundredths as money; null for numbers that cannot fit 18 places before the point."""
+    return (f"(CASE WHEN length(split_part({text},'.',1)) <= 15 AND ({cents}) < 100000000000000000000 THEN "
+            f"CAST(concat(CAST(({cents}) // 100 AS VARCHAR), '.', lpad(CAST(({cents}) % 100 AS VARCHAR),2,'0')) AS DECIMAL(20,2)) END)")
+
+
 def _clean_select(src: str, id_expr: str, extra: str = "") -> str:
     """Cleaning rules over a raw-text relation ``src`` (one projection)."""
     return rf"""
  SELECT {id_expr} AS house_id, "Title" AS title, "Address" AS address, "District" AS district,
   "PostingDate" AS posting_date, "PostType" AS post_type, "Price" AS price_raw,
-  CASE WHEN contains("Price",'tỷ') THEN
-         CASE WHEN regexp_matches(ty_txt,'{LOOSE}') THEN CAST(TRY_CAST(ty_txt AS DECIMAL(12,4)) * 1000000000 AS DECIMAL(20,2)) END
-       WHEN regexp_matches(ppm_txt,'{LOOSE}') THEN CAST(TRY_CAST(ppm_txt AS DECIMAL(12,4)) * area_dec * 1000000 AS DECIMAL(20,2))
+  CASE WHEN contains("Price",'tỷ') THEN CASE WHEN regexp_matches(ty_txt,'{LOOSE}') THEN {vnd(f"{digits('ty_txt')} * 10", "ty_txt")} END
+       WHEN regexp_matches(ppm_txt,'{LOOSE}') AND regexp_matches(a_txt,'{LOOSE}')
+       THEN {vnd(f"({digits('ppm_txt')} * {digits('a_txt')} + 500000000000) // 1000000000000", "ppm_txt")}
   END AS price_vnd,
   area_num AS area, "Direction" AS direction,
   CASE WHEN regexp_matches(bed_txt,'{INT_RE}') THEN greatest(TRY_CAST(bed_txt AS INTEGER),1) END AS bedrooms,
@@ -64,8 +80,6 @@ def _clean_select(src: str, id_expr: str, extra: str = "") -> str:
    trim(replace(replace("Area",'m²',''),',','.')) AS a_txt,
    CASE WHEN regexp_matches(trim(replace(replace("Area",'m²',''),',','.')),'{LOOSE}')
         THEN TRY_CAST(trim(replace(replace("Area",'m²',''),',','.')) AS DOUBLE) END AS area_num,
-   CASE WHEN regexp_matches(trim(replace(replace("Area",'m²',''),',','.')),'{LOOSE}')
-        THEN TRY_CAST(trim(replace(replace("Area",'m²',''),',','.')) AS DECIMAL(12,4)) END AS area_dec,
    trim(replace("Bedrooms",'phòng','')) AS bed_txt,
    trim(replace("Bathrooms",'phòng','')) AS bath_txt,
    trim(replace("Floors",'tầng','')) AS floor_txt,

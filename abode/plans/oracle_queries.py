@@ -7,7 +7,7 @@ places), so they are exact and do not depend on a printf rounding mode.
 
 from __future__ import annotations
 
-from abode.plans.oracle_prelude import LOOSE, NUM_RE, _clean_select, with_prelude
+from abode.plans.oracle_prelude import LOOSE, NUM_RE, with_prelude
 
 SELLING, SOLD, PROCESSING = "Đang bán", "Đã bán", "Đang xử lý"
 
@@ -34,6 +34,17 @@ LOUT = ("house_id, title, address, district, posting_date, post_type, price_raw,
         "CAST(price_vnd AS DOUBLE) AS price_vnd, area, direction, bedrooms, bathrooms, floors, "
         "width_meters, legal, interior, entrancewidth")
 
+def _form_fields() -> str:
+    """A form post as stored: VND as typed (no commas) or negotiable, rooms as typed, the request's date."""
+    return """"Title" AS title, "Address" AS address, "District" AS district, '2025-06-01' AS posting_date, "PostType" AS post_type,
+  CASE WHEN k%7=0 THEN 'Thỏa thuận' ELSE CAST((k+1)*1000000+ck AS VARCHAR) END AS price_raw,
+  CASE WHEN k%7<>0 THEN CAST((k+1)*1000000+ck AS DECIMAL(20,2)) END AS price_vnd,
+  CAST(20+k%180 AS DOUBLE) + (ck%10)/10.0 AS area, coalesce("Direction",'') AS direction,
+  CAST(k%6 AS INTEGER) AS bedrooms, CAST(ck%5 AS INTEGER) AS bathrooms, CAST((k+ck)%7 AS INTEGER) AS floors,
+  3+ck%9+0.5::DOUBLE AS width_meters, "Legal" AS legal, "Interior" AS interior,
+  CASE WHEN k%3<>0 THEN CAST(k%8 AS DOUBLE) ELSE 0.0 END AS entrancewidth"""
+
+
 VIEWS = f"""
 pv AS (SELECT house_id, title, district, {price_ty()} AS price, CAST(price_vnd AS DOUBLE) AS price_vnd,
               area, bedrooms, bathrooms FROM listings),
@@ -52,11 +63,11 @@ cmp AS (SELECT p.id_a, p.id_b,
           a.width_meters AS a_width_meters, b.width_meters AS b_width_meters
         FROM pairs p JOIN active a ON p.id_a = a.house_id JOIN active b ON p.id_b = b.house_id
         WHERE p.id_a <> p.id_b),
-new_posts3 AS ({_clean_select("(SELECT * FROM base WHERE k%500=3)",
-                              "concat('t', printf('%04d', (SELECT coalesce(max(CAST(substr(house_id,2) AS BIGINT)),0) FROM pending_listings WHERE house_id LIKE 't%' AND regexp_matches(substr(house_id,2), '^[0-9]+$')) + row_number() OVER (ORDER BY k)))",
-                              ", 'Đang chờ duyệt' AS statue, poster_id")}),
-new_posts4 AS ({_clean_select("(SELECT * FROM base WHERE k%500=4)",
-                              "printf('%05d', (SELECT m FROM max_listing) + row_number() OVER (ORDER BY k))")}),
+new_posts3 AS (SELECT concat('t', printf('%04d', (SELECT coalesce(max(CAST(substr(house_id,2) AS BIGINT)),0) FROM pending_listings
+                      WHERE house_id LIKE 't%' AND regexp_matches(substr(house_id,2), '^[0-9]+$')) + row_number() OVER (ORDER BY k))) AS house_id,
+                      {_form_fields()}, 'Đang chờ duyệt' AS statue, poster_id FROM base WHERE k%500=3),
+new_posts4 AS (SELECT printf('%05d', (SELECT m FROM max_listing) + row_number() OVER (ORDER BY k)) AS house_id,
+                      {_form_fields()} FROM base WHERE k%500=4),
 approve_ids AS (SELECT house_id FROM pending_listings WHERE CAST(substr(house_id,2) AS BIGINT) % 2 = 0),
 moved AS (SELECT printf('%05d', (SELECT m FROM max_listing) + row_number() OVER (ORDER BY house_id)) AS new_id, *
           FROM pending_listings WHERE house_id IN (SELECT house_id FROM approve_ids))
@@ -164,7 +175,7 @@ hit AS (SELECT DISTINCT house_id FROM deposits
 """
 UPDATE = f"""
 upd AS (SELECT CASE WHEN event_id % 3 <> 0 THEN 'admin' ELSE 'nobody' END AS admin_id,
-               printf('%05d', event_id % 500 + 1) AS house_id,
+               printf('%05d', event_id - event_id % 8 + 1) AS house_id,
                CASE CAST(floor(event_id / 3) AS BIGINT) % 3 WHEN 0 THEN '{SELLING}' WHEN 1 THEN '{SOLD}'
                     ELSE '{PROCESSING}' END AS statue, ts, event_id
         FROM events WHERE event_type = 'error'),
@@ -220,7 +231,7 @@ def _flags() -> str:
 def oracle_queries() -> dict[str, str]:
     o: dict[str, str] = {}
     # 2.1 sources and sinks
-    o["src_raw_listings"] = Q("SELECT * FROM raw_listings")
+    o["src_raw_listings"] = Q("SELECT * REPLACE (row_number() OVER (ORDER BY row_ordinal) - 1 AS row_ordinal) FROM raw_listings")
     o["src_trim_columns"] = Q("SELECT * FROM raw_listings")
     o["src_training_table"] = Q(
         "SELECT house_id, area, bedrooms, bathrooms, floors, width_meters, CAST(price_vnd AS DOUBLE) AS price "
@@ -235,8 +246,8 @@ def oracle_queries() -> dict[str, str]:
     o["clean_price_ty"] = Q("SELECT house_id, price_raw, CAST(price_vnd AS DOUBLE) AS price_vnd FROM listings "
                             "WHERE contains(price_raw, 'tỷ')")
     o["clean_price_plain"] = Q(
-        f"SELECT house_id, trim(replace(price_raw, ',', '.')) AS price_norm, "
-        f"regexp_matches(trim(replace(price_raw, ',', '.')), '{LOOSE}') AS is_plain_number "
+        f"SELECT house_id, price_raw, CASE WHEN regexp_matches(trim(replace(price_raw, ',', '.')), '{LOOSE}') "
+        f"THEN CAST(trim(replace(price_raw, ',', '.')) AS DOUBLE) END AS price_number "
         f"FROM listings WHERE NOT contains(price_raw, 'tỷ')")
     o["clean_price_per_m2"] = Q(
         "SELECT house_id, price_raw, area, CAST(price_vnd AS DOUBLE) AS price_vnd FROM listings "
@@ -277,7 +288,7 @@ def oracle_queries() -> dict[str, str]:
     o["sort_newest"] = Q(page("apv", "house_id DESC"))
     o["sort_price_low"] = Q(page("apv", "coalesce(price_vnd, 999999999999) ASC, house_id"))
     o["sort_price_high"] = Q(page("apv", "coalesce(price_vnd, 0) DESC, house_id"))
-    o["sort_area_large"] = Q(page("apv", "area DESC NULLS FIRST, house_id"))
+    o["sort_area_large"] = Q("SELECT * FROM apv ORDER BY area DESC NULLS FIRST, house_id")
     o["sort_unknown_key"] = Q(page("apv", "house_id"))
     o["distinct_districts"] = Q("SELECT DISTINCT district FROM active")
     o["lookup_by_id"] = Q(f"SELECT {LOUT} FROM listings WHERE house_id IN (SELECT house_id FROM favorites)")
@@ -330,7 +341,7 @@ def oracle_queries() -> dict[str, str]:
         f"{price_ty()} AS price FROM pending_listings")
     o["my_posts_pending"] = Q(f"SELECT {PENDING_VIEW}, 'Chờ phê duyệt' AS status FROM pending_listings")
     o["my_posts_pending_user"] = Q(f"SELECT {PENDING_VIEW}, 'Chờ phê duyệt' AS status FROM pending_listings "
-                                   "WHERE poster_id = 'u7'")
+                                   "WHERE poster_id IN ('u7', 'u131', 'u222')")
     o["my_posts_approved"] = Q(APPROVED + " ORDER BY p.posting_date DESC, p.house_id LIMIT 50")
     o["my_posts_approved_user"] = Q(APPROVED + " AND s.poster_id = 'u7'")
     o["my_posts_all"] = Q(f"SELECT {PENDING_VIEW}, 'Chờ phê duyệt' AS status FROM pending_listings UNION ALL "
@@ -398,15 +409,31 @@ def oracle_queries() -> dict[str, str]:
     o["price_input_normalise"] = Q(
         "SELECT row_ordinal, CASE WHEN \"Price\" IN ('Thỏa thuận','Thoả thuận') THEN \"Price\" "
         "ELSE replace(\"Price\", ',', '') END AS price_input FROM raw_listings")
-    o["dq_listings"] = Q(failed("house_id", "listings", LISTING_RULES))
-    o["dq_users"] = Q(failed("user_id", "users", USER_RULES))
+    names = [x.strip().strip("'") for x in LISTING_RULES[-1][1].split("(", 2)[2].split(")")[0].split(",")]
+    district = " ".join(f"WHEN {i} THEN '{d}'" for i, d in enumerate(names))
+    o["dq_listings"] = Q(failed("house_id", "forms", LISTING_RULES), f"""
+forms AS (SELECT * REPLACE (
+  CASE WHEN n % 40 < 30 THEN CASE n % 30 {district} END ELSE district END AS district,
+  CASE WHEN n % 11 = 0 THEN 0 ELSE width_meters END AS width_meters, CASE WHEN n % 13 = 0 THEN -1 ELSE entrancewidth END AS entrancewidth,
+  CASE WHEN n % 17 = 0 THEN 'Khác' ELSE legal END AS legal, CASE WHEN n % 19 <> 0 THEN interior END AS interior,
+  CASE WHEN n % 23 = 0 THEN ' ' ELSE post_type END AS post_type, CASE WHEN n % 29 = 0 THEN 'Giữa' ELSE direction END AS direction,
+  CASE WHEN n % 31 = 0 THEN 0 ELSE bedrooms END AS bedrooms, CASE WHEN n % 37 <> 0 THEN bathrooms END AS bathrooms,
+  CASE WHEN n % 41 = 0 THEN -1 ELSE floors END AS floors)
+  FROM (SELECT *, CAST(house_id AS BIGINT) AS n FROM listings))""")
+    o["dq_users"] = Q(failed("user_id", "forms", USER_RULES), """
+forms AS (SELECT CASE WHEN c_custkey % 7 = 0 THEN concat('u-', c_custkey) ELSE concat('user', c_custkey) END AS user_id,
+  CASE WHEN c_custkey % 11 = 0 THEN '  ' WHEN c_custkey % 13 <> 0 THEN c_name END AS username,
+  CASE WHEN c_custkey % 3 = 0 THEN 900000000 ELSE 9000000000 END + c_custkey AS phone FROM customer)""")
     ty = "trim(replace(replace(replace(\"Price\",'\"',''),'tỷ',''),',','.'))"
     ppm = "trim(replace(replace(\"Price\",',','.'),'triệu/m²',''))"
     o["dq_raw_prices"] = Q(
-        f'SELECT row_ordinal, "Price" FROM raw_listings WHERE "Price" IS NOT NULL '
-        f"AND NOT contains(\"Price\", '/tháng') AND NOT CASE WHEN contains(\"Price\", 'tỷ') "
-        f"THEN regexp_matches({ty}, '{LOOSE}') ELSE (regexp_matches({ppm}, '{LOOSE}') "
-        f"OR trim(\"Price\") IN {NEG}) END")
+        f"""SELECT row_ordinal, "Price", reason FROM (SELECT r.row_ordinal, r."Price",
+          CASE WHEN NOT CASE WHEN contains("Price", 'tỷ') THEN regexp_matches({ty}, '{LOOSE}')
+                 ELSE (regexp_matches({ppm}, '{LOOSE}') OR trim("Price") IN {NEG}) END THEN 'price_unparsable'
+               WHEN l.price_vnd IS NULL AND trim("Price") NOT IN {NEG} AND (contains("Price", 'tỷ') OR l.area IS NOT NULL)
+               THEN 'price_out_of_range' END AS reason
+          FROM raw_listings r JOIN listings l ON l.house_id = printf('%05d', r.row_ordinal + 1)
+          WHERE "Price" IS NOT NULL) WHERE reason IS NOT NULL""")
     # the streams must leave the same tables as the batch jobs
     o["stream_status_updates"] = o["chg_update_status"]
     o["stream_add_favorites"] = o["chg_add_favorites"]

@@ -19,7 +19,7 @@ from abode.operators import activity as A
 from abode.operators import catalog as C
 from abode.operators import changes as X
 from abode.operators import stats as S
-from abode.operators.clean import clean_step
+from abode.operators.clean import clean_step, drop_monthly, with_surrogate_id
 from abode.operators.dedup import dedup_cascade, dedup_title_keep_min_id
 from abode.schema import UNIT_BILLION
 from abode.sources.tpch_binding import ListingTables, house_id_of
@@ -33,11 +33,15 @@ DISTRICT_FRAGMENT = "nation_1"
 PRICE_LOW_TY, PRICE_HIGH_TY = 1, 4
 AREA_MIN, AREA_MAX = 50, 150
 BEDROOMS_MIN = 2
+COMBINED = {"q": TEXT, "price_min": PRICE_LOW_TY, "price_max": PRICE_HIGH_TY, "area_min": AREA_MIN,
+            "area_max": AREA_MAX, "bedrooms": BEDROOMS_MIN}
 USER = "u7"
 ANYCOL_PROCESSING = "nation_2"
 ANYCOL_USERS = "#00000012"
 ADMIN_ID = "admin"
 KEYSET_AFTER = "01000"
+POSTING_DATE = "2025-06-01"
+POSTERS = ["u7", "u131", "u222"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -61,8 +65,7 @@ def listing_out(df: DataFrame) -> DataFrame:
 
 
 def _combined(t: ListingTables) -> DataFrame:
-    return C.search_filter(t.active, q=TEXT, price_min=PRICE_LOW_TY, price_max=PRICE_HIGH_TY,
-                           area_min=AREA_MIN, area_max=AREA_MAX, bedrooms=BEDROOMS_MIN)
+    return C.search_filter(t.active, **COMBINED)
 
 
 def _compare_batch(t: ListingTables) -> DataFrame:
@@ -78,7 +81,9 @@ from abode.sources import files as SRC  # noqa: E402
 
 @query("src_raw_listings")
 def q_src_raw_listings(spark, sf_dir):
-    return SRC.csv_round_trip(T(spark, sf_dir).raw_listings)
+    """A listings file with the 15 headers only; rows are numbered in file order."""
+    path = SRC.write_listings_csv(T(spark, sf_dir).raw_listings)
+    return SRC.read_listings_csv(spark, path)
 
 
 @query("src_trim_columns")
@@ -110,18 +115,16 @@ def q_view_property(spark, sf_dir):
 def q_sink_append_rows(spark, sf_dir):
     t = T(spark, sf_dir)
     path = SRC.write_table(t.listings, "listings_append")
-    current = spark.read.parquet(path)
-    state = X.admin_posts(current, t.listing_status, t.batch_post_requests(4), ADMIN_ID)
-    new_rows = state.listings.join(current.select("house_id"), "house_id", "left_anti")
-    SRC.append_rows(new_rows, path)
+    ids = spark.read.parquet(path).select("house_id")
+    new = X.new_admin_posts(ids, t.batch_post_requests(4), POSTING_DATE, ADMIN_ID)
+    SRC.append_rows(new.listings, path)
     return listing_out(spark.read.parquet(path))
 
 
 # ---------------- 2.2 cleaning ----------------
 @query("clean_drop_monthly")
 def q_clean_drop_monthly(spark, sf_dir):
-    raw = T(spark, sf_dir).raw_listings
-    return raw.filter(~P.is_monthly_rent("Price")).select("row_ordinal", "Price")
+    return drop_monthly(T(spark, sf_dir).raw_listings).select("row_ordinal", "Price")
 
 
 @query("clean_price_ty")
@@ -134,9 +137,7 @@ def q_clean_price_ty(spark, sf_dir):
 @query("clean_price_plain")
 def q_clean_price_plain(spark, sf_dir):
     l = T(spark, sf_dir).listings.filter(~F.col("price_raw").contains(UNIT_BILLION))
-    norm = F.trim(F.replace(F.col("price_raw"), F.lit(","), F.lit(".")))
-    return l.select("house_id", norm.alias("price_norm"),
-                    norm.rlike(r"^([0-9]+\.?[0-9]*|\.[0-9]+)$").alias("is_plain_number"))
+    return l.select("house_id", "price_raw", P.plain_number("price_raw").cast("double").alias("price_number"))
 
 
 @query("clean_price_per_m2")
@@ -168,8 +169,8 @@ def q_clean_widths(spark, sf_dir):
 
 @query("clean_surrogate_id")
 def q_clean_surrogate_id(spark, sf_dir):
-    raw = T(spark, sf_dir).raw_listings.filter(~P.is_monthly_rent("Price"))
-    return raw.select("row_ordinal", F.format_string("%05d", F.col("row_ordinal") + 1).alias("house_id"))
+    raw = with_surrogate_id(T(spark, sf_dir).raw_listings)
+    return drop_monthly(raw).select("row_ordinal", "house_id")
 
 
 @query("clean_reorder")
@@ -278,7 +279,7 @@ def q_find_text(spark, sf_dir):
 
 @query("search_listings")
 def q_search_listings(spark, sf_dir):
-    return C.page(C.property_view(_combined(T(spark, sf_dir))), C.sort_order("house_id"), 1, PER_PAGE)
+    return C.search_listings(T(spark, sf_dir).active, "house_id", 1, PER_PAGE, **COMBINED)
 
 
 @query("search_count_pages")
@@ -300,10 +301,16 @@ def _sorted(name: str):
 
 for _k, _s in [("sort_house_id", "house_id"), ("sort_newest", "newest"),
                ("sort_price_low", "price_low"), ("sort_price_high", "price_high"),
-               ("sort_area_large", "area_large"), ("sort_unknown_key", "no_such_key")]:
+               ("sort_unknown_key", "no_such_key")]:
     REGISTRY[_k] = _sorted(_s)
 
 
+@query("sort_area_large")
+def q_sort_area_large(spark, sf_dir):
+    """All active listings in this order: null areas first, then the numbers, largest first."""
+    return _active_pv(T(spark, sf_dir)).orderBy(*C.sort_order("area_large"))
+
+
 @query("distinct_districts")
 def q_distinct_districts(spark, sf_dir):
     return C.distinct_districts(T(spark, sf_dir).active)
@@ -478,7 +485,10 @@ def q_my_posts_pending(spark, sf_dir):
 
 @query("my_posts_pending_user")
 def q_my_posts_pending_user(spark, sf_dir):
-    return A.my_posts_pending(T(spark, sf_dir).pending_listings, USER)
+    """The own pages of several posters."""
+    p = T(spark, sf_dir).pending_listings
+    pages = [A.my_posts_pending(p, u) for u in POSTERS]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2])
 
 
 @query("my_posts_approved")
@@ -502,7 +512,7 @@ def q_my_posts_all(spark, sf_dir):
 
 @query("users_list")
 def q_users_list(spark, sf_dir):
-    return T(spark, sf_dir).users.select("user_id", "username", "phone")
+    return T(spark, sf_dir).users.select("user_id", "username", "phone").orderBy("user_id")
 
 
 # ---------------- 2.7 change batches ----------------
@@ -579,12 +589,13 @@ def q_chg_buy_request(spark, sf_dir):
 @query("chg_submit_posts")
 def q_chg_submit_posts(spark, sf_dir):
     t = T(spark, sf_dir)
-    return listing_out(X.submit_posts(t.pending_listings, t.batch_post_requests(3)))
+    return listing_out(X.submit_posts(t.pending_listings, t.batch_post_requests(3), POSTING_DATE))
 
 
 def _admin_posts(spark, sf_dir):
     t = T(spark, sf_dir)
-    return X.admin_posts(t.listings, t.listing_status, t.batch_post_requests(4), ADMIN_ID)
+    new = X.new_admin_posts(t.listing_ids, t.batch_post_requests(4), POSTING_DATE, ADMIN_ID)
+    return X.PostState(t.listings.unionByName(new.listings), t.listing_status.unionByName(new.status), None)
 
 
 @query("chg_admin_posts")
@@ -599,7 +610,7 @@ def q_chg_admin_posts_status(spark, sf_dir):
 
 def _approve(spark, sf_dir):
     t = T(spark, sf_dir)
-    return X.approve_posts(t.pending_listings, t.listings, t.listing_status, t.batch_approve())
+    return X.approve_posts(t.pending_listings, t.listings, t.listing_status, t.batch_approve(), t.listing_ids)
 
 
 @query("chg_approve_posts")
@@ -697,7 +708,7 @@ def q_price_input_normalise(spark, sf_dir):
 
 @query("dq_listings")
 def q_dq_listings(spark, sf_dir):
-    return Q.dq_listings(T(spark, sf_dir).listings)
+    return Q.dq_listings(T(spark, sf_dir).listing_forms)
 
 
 @query("dq_raw_prices")
@@ -707,7 +718,7 @@ def q_dq_raw_prices(spark, sf_dir):
 
 @query("dq_users")
 def q_dq_users(spark, sf_dir):
-    return Q.dq_users(T(spark, sf_dir).users)
+    return Q.dq_users(T(spark, sf_dir).user_forms)
 
 
 def queries() -> dict[str, Query]:

@@ -68,6 +68,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def split_skewed_joins(spark: SparkSession) -> None:
+    """Let AQE split hot keys in chains of joins too, unless the session says otherwise.
+
+    By default it gives a split up where the next join on the same key would
+    need the unsplit partitioning; one more shuffle costs less than one task
+    with a third of all rows.
+    """
+    key = "spark.sql.adaptive.forceOptimizeSkewedJoin"
+    if spark.conf.get(key, "false") == "false":
+        spark.conf.set(key, "true")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = checkpoint_dir(spark)

@@ -10,33 +10,18 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abode.schema import (
-    DIRECTIONS, RAW_COLUMNS, STATUS_PENDING, STATUS_PROCESSING, STATUS_SELLING,
+    DIRECTIONS, HANOI_DISTRICTS, RAW_COLUMNS, STATUS_PENDING, STATUS_PROCESSING, STATUS_SELLING,
     STATUS_SOLD, STATUSES,
 )
-from abode.session import table_path
-
-
-# Key of each listing-sized table (used to spread an under-split scan). The
-# dimension and request tables are small or broadcast; spreading them only
-# adds jobs.
-TABLE_KEYS = {"orders": "o_orderkey", "lineitem": "l_orderkey"}
+from abode.session import split_skewed_joins, table_path
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """Scan a driver table; spread it when the files give too few splits.
-
-    A table stored as one parquet row group is read by a single task however
-    many cores there are. When a scan yields fewer splits than the default
-    parallelism, it is hash-partitioned on its primary key (deterministic on
-    retry) and that spread copy is persisted: later filters on cleaned
-    columns then run in parallel after the shuffle instead of being pushed
-    into the single-task scan. Large inputs arrive as many files and splits
-    and never take this path; their filters go into the parallel scan.
+    """Scan a driver table, pruned to ``columns``; filters are pushed into the scan.
 
     Joins are not pre-partitioned on purpose: favourites and deposits are
     bags that may hold a third of their rows on one listing, and AQE can only
@@ -44,25 +29,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     join shuffles both inputs itself.
     """
     df = spark.read.parquet(table_path(sf_dir, name))
-    if columns:
-        df = df.select(*columns)  # prune before any spread copy is made
-    key = TABLE_KEYS.get(name)
-    if key is not None and _under_split(spark, df):
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        df = df.repartition(n, key).persist(StorageLevel.MEMORY_AND_DISK)
-    return df
-
-
-def _under_split(spark: SparkSession, df: DataFrame) -> bool:
-    """True when the scan has fewer splits than the default parallelism.
-
-    Only a classic session exposes splits; elsewhere (e.g. Spark Connect) the
-    scan is left as it is.
-    """
-    try:
-        return df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001 - no RDD view of this session
-        return False
+    return df.select(*columns) if columns else df
 
 
 def house_id_of(key: Column) -> Column:
@@ -97,7 +64,15 @@ def listing_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     direction = F.lit(None).cast("string")
     for i in reversed(range(len(DIRECTIONS))):
         direction = F.when(k % 9 == i, F.lit(DIRECTIONS[i])).otherwise(direction)
-    price = (F.when(m10 <= 3, F.concat(_s(F.floor(h / 100)), F.lit(","),
+    m50 = k % 50
+    # prices with many places, bare digits, digits beyond the money type, unreadable text and quotes
+    price = (F.when(m50 == 0, F.concat(_s(F.floor(h / 100)), F.lit(","), F.lpad(_s(h % 100), 2, "0"),
+                                       F.lpad(_s(k % 1000), 3, "0"), F.lit(" tỷ")))
+             .when(m50 == 10, F.concat(_s(F.floor(h / 10)), F.lit("."), _s(h % 10), F.lpad(_s(k % 1000), 4, "0")))
+             .when(m50 == 20, F.concat(_s(F.lit(5500000000) + k), F.lit("00000000")))
+             .when(m50 == 30, F.concat(F.lit("Liên hệ "), _s(h)))
+             .when(m50 == 40, F.concat(F.lit('"'), _s(F.floor(h / 100)), F.lit(',5" tỷ')))
+             .when(m10 <= 3, F.concat(_s(F.floor(h / 100)), F.lit(","),
                                        F.lpad(_s(h % 100), 2, "0"), F.lit(" tỷ")))
              .when(m10 <= 7, F.concat(_s(F.floor(h / 10)), F.lit(","), _s(h % 10),
                                       F.lit(" triệu/m²")))
@@ -107,8 +82,7 @@ def listing_base(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(k % 5 == 3, "Giấy tờ hợp lệ").otherwise("Đang chờ sổ"))
     interior = (F.when(k % 4 == 0, "0").when(k % 4 == 1, "Đầy đủ").when(k % 4 == 2, "Cơ bản")
                 .otherwise("Cao cấp"))
-    statue = (F.when(F.col("o_orderstatus") == "O", STATUS_SELLING)
-              .when(F.col("o_orderstatus") == "F", STATUS_SOLD).otherwise(STATUS_PROCESSING))
+    statue = status_of(F.col("o_orderstatus"))
     return j.select(
         k.alias("k"),
         ck.alias("ck"),
@@ -140,8 +114,9 @@ def raw_listings_of(base: DataFrame) -> DataFrame:
         F.col("k").alias("row_ordinal"), *RAW_COLUMNS)
 
 
-def listing_status_of(base: DataFrame) -> DataFrame:
-    return base.filter(F.col("k") % 20 != 7).select("house_id", "statue", "poster_id")
+def status_of(order_status: Column) -> Column:
+    return F.when(order_status == "O", STATUS_SELLING).when(order_status == "F", STATUS_SOLD) \
+        .otherwise(STATUS_PROCESSING)
 
 
 def pending_raw_of(base: DataFrame) -> DataFrame:
@@ -157,14 +132,15 @@ def status_update_requests(events: DataFrame) -> DataFrame:
 
     admin: 'admin' when event_id % 3 != 0, else an unknown id; new status:
     element floor(event_id / 3) % 3 of the statuses; listing: id of
-    event_id % 500, so several requests meet on one listing.
+    event_id with its last three bits cleared, so several requests meet on one
+    listing and the listings grow with the events.
     """
     eid = F.col("event_id")
     status = F.when(F.floor(eid / 3) % 3 == 0, STATUSES[0]) \
         .when(F.floor(eid / 3) % 3 == 1, STATUSES[1]).otherwise(STATUSES[2])
     return events.filter(F.col("event_type") == "error").select(
         F.when(eid % 3 != 0, "admin").otherwise("nobody").alias("admin_id"),
-        house_id_of(eid % 500).alias("house_id"), status.alias("statue"), "ts", "event_id")
+        house_id_of(eid - eid % 8).alias("house_id"), status.alias("statue"), "ts", "event_id")
 
 
 def favorite_click_requests(events: DataFrame) -> DataFrame:
@@ -178,6 +154,7 @@ class ListingTables:
     """Lazily derived tables of the listing application for one data folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        split_skewed_joins(spark)
         self.spark = spark
         self.sf_dir = sf_dir
 
@@ -199,7 +176,47 @@ class ListingTables:
 
     @cached_property
     def listing_status(self) -> DataFrame:
-        return listing_status_of(self.base)
+        """Status and poster need the orders alone: every customer and nation is there."""
+        o = self.read("orders", ["o_orderkey", "o_custkey", "o_orderstatus"])
+        return o.filter(F.col("o_orderkey") % 20 != 7).select(
+            house_id_of(F.col("o_orderkey")).alias("house_id"), status_of(F.col("o_orderstatus")).alias("statue"),
+            user_id_of(F.col("o_custkey")).alias("poster_id"))
+
+    @cached_property
+    def listing_ids(self) -> DataFrame:
+        """Ids of the cleaned listings, from the orders alone (rent rows are those with k % 10 = 9)."""
+        o = self.read("orders", ["o_orderkey"])
+        return o.filter((F.col("o_orderkey") % 20 != 7) & (F.col("o_orderkey") % 10 != 9)) \
+            .select(house_id_of(F.col("o_orderkey")).alias("house_id"))
+
+    @cached_property
+    def listing_forms(self) -> DataFrame:
+        """Listings as filled-in forms, with every fault that the form check knows in some rows."""
+        n = F.col("house_id").cast("bigint")
+        districts = F.array(*[F.lit(d) for d in HANOI_DISTRICTS])
+        faults = {
+            "district": F.when(n % 40 < 30, districts[(n % 30).cast("int")]).otherwise(F.col("district")),
+            "width_meters": F.when(n % 11 == 0, F.lit(0.0)).otherwise(F.col("width_meters")),
+            "entrancewidth": F.when(n % 13 == 0, F.lit(-1.0)).otherwise(F.col("entrancewidth")),
+            "legal": F.when(n % 17 == 0, F.lit("Khác")).otherwise(F.col("legal")),
+            "interior": F.when(n % 19 != 0, F.col("interior")),
+            "post_type": F.when(n % 23 == 0, F.lit(" ")).otherwise(F.col("post_type")),
+            "direction": F.when(n % 29 == 0, F.lit("Giữa")).otherwise(F.col("direction")),
+            "bedrooms": F.when(n % 31 == 0, F.lit(0)).otherwise(F.col("bedrooms")),
+            "bathrooms": F.when(n % 37 != 0, F.col("bathrooms")),
+            "floors": F.when(n % 41 == 0, F.lit(-1)).otherwise(F.col("floors")),
+        }
+        return self.listings.withColumns(faults)
+
+    @cached_property
+    def user_forms(self) -> DataFrame:
+        """Registrations: two of three phones have ten digits, some ids and names are faulty."""
+        c = self.read("customer", ["c_custkey", "c_name"])
+        k = F.col("c_custkey")
+        return c.select(
+            F.when(k % 7 == 0, F.concat(F.lit("u-"), _s(k))).otherwise(F.concat(F.lit("user"), _s(k))).alias("user_id"),
+            F.when(k % 11 == 0, F.lit("  ")).when(k % 13 != 0, F.col("c_name")).alias("username"),
+            F.when(k % 3 == 0, F.lit(900000000) + k).otherwise(F.lit(9000000000) + k).cast("bigint").alias("phone"))
 
     @cached_property
     def pending_listings(self) -> DataFrame:
@@ -294,9 +311,22 @@ class ListingTables:
                         house_id_of(F.col("event_id")).alias("house_id"), "ts", "event_id")
 
     def batch_post_requests(self, remainder: int) -> DataFrame:
-        """New posts: raw text rows of orders with k % 500 == remainder, input order k."""
+        """New posts from the form: typed text fields of orders with k % 500 == remainder, input order k.
+
+        The price is plain VND text with thousands commas, or negotiable for
+        every seventh; rooms may be 0; measures carry no unit.
+        """
         b = self.base.filter(F.col("k") % 500 == remainder)
-        return b.select(F.col("k").alias("request_order"), *RAW_COLUMNS, "poster_id")
+        k, ck = F.col("k"), F.col("ck")
+        price = F.when(k % 7 == 0, "Thỏa thuận").otherwise(F.format_number((k + 1) * 1000000 + ck, 0))
+        return b.select(
+            k.alias("request_order"), F.col("Title").alias("title"), F.col("Address").alias("address"),
+            F.col("District").alias("district"), F.col("PostType").alias("post_type"), price.alias("price"),
+            F.concat(_s(20 + k % 180), F.lit("."), _s(ck % 10)).alias("area"),
+            F.col("Direction").alias("direction"), _s(k % 6).alias("bedrooms"), _s(ck % 5).alias("bathrooms"),
+            _s((k + ck) % 7).alias("floors"), F.concat(_s(3 + ck % 9), F.lit(".5")).alias("width_meters"),
+            F.col("Legal").alias("legal"), F.col("Interior").alias("interior"),
+            F.when(k % 3 != 0, _s(k % 8)).alias("entrancewidth"), "poster_id")
 
     def batch_approve(self) -> DataFrame:
         p = self.pending_listings.select("house_id")

@@ -5,10 +5,8 @@ same set-based rules as the batch jobs in ``operators.changes`` apply:
 
 * status updates keep, per listing, the last valid request by (ts, event_id)
   in the streaming state store (``max_by`` aggregation, update mode); every
-  micro-batch merges its changed listings into a small versioned table of
-  overrides (only changed listings, never the whole status table) under the
-  shared checkpoint folder, keyed by the batch id so a replayed batch
-  rewrites the same version;
+  micro-batch writes its changed listings to a folder of its batch id, and
+  the last change per listing is resolved when the changes are read;
 * favourite clicks pass the key checks with stream-static semi-joins and are
   appended by the exactly-once parquet file sink.
 
@@ -39,50 +37,48 @@ def event_stream(spark: SparkSession, sf_dir: str, events_dir: str | None = None
     return reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
-def _merge_overrides(base: str):
-    """foreachBatch body: new overrides = old overrides updated by this batch."""
+CHANGE = "house_id string, statue string, ts timestamp, event_id bigint"
+
+
+def _write_changes(base: str):
+    """foreachBatch body: the batch's changed listings, in a folder of the batch id.
+
+    Nothing is read back or overwritten but the folder of the same batch, so a
+    replayed batch leaves the same files and a crash loses no earlier change.
+    """
     def run(batch: DataFrame, batch_id: int) -> None:
-        # Start from the last version written (batches without data write
-        # nothing). A replayed batch merges the same keys again: same result.
-        spark = batch.sparkSession
-        try:
-            last = spark.read.json(f"{base}/latest").first()["v"]
-            old = spark.read.parquet(f"{base}/v{last}")
-        except Exception:  # noqa: BLE001 - first batch: no previous version
-            old = None
-        upd = batch.select("house_id", "_last")
-        merged = upd if old is None else \
-            old.join(upd.select("house_id"), "house_id", "left_anti").unionByName(upd)
-        merged.write.mode("overwrite").parquet(f"{base}/v{batch_id}")
-        spark.createDataFrame([(batch_id,)], "v long").write.mode("overwrite").json(f"{base}/latest")
+        batch.select("house_id", "_last.*").write.mode("overwrite").parquet(f"{base}/batch={batch_id}")
     return run
 
 
-def stream_status_updates(spark: SparkSession, sf_dir: str, events_dir: str | None = None) -> DataFrame:
-    """Apply the status-change request stream; return the resulting status table."""
+def stream_status_updates(spark: SparkSession, sf_dir: str, events_dir: str | None = None,
+                          state_dir: str | None = None) -> DataFrame:
+    """Apply the status-change request stream; return the resulting status table.
+
+    ``state_dir`` (in the shared store) holds the stream's checkpoint and
+    changes: a later call with the same folder goes on where this one ended.
+    """
     t = ListingTables(spark, sf_dir)
-    base = scratch_path(spark, "status_stream")
+    base = state_dir or scratch_path(spark, "status_stream")
     reqs = status_update_requests(event_stream(spark, sf_dir, events_dir)) \
         .join(t.admins.select("admin_id"), "admin_id", "left_semi")
     latest = reqs.groupBy("house_id").agg(
         F.max_by(F.struct("statue", "ts", "event_id"), F.struct("ts", "event_id")).alias("_last"))
-    q = latest.writeStream.outputMode("update").foreachBatch(_merge_overrides(f"{base}/overrides")) \
+    spark.createDataFrame([], CHANGE).write.mode("overwrite").parquet(f"{base}/changes/batch=-1")
+    q = latest.writeStream.outputMode("update").foreachBatch(_write_changes(f"{base}/changes")) \
         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    status = t.listing_status
-    try:
-        v = spark.read.json(f"{base}/overrides/latest").first()["v"]
-    except Exception:  # noqa: BLE001 - no request arrived
-        return status
-    ov = spark.read.parquet(f"{base}/overrides/v{v}").select("house_id", F.col("_last.statue").alias("_new"))
-    return status.join(ov, "house_id", "left").select(
+    changes = spark.read.schema(CHANGE).parquet(f"{base}/changes")
+    last = changes.groupBy("house_id").agg(F.max_by("statue", F.struct("ts", "event_id")).alias("_new"))
+    return t.listing_status.join(last, "house_id", "left").select(
         "house_id", F.coalesce("_new", "statue").alias("statue"), "poster_id")
 
 
-def stream_add_favorites(spark: SparkSession, sf_dir: str, events_dir: str | None = None) -> DataFrame:
+def stream_add_favorites(spark: SparkSession, sf_dir: str, events_dir: str | None = None,
+                         state_dir: str | None = None) -> DataFrame:
     """Apply the favourite-click stream; return the resulting favourites (a bag)."""
     t = ListingTables(spark, sf_dir)
-    base = scratch_path(spark, "favorites_stream")
+    base = state_dir or scratch_path(spark, "favorites_stream")
     clicks = favorite_click_requests(event_stream(spark, sf_dir, events_dir)).select("user_id", "house_id")
     ok = clicks.join(t.users.select("user_id"), "user_id", "left_semi") \
         .join(t.listings.select("house_id"), "house_id", "left_semi")

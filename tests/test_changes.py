@@ -89,3 +89,17 @@ def test_approve_and_reject_are_consistent(t):
     new_ids = state.listings.join(t.listings, "house_id", "left_anti")
     start = max_numeric_id(t.listings) + 1
     assert sorted(int(r[0]) for r in new_ids.select("house_id").collect()) == list(range(start, start + n_app))
+
+
+def test_form_posts_are_stored_as_typed(spark):
+    row = dict(request_order=1, title="t", address="a", district="d", post_type="Bán", price="5,500,000,000", area="33.33",
+               direction=None, bedrooms="0", bathrooms="2", floors="3", width_meters="4.5", legal="l", interior="i",
+               entrancewidth=None, poster_id="u1")
+    req = spark.createDataFrame([row, dict(row, request_order=2, price="120"), dict(row, request_order=3, price="Thỏa thuận")],
+                                ", ".join(f"{k} {'long' if k == 'request_order' else 'string'}" for k in row))
+    ids = spark.createDataFrame([("00009",), ("99999999999999999999",), ("x",)], "house_id string")
+    got = X.new_admin_posts(ids, req, "2025-01-02").listings.orderBy("house_id").collect()
+    assert [r["house_id"] for r in got] == ["00010", "00011", "00012"]
+    assert [r["price_vnd"] for r in got] == [5500000000, 120, None]
+    assert [r["price_raw"] for r in got] == ["5500000000", "120", "Thỏa thuận"]
+    assert (got[0]["bedrooms"], got[0]["area"], got[0]["entrancewidth"], got[0]["posting_date"]) == (0, 33.33, 0.0, "2025-01-02")

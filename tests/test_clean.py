@@ -124,3 +124,21 @@ def test_dq_raw_prices_reports_unreadable_text(spark):
     df = spark.createDataFrame([raw_row(i, p) for i, p in enumerate(prices)], RAW_SCHEMA)
     assert [r["Price"] for r in dq_raw_prices(df).orderBy("row_ordinal").collect()] == \
         ["5 tỷ/m²", "1.234,5 tỷ", "500 triệu"]
+
+
+def test_prices_keep_every_digit(spark):
+    rows = [raw_row(0, "1,23456 tỷ"), raw_row(1, "45,123456 triệu/m²", area="50 m²"), raw_row(2, "120", area="33,33333 m²"),
+            raw_row(3, "5500000000", area="50 m²"), raw_row(4, "100000000 tỷ"), raw_row(5, "99999999 triệu/m²", area="99999999 m²"),
+            raw_row(6, "123456789012345678901234567890 tỷ"), raw_row(7, "0,00000000012 tỷ")]
+    df = spark.createDataFrame(rows, RAW_SCHEMA)
+    got = [r["price_vnd"] for r in clean_listings(df).orderBy("house_id").collect()]
+    assert got == [Decimal("1234560000"), Decimal("2256172800"), Decimal("3999999600"), Decimal("275000000000000000"),
+                   Decimal("100000000000000000"), None, None, Decimal("0.10")]
+    from abode.functions.quality import dq_raw_prices
+    reasons = {r["row_ordinal"]: r["reason"] for r in dq_raw_prices(df).collect()}
+    assert reasons == {5: "price_out_of_range", 6: "price_out_of_range"}
+
+
+def test_plain_number(spark):
+    df = spark.createDataFrame([("1234,5",), ("7.",), ("1.2.3",), ("abc",), (None,)], "p string")
+    assert [r[0] for r in df.select(P.plain_number("p").cast("double")).collect()] == [1234.5, 7.0, None, None, None]

@@ -1,27 +1,44 @@
-"""Source reads: small under-split tables are spread, split inputs are left alone."""
+"""Source reads: pruned scans with pushed filters, and real listing files."""
+import csv
+
 from pyspark.sql import functions as F
 
-from abode.session import scratch_path
+from abode.schema import RAW_COLUMNS
+from abode.sources.files import read_listings_csv
 from abode.sources.tpch_binding import read_table
 from tests.conftest import SF_SMALL
 
 
-def test_under_split_table_is_spread_and_persisted(spark):
-    df = read_table(spark, SF_SMALL, "orders", ["o_orderkey", "o_custkey"])
-    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
-    assert df.storageLevel.useMemory
-    assert df.columns == ["o_orderkey", "o_custkey"]
-
-
-def test_split_input_is_scanned_directly(spark):
-    base = scratch_path(spark, "many_files")
-    spark.read.parquet(f"{SF_SMALL}/orders.parquet").repartition(16).write.parquet(f"{base}/orders.parquet")
-    df = read_table(spark, base, "orders", ["o_orderkey"]).filter(F.col("o_orderkey") > 10)
+def test_filters_reach_the_scan(spark):
+    df = read_table(spark, SF_SMALL, "orders", ["o_orderkey"]).filter(F.col("o_orderkey") > 10)
     assert not df.storageLevel.useMemory
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "PushedFilters: [IsNotNull(o_orderkey), GreaterThan(o_orderkey,10)]" in plan
 
 
+def test_real_listing_file(spark, tmp_path):
+    """The 15 headers with blanks, shuffled, among another one; quotes and a line break in a title."""
+    headers = list(reversed(RAW_COLUMNS)) + ["Note"]
+    rows = [{c: f"{c}{i}" for c in headers} for i in range(5)]
+    rows[2]["Title"] = 'two\nlines, "quoted"'
+    with open(tmp_path / "listings.csv", "w", newline="", encoding="utf-8") as f:
+        out = csv.writer(f)
+        out.writerow([f" {h} " for h in headers])
+        out.writerows([[r[h] for h in headers] for r in rows])
+    got = read_listings_csv(spark, str(tmp_path / "listings.csv")).orderBy("row_ordinal").collect()
+    assert [r["row_ordinal"] for r in got] == [0, 1, 2, 3, 4]
+    assert got[2]["Title"] == 'two\nlines, "quoted"'
+    assert all(r[c] == rows[i][c] for i, r in enumerate(got) for c in RAW_COLUMNS)
+
+
+def test_missing_column_is_null_and_files_follow_each_other(spark, tmp_path):
+    for n in range(3):
+        (tmp_path / f"part-{n}.csv").write_text("Title,Price\n" + "".join(f"t{n}{i},1\n" for i in range(4)), encoding="utf-8")
+    got = read_listings_csv(spark, str(tmp_path)).orderBy("row_ordinal").collect()
+    assert [r["Title"] for r in got] == [f"t{n}{i}" for n in range(3) for i in range(4)]
+    assert all(r["Area"] is None for r in got)
+
+
 def test_district_collation(spark):
     from abode.operators.catalog import distinct_districts
 

@@ -32,3 +32,15 @@ def test_favorite_stream_matches_batch(spark):
     want = X.add_favorites(t.favorites, t.users, t.listings, t.batch_add_favorites())
     got = stream_add_favorites(spark, SF_SMALL, events_dir=split_events(spark))
     assert bag(got) == bag(want)
+
+
+def test_status_stream_goes_on_in_its_folder(spark):
+    """Events that arrive between two runs with one state folder: nothing earlier is lost."""
+    t = ListingTables(spark, SF_SMALL)
+    events, state = scratch_path(spark, "events_later"), scratch_path(spark, "state")
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    ev.filter("event_id % 2 = 0").write.parquet(f"{events}/a")
+    stream_status_updates(spark, SF_SMALL, events_dir=f"{events}/*", state_dir=state)
+    ev.filter("event_id % 2 = 1").write.parquet(f"{events}/b")
+    got = stream_status_updates(spark, SF_SMALL, events_dir=f"{events}/*", state_dir=state)
+    assert bag(got) == bag(X.update_status(t.listing_status, t.admins, t.batch_status_updates()))
