@@ -6,23 +6,30 @@ covers, exactly.
 
 Sampling. The k-gram of least hash among ``window`` consecutive ones (the first
 of equal ones) is the sample of the string that starts there. It depends on the
-string's own bytes, so equal strings have samples at the same place, and one
+string's own bytes, so equal strings have samples at the same offset, and one
 sampled position stands for a run of neighbouring string starts.
 
 Prefix doubling. Sampled positions are ranked by their first h bytes; positions
-whose rank nobody shares drop out. The others are ranked again by (rank, rank
-of the next h bytes), so by 2h bytes, which all strings of the sample contain.
-Ranks are hashes of those bytes, so equal ranks mean equal prefixes and each
-rerank is a count by key; uniques drop out of each step. Past the threshold,
-the whole run of a sample (all bytes of all its strings) is ranked: equal runs
-mean that each of their strings repeats. Runs that are still open, at the ends
-of repeated passages, are split into their single strings, which are ranked at
-the full length; of equal runs one stands for all with their number.
+whose rank nobody shares drop out. The others are ranked by (rank, rank of the
+next h bytes), so by 2h bytes, which all strings of the sample contain. Ranks
+are hashes of those bytes, so equal ranks mean equal prefixes and a rerank is a
+count by key; uniques drop out of each step. Then the offset grows past the
+threshold, in three steps that each settle what they can:
+
+* whole runs (all bytes of all strings of a sample): equal runs repeat in full;
+* cells of a run (strings whose offset lies in the same stretch of ``cell``
+  offsets): the bytes common to a cell's strings must repeat, and equal cells
+  repeat in full;
+* the single strings of cells that are still open, at their full length.
+
+What repeats in full is settled, and one representative with its number stands
+for it in the next step. So the ends of repeated passages, not the passages,
+reach the last step.
 
 Every step is a count by key with partial sums, so a passage that a third of
 all texts share is one row per task. Each row is a position of the corpus, no
-pairs of positions are made. Texts are joined once with the few runs that
-survive the doubling; other texts never leave their scan.
+pairs of positions are made. Only texts with a surviving sample are joined with
+their survivors; other texts never leave their scan.
 
 Defined cases: null texts count as empty; texts shorter than ``length`` have
 nothing removed; copies of a text (repeated rows too) of at least ``length``
@@ -31,10 +38,9 @@ bytes are removed as a whole, each of them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
-
 import hashlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +55,9 @@ from abode.llm.common import Scratch, row_key
 @dataclass(frozen=True)
 class Settings:
     length: int = 400
-    window: int = 160
+    window: int = 192
     kgram: int = 8
+    cell: int = 16
 
     @property
     def step(self) -> int:
@@ -104,8 +111,21 @@ def _signed(values: list[int] | np.ndarray) -> np.ndarray:
     return np.array(values, np.uint64).view(np.int64)
 
 
+# a run of string starts in one number: first start, further starts, offset of the sample from the first
+_BITS = 12
+
+
+def pack(start, extra, offset):
+    return (start << 2 * _BITS) | (extra << _BITS) | offset
+
+
+def unpack(place: int) -> tuple[int, int, int]:
+    mask = (1 << _BITS) - 1
+    return place >> 2 * _BITS, place >> _BITS & mask, place & mask
+
+
 def first_ranks(df: DataFrame, settings: Settings) -> DataFrame:
-    """row_key, run (start, length, sample offset) and the ranks of the first and the next h bytes."""
+    """row_key, run and rank of the first h bytes of each sampled position."""
     h = settings.step
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,100 +134,119 @@ def first_ranks(df: DataFrame, settings: Settings) -> DataFrame:
             first, last, at = samples(buf.data, buf.bounds, settings)
             view = memoryview(buf.data)
             doc = np.searchsorted(buf.bounds, first, side="right") - 1
-            keys = np.asarray(b.column("row_key"))
             yield pa.record_batch({
-                "row_key": keys[doc], "start": (first - buf.bounds[doc]).astype(np.int32),
-                "extra": (last - first).astype(np.int16), "offset": (at - first).astype(np.int16),
-                "rank": _signed([_rank(view, p, p + h) for p in at.tolist()]),
-                "next": _signed([_rank(view, p + h, p + 2 * h) for p in at.tolist()])})
-    return df.select("row_key", "text").mapInArrow(
-        made, "row_key long, start int, extra short, offset short, rank long, next long")
-
-
-def reranked(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose keys another row shares: positions of unique rank drop out."""
-    shared = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return rows.join(shared, keys)
-
-
-def _run_rows(batches: Iterator[pa.RecordBatch], settings: Settings) -> Iterator[pa.RecordBatch]:
-    """128-bit ranks of the whole run of each surviving sample."""
-    for b in B.slices(batches, "text", _SLICE):
-        out: list[list] = [[] for _ in range(6)]
-        for key, text, runs in zip(b.column("row_key").to_pylist(), b.column("text").to_pylist(), b.column("runs").to_pylist()):
-            view = memoryview((text or "").encode())
-            for r in runs:
-                start, extra, offset = r["start"], r["extra"], r["offset"]
-                if start + extra + settings.length > len(view):
-                    continue  # another row with the same row key
-                whole = xxhash.xxh3_128_intdigest(view[start:start + extra + settings.length]) ^ (offset << 16 | extra)
-                core = start + offset
-                for column, x in zip(out, (key, start, extra, whole & (1 << 64) - 1, whole >> 64,
-                                           _rank(view, core, core + 2 * settings.step))):
-                    column.append(x)
-        key, start, extra, low, high, core = out
-        yield pa.record_batch({"row_key": pa.array(key, pa.int64()), "start": pa.array(start, pa.int32()),
-                               "extra": pa.array(extra, pa.int16()), "low": _signed(low), "high": _signed(high),
-                               "core": _signed(core)})
-
-
-def _string_rows(batches: Iterator[pa.RecordBatch], settings: Settings) -> Iterator[pa.RecordBatch]:
-    """128-bit ranks of the single strings of each open run."""
-    for b in B.slices(batches, "text", _SLICE):
-        key_out, start_out, low, high, times = [], [], [], [], []
-        for key, text, runs in zip(b.column("row_key").to_pylist(), b.column("text").to_pylist(), b.column("runs").to_pylist()):
-            view = memoryview((text or "").encode())
-            for r in runs:
-                if r["start"] + r["extra"] + settings.length > len(view):
-                    continue
-                for p in range(r["start"], r["start"] + r["extra"] + 1):
-                    x = xxhash.xxh3_128_intdigest(view[p:p + settings.length])
-                    key_out.append(key)
-                    start_out.append(p)
-                    low.append(x & (1 << 64) - 1)
-                    high.append(x >> 64)
-                    times.append(r["times"])
-        yield pa.record_batch({"row_key": pa.array(key_out, pa.int64()), "start": pa.array(start_out, pa.int32()),
-                               "low": _signed(low), "high": _signed(high), "times": pa.array(times, pa.int64())})
+                "row_key": np.asarray(b.column("row_key"))[doc],
+                "place": pack(first - buf.bounds[doc], last - first, at - first),
+                "rank": _signed([_rank(view, p, p + h) for p in at.tolist()])})
+    return df.select("row_key", "text").mapInArrow(made, "row_key long, place long, rank long")
+
+
+def reranked(rows: DataFrame, key: str) -> DataFrame:
+    """The rows whose rank another row shares: positions of unique rank drop out."""
+    shared = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key)
+    return rows.join(shared, key)
+
+
+# (row_key, place, times, core, whole): a run, how many equal runs it stands for, the rank of the bytes
+# common to its strings (equal for all runs that may share a string), and the rank of all its bytes
+_RUN = "row_key long, place long, times long, core long, whole long"
+_Emit = Callable[[memoryview, int, int, int], Iterator[tuple[int, int, int]]]
+
+
+def ranked_runs(texts: DataFrame, emit: _Emit) -> DataFrame:
+    """Runs made by ``emit`` from the text and each of its runs (place, times)."""
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in B.slices(batches, "text", _SLICE):
+            out: list[list[int]] = [[], [], [], [], []]
+            for key, text, runs in zip(b.column("row_key").to_pylist(), b.column("text").to_pylist(), b.column("runs").to_pylist()):
+                view = memoryview(text.encode())
+                for r in runs:
+                    for place, core, whole in emit(view, *unpack(r["place"])):
+                        for column, x in zip(out, (key, place, r["times"], core, whole)):
+                            column.append(x)
+            key_, place_, times, core_, whole_ = out
+            yield pa.record_batch({"row_key": pa.array(key_, pa.int64()), "place": pa.array(place_, pa.int64()),
+                                   "times": pa.array(times, pa.int64()), "core": _signed(core_), "whole": _signed(whole_)})
+    return texts.mapInArrow(made, _RUN)
+
+
+def whole_runs(settings: Settings) -> _Emit:
+    """Core: 2h bytes from the sample. Whole: all bytes of the run and its shape."""
+    def emit(view: memoryview, start: int, extra: int, offset: int) -> Iterator[tuple[int, int, int]]:
+        stop = start + extra + settings.length
+        if stop <= len(view):  # else another row with this row key
+            at = start + offset
+            yield pack(start, extra, offset), _rank(view, at, at + 2 * settings.step), \
+                _rank(view, start, stop) ^ (extra << _BITS | offset)
+    return emit
+
+
+def cells(settings: Settings) -> _Emit:
+    """The parts of a run by stretches of sample offsets. Core: the bytes that all strings of a stretch have."""
+    c, length = settings.cell, settings.length
+
+    def emit(view: memoryview, start: int, extra: int, offset: int) -> Iterator[tuple[int, int, int]]:
+        if start + extra + length > len(view):
+            return
+        sample = start + offset
+        for j in range((offset - extra) // c, offset // c + 1):
+            p, z = max(start, sample - j * c - c + 1), min(start + extra, sample - j * c)
+            core = _rank(view, sample - j * c, sample - j * c - c + 1 + length) + j & (1 << 64) - 1
+            yield pack(p, z - p, sample - p), core, _rank(view, p, z + length) ^ (z - p << _BITS | sample - z)
+    return emit
+
+
+def single_strings(settings: Settings) -> _Emit:
+    """Each string of a run by itself, its 128-bit rank in two halves."""
+    def emit(view: memoryview, start: int, extra: int, offset: int) -> Iterator[tuple[int, int, int]]:
+        if start + extra + settings.length <= len(view):
+            for k in range(extra + 1):
+                x = xxhash.xxh3_128_intdigest(view[start + k:start + k + settings.length])
+                yield pack(start + k, 0, offset - k), x >> 64, x & (1 << 64) - 1
+    return emit
+
+
+def settled(rows: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """(full, open): runs that repeat in full, and one run of each kind that may share a string with another kind."""
+    rows = scratch.write(rows, f"{name}-runs")
+    kinds = scratch.write(rows.groupBy("core", "whole").agg(
+        F.sum("times").alias("times"), F.min(F.struct("row_key", "place")).alias("of")), f"{name}-kinds")
+    full = rows.filter("times = 1").join(kinds.filter("times > 1").select("core", "whole"), ["core", "whole"]) \
+        .select("row_key", "place")
+    mixed = kinds.groupBy("core").agg(F.sum("times").alias("n"), F.min("times").alias("least")) \
+        .filter("n > 1 and least = 1").select("core")
+    return full, kinds.join(mixed, "core").select("of.row_key", "of.place", "times")
+
+
+def _with_runs(texts: DataFrame, runs: DataFrame) -> DataFrame:
+    """Texts with their runs; ``collect_set`` makes nothing of equal rows."""
+    listed = runs.groupBy("row_key").agg(F.collect_set(F.struct("place", "times")).alias("runs"))
+    return texts.select("row_key", "text").join(listed, "row_key")
 
 
 def repeated_runs(df: DataFrame, scratch: Scratch, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """(texts, runs): the texts that hold candidates, and runs of repeated string starts by row_key.
+    """(texts, runs): the texts that hold candidates, and the runs of repeated string starts by row_key.
 
-    ``df``: row_key and text. A run holds the starts ``start`` .. ``start + extra``.
+    ``df``: row_key and text.
     """
     ranked = scratch.write(first_ranks(df, settings), "ranks-h")
-    doubled = reranked(reranked(ranked, ["rank"]), ["rank", "next"])
-    per_text = doubled.groupBy("row_key").agg(F.array_distinct(F.collect_list(F.struct("start", "extra", "offset"))).alias("runs"))
-    per_text = scratch.write(per_text, "ranks-2h")
+    survivors = reranked(ranked, "rank").select("row_key", "place", F.lit(1).cast("long").alias("times"))
+    texts = scratch.write(_with_runs(df, survivors), "texts")
     scratch.drop("ranks-h")
-    texts = scratch.write(df.join(per_text, "row_key"), "texts")
-    whole = texts.mapInArrow(lambda it: _run_rows(it, settings),
-                             "row_key long, start int, extra short, low long, high long, core long")
-    whole = scratch.write(whole, "ranks-run")
-    classes = whole.groupBy("core", "low", "high").agg(
-        F.count(F.lit(1)).alias("times"), F.min(F.struct("row_key", "start", "extra")).alias("of"))
-    classes = scratch.write(classes, "run-classes")
-    full = whole.join(classes.filter("times > 1").select("core", "low", "high"), ["core", "low", "high"]) \
-        .select("row_key", "start", "extra")
-    # a core with a run of its own kind only: its strings must be looked at one by one, with their like
-    open_cores = classes.filter("times = 1").select("core").distinct()
-    one_each = classes.join(open_cores, "core").select("of.*", "times")
-    listed = one_each.groupBy("row_key").agg(F.collect_list(F.struct("start", "extra", "times")).alias("runs"))
-    strings = texts.select("row_key", "text").dropDuplicates(["row_key"]).join(listed, "row_key").mapInArrow(
-        lambda it: _string_rows(it, settings), "row_key long, start int, low long, high long, times long")
-    strings = scratch.write(strings, "ranks-length")
-    twice = strings.groupBy("low", "high").agg(F.sum("times").alias("n")).filter("n > 1").select("low", "high")
-    # of a run that stands for several, the others are full already
-    single = strings.filter("times = 1").join(twice, ["low", "high"]) \
-        .select("row_key", "start", F.lit(0).cast("short").alias("extra"))
-    return texts, full.unionByName(single)
-
-
-def covered_spans(starts: list[int], extras: list[int], length: int) -> list[tuple[int, int]]:
-    """Maximal runs of covered bytes from runs of string starts."""
+    runs = ranked_runs(texts, whole_runs(settings))
+    found = []
+    for name, emit in (("whole", cells(settings)), ("cells", single_strings(settings)), ("strings", None)):
+        full, open_runs = settled(runs, scratch, name)
+        found.append(full)
+        if emit is not None:
+            runs = ranked_runs(_with_runs(texts, open_runs), emit)
+    return texts, found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def covered_spans(runs: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
+    """Maximal runs of covered bytes from runs (start, further starts) of strings."""
     spans: list[tuple[int, int]] = []
-    for a, e in sorted(zip(starts, extras)):
+    for a, e in sorted(runs):
         z = a + e + length
         if spans and a <= spans[-1][1]:
             spans[-1] = (spans[-1][0], max(z, spans[-1][1]))
@@ -224,15 +263,15 @@ def removed_spans(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
     scratch = Scratch(df.sparkSession, "prefix-doubling")
     keyed = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), row_key().alias("row_key"))
     texts, runs = repeated_runs(keyed.select("row_key", "text"), scratch, settings)
-    grouped = runs.groupBy("row_key").agg(F.collect_list(F.struct("start", "extra")).alias("found"))
-    hits = texts.select("row_key", "text").dropDuplicates(["row_key"]).join(grouped, "row_key")
+    grouped = runs.groupBy("row_key").agg(F.collect_set("place").alias("found"))
+    hits = texts.select("row_key", "text").join(grouped, "row_key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in B.slices(batches, "text", _SLICE):
             spans, digests = [], []
             for text, found in zip(b.column("text").to_pylist(), b.column("found").to_pylist()):
                 raw = text.encode()
-                mine = covered_spans([x["start"] for x in found], [x["extra"] for x in found], settings.length)
+                mine = covered_spans([unpack(x)[:2] for x in found], settings.length)
                 digest, at = hashlib.sha256(), 0
                 for a, z in mine:
                     digest.update(raw[at:a])
@@ -244,6 +283,7 @@ def removed_spans(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
                                    "cut": pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64())])))})
     made = scratch.write(hits.mapInArrow(
         cut, "row_key long, cut_sha256 string, cut array<struct<first:long,stop:long>>"), "cuts")
+    made = made.dropDuplicates(["row_key"])  # equal rows
     whole = keyed.select("doc_id", "row_key", F.octet_length("text").cast("long").alias("n_bytes"),
                          F.sha2("text", 256).alias("sha256"))
     return whole.join(made, "row_key", "left").select(

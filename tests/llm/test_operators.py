@@ -358,7 +358,7 @@ def test_op9_short_strings(spark):
     pool = ["".join(rng.choice(list("abé"), rng.integers(5, 60))) for _ in range(60)]
     docs = [(k, "".join(pool[j] for j in rng.integers(0, 60, rng.integers(0, 12)))) for k in range(150)]
     docs += [(200, "ab" * 100), (201, "a" * 90), (202, docs[3][1]), (203, None)]
-    settings = prefix_doubling.Settings(length=40, window=12, kgram=4)
+    settings = prefix_doubling.Settings(length=40, window=12, kgram=4, cell=3)
     got = prefix_doubling.removed_spans(spark.createDataFrame(docs, "doc_id long, text string"), settings).collect()
     check([(r["doc_id"], r["n_bytes"], sum(s["stop"] - s["first"] for s in r["spans"]), len(r["spans"]), r["kept_sha256"]) for r in got],
           [(i, *x) for (i, _), x in zip(docs, brute.repeated_bytes([t for _, t in docs], 40))])
