@@ -141,10 +141,14 @@ def first_ranks(df: DataFrame, settings: Settings) -> DataFrame:
     return df.select("row_key", "text").mapInArrow(made, "row_key long, place long, rank long")
 
 
-def reranked(rows: DataFrame, key: str) -> DataFrame:
-    """The rows whose rank another row shares: positions of unique rank drop out."""
+def reranked(rows: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """The rows whose rank another row shares: positions of unique rank drop out.
+
+    The shared ranks are written first: the join then reads two shuffles, and
+    AQE can split a rank that a third of all rows has.
+    """
     shared = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key)
-    return rows.join(shared, key)
+    return rows.join(scratch.write(shared, f"shared-{key}"), key)
 
 
 # (row_key, place, times, core, whole): a run, how many equal runs it stands for, the rank of the bytes
@@ -230,7 +234,7 @@ def repeated_runs(df: DataFrame, scratch: Scratch, settings: Settings) -> tuple[
     ``df``: row_key and text.
     """
     ranked = scratch.write(first_ranks(df, settings), "ranks-h")
-    survivors = reranked(ranked, "rank").select("row_key", "place", F.lit(1).cast("long").alias("times"))
+    survivors = reranked(ranked, "rank", scratch).select("row_key", "place", F.lit(1).cast("long").alias("times"))
     texts = scratch.write(_with_runs(df, survivors), "texts")
     scratch.drop("ranks-h")
     runs = ranked_runs(texts, whole_runs(settings))
