@@ -28,6 +28,8 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str) -> DataF
             .groupBy("u").agg(F.min("label").alias("m"))
         near = now.join(of_neighbour, F.col("node") == F.col("u")) \
             .select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
+        # written, so that the next join shuffles both sides and AQE can split a label that many nodes have
+        near = scratch.write(near, f"{name}-near")
         above = near.select(F.col("node").alias("up"), F.col("label").alias("top"))
         after = near.join(above, F.col("label") == F.col("up")) \
             .select("node", F.col("top").alias("label"), (F.col("top") != F.col("old")).alias("moved"))

@@ -233,6 +233,8 @@ def near_duplicate_classes(df: DataFrame, settings: Settings = Settings()) -> Da
     # buckets with at least two nodes; the others have nothing to compare
     shared = places.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")) \
         .filter("lo < hi").select("key")
+    # written tables: a join that shuffles both sides can be split where one key holds many rows
+    shared = scratch.write(shared, "shared")
     members = scratch.write(places.join(shared, "key").distinct(), "members")
     members = members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
     # company: nodes met over all tables; the hub of a group of near copies has most
@@ -267,9 +269,11 @@ def near_duplicate_classes(df: DataFrame, settings: Settings = Settings()) -> Da
         if not new.limit(1).count():
             break
         links = links.unionByName(new)
-    found = rows.join(label, "node", "left").select("doc_id", "row_key", "node", F.coalesce("label", "node").alias("label"))
+    found = scratch.write(rows.join(label, "node", "left").select(
+        "doc_id", "row_key", "node", F.coalesce("label", "node").alias("label")), "found")
     ids = found.filter("label is not null").groupBy("label").agg(
         F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("docs"))
+    ids = scratch.write(ids, "ids")
     return found.join(ids, "label", "left").select(
         "doc_id", "row_key", "label", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("class_id"),
         F.coalesce("docs", F.lit(1)).alias("class_docs"))
