@@ -76,37 +76,46 @@ class ChunkCache:
         self.check = np.zeros((0, 3), np.uint64)
         self.first, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
 
-    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(count per chunk, all ids) of distinct chunks."""
-        joined = [i for i, c in enumerate(chunks) if c[0] in " \n\t\r" and not c[-1].isspace()
-                  and not any(s in c for s in self.special)]
-        alone = sorted(set(range(len(chunks))) - set(joined))
-        ids: list = [None] * len(chunks)
+    def encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, ids per chunk, all ids) of distinct chunks, both in that order.
+
+        Chunks that begin with white space and end without it are joined and
+        encoded together; the lengths of the tokens tell them apart again.
+        """
+        white = _WHITE[data[start]] & ~_WHITE[data[end - 1]] & ~_other_space_before(data, end)
+        joined, alone = np.flatnonzero(white), np.flatnonzero(~white)
+        raw = data.tobytes()
+        if any(t.encode() in raw for t in self.special):
+            held = np.array([any(t.encode() in raw[a:z] for t in self.special) for a, z in zip(start[joined], end[joined])], bool)
+            joined, alone = joined[~held], np.concatenate((alone, joined[held]))
+        counts, flat = [], []
         for a in range(0, len(joined), 20_000):
             part = joined[a:a + 20_000]
-            made = np.array(self.tokenizer.encode_batch_fast(["".join(chunks[i] for i in part)],
-                                                             add_special_tokens=False)[0].ids, np.int64)
-            stops = np.cumsum(self.byte_length[made])
-            ends = np.cumsum([len(chunks[i].encode()) for i in part])
+            size = end[part] - start[part]
+            text = data[B.ragged(start[part], size)].tobytes().decode()
+            made = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+            stops, ends = np.cumsum(self.byte_length[made]), np.cumsum(size)
             cut = np.searchsorted(stops, ends)
-            if len(made) and not np.array_equal(stops[cut], ends):
+            if not np.array_equal(stops[cut], ends):
                 raise ValueError("a token crosses a chunk border")
-            for i, x in zip(part, np.split(made, cut[:-1] + 1)):
-                ids[i] = x
-        for i, e in zip(alone, self.tokenizer.encode_batch_fast([chunks[i] for i in alone], add_special_tokens=False)):
-            ids[i] = np.array(e.ids, np.int64)
-        count = np.array([len(x) for x in ids], np.int64)
-        return count, (np.concatenate(ids) if ids else np.zeros(0, np.int64)).astype(np.uint16)
-
-    def look_up(self, keys: np.ndarray, check: np.ndarray, text_of) -> np.ndarray:
-        """Place of each distinct key; ``text_of(i)`` gives the chunk's text."""
+            counts.append(np.diff(cut, prepend=-1))
+            flat.append(made.astype(np.uint16))
+        texts = [raw[a:z].decode() for a, z in zip(start[alone].tolist(), end[alone].tolist())]
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            counts.append(np.array([len(e.ids)]))
+            flat.append(np.array(e.ids, np.uint16))
+        return np.concatenate((joined, alone)), np.concatenate(counts), np.concatenate(flat)
+
+    def look_up(self, keys: np.ndarray, check: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Place of each distinct key; data[start:end] are the chunks."""
         if len(self.keys) + len(keys) > self.most:
             self.clear()
         at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
         new = np.flatnonzero(~known)
         if len(new):
-            count, flat = self.encode([text_of(i) for i in new])
+            order, count, flat = self.encode(data, start[new], end[new])
+            new = new[order]
             all_keys = np.concatenate((self.keys, keys[new]))
             order = np.argsort(all_keys, kind="stable")
             self.keys = all_keys[order]
@@ -121,21 +130,28 @@ class ChunkCache:
         return at
 
 
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 13, 32]] = True
+
+
+def _other_space_before(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """True where the character that ends before ``at`` is white space of Unicode beyond _WHITE."""
+    p1, p2, p3 = (data[np.maximum(at - k, 0)] for k in (1, 2, 3))
+    return (p1 == 0x0B) | (p1 == 0x0C) | ((p2 == 0xC2) & ((p1 == 0x85) | (p1 == 0xA0))) | \
+        ((p3 == 0xE1) & (p2 == 0x9A) & (p1 == 0x80)) | ((p3 == 0xE2) & ((p2 == 0x80) | (p2 == 0x81))) | \
+        ((p3 == 0xE3) & (p2 == 0x80) & (p1 == 0x80))
+
+
 def chunk_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, end) of the chunks: a run of white space and what follows it up to the next run."""
     n = len(data) - B.PAD
-    white = np.zeros(256, bool)
-    white[[9, 10, 13, 32]] = True
-    ws = white[data[:n]]
-    begins = ws.copy()
-    begins[1:] &= ~ws[:-1]
+    begins = _WHITE[data[:n]]
+    begins[1:] &= ~begins[:-1].copy()
+    # not after other white space, with which the run would be one
+    start = np.flatnonzero(begins)
+    begins[start[_other_space_before(data, start)]] = False
+    begins[bounds[:-1][np.diff(bounds) > 0]] = True
     start = np.flatnonzero(begins)
-    # not after other white space of Unicode, with which the run would be one
-    p1, p2, p3 = (data[np.maximum(start - k, 0)] for k in (1, 2, 3))
-    other = (p1 == 0x0B) | (p1 == 0x0C) | ((p2 == 0xC2) & ((p1 == 0x85) | (p1 == 0xA0))) | \
-        ((p3 == 0xE1) & (p2 == 0x9A) & (p1 == 0x80)) | ((p3 == 0xE2) & ((p2 == 0x80) | (p2 == 0x81))) | \
-        ((p3 == 0xE3) & (p2 == 0x80) & (p1 == 0x80))
-    start = np.unique(np.concatenate((start[~other], bounds[:-1][np.diff(bounds) > 0])))
     return start, np.append(start[1:], n)
 
 
@@ -150,16 +166,14 @@ def encode_texts(column: pa.Array, cache: ChunkCache, end_id: int) -> tuple[np.n
     bits = np.uint64(8) * np.minimum(size, np.uint64(7))
     head = np.where(size < 8, view[start] & ((np.uint64(1) << bits) - np.uint64(1)), view[start])
     tail = np.where(size < 8, head, view[np.maximum(end - 8, start)])
-    check = np.stack((size, head, tail), axis=1)
     order, first, times = B.grouped(key)
     pick = order[first]
     group = np.empty(len(key), np.int64)
     group[order] = np.repeat(np.arange(len(first)), times)
-    if len(key) and not np.array_equal(check, check[pick][group]):
+    check = np.stack((size[pick], head[pick], tail[pick]), axis=1)
+    if not all(np.array_equal(x, check[group, k]) for k, x in enumerate((size, head, tail))):
         raise ValueError("two chunks share a 64-bit hash")
-    raw = data.tobytes()
-    at = cache.look_up(key[pick], check[pick], lambda i: raw[start[pick[i]]:end[pick[i]]].decode())
-    at = at[group]
+    at = cache.look_up(key[pick], check, data, start[pick], end[pick])[group]
     # one more entry per text for its end, after its chunks
     doc = np.searchsorted(bounds, start, side="right") - 1
     n = len(bounds) - 1
