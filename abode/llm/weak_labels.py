@@ -332,8 +332,10 @@ def fit(df: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Mo
     table = scratch.write(_sample(df, given, settings), "sample")
     model = Model(settings)
     model.lexicon = learn_lexicon(table, settings)
-    sample = table.orderBy("h", "doc_id", "text").limit(settings.sample_rows).toArrow()
-    parts = [b.column("text") for b in B.slices(sample.to_batches(), "text", 8 << 20)]
+    cut = table.select("h").orderBy("h").limit(settings.sample_rows).agg(F.max("h")).collect()[0][0]
+    sample = table.filter(F.col("h") <= F.lit(cut if cut is not None else 0)).limit(2 * settings.sample_rows).toArrow()
+    sample = sample.sort_by([("h", "ascending"), ("text", "ascending")])
+    labels_of = {n: np.asarray(sample.column(n).fill_null(ABSTAIN)) for n in (QUALITY[-1], TOXIC[-1])}
     shared = spark.sparkContext.broadcast(model)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,15 +354,17 @@ def fit(df: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Mo
     votes_of: dict[str, list[np.ndarray]] = {n: [] for n in (*QUALITY[:-1], *TOXIC[:-1])}
     design: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     at = 0
-    for part in parts:
-        t = Texts(part)
+    # small slices: what the driver holds is the sample's features, not the working arrays of its texts
+    for part in B.slices(sample.to_batches(), "text", 1 << 19):
+        t = Texts(part.column("text"))
         for n, v in t.votes(model).items():
             votes_of[n].append(v)
         row, col, value = t.design(model)
         design.append(((row + at).astype(np.int32), col.astype(np.int32), value.astype(np.float32)))
         at += t.n
     row, col, value = (np.concatenate(x) for x in zip(*design)) if design else (np.zeros(0, np.int32),) * 3
-    del design
+    del design, sample
+    row = row.astype(np.int64)
     for aspect, names, column in (("quality", QUALITY, "q"), ("toxic", TOXIC, "t")):
         codes, where = np.unique(np.asarray(found.column(column)), return_inverse=True)
         patterns = _unpacked(codes, len(names))
@@ -369,8 +373,7 @@ def fit(df: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Mo
                                   np.where(is_label, 1.0, 0.001), is_label)
         model.accuracy[aspect] = dict(zip(names, right.tolist()))
         if at:
-            label = np.asarray(sample.column(names[-1]).fill_null(ABSTAIN))
-            mine = _packed([*[np.concatenate(votes_of[n]) for n in names[:-1]], label])
+            mine = _packed([*[np.concatenate(votes_of[n]) for n in names[:-1]], labels_of[names[-1]]])
             target = post[np.minimum(np.searchsorted(codes, mine), len(codes) - 1)]
             model.weights[aspect] = fit_scorer(row, col, value, target, _width(settings), settings.rounds).astype(np.float32)
         else:
