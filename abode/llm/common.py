@@ -43,6 +43,12 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
+def hash_cut(rows: int, wanted: int) -> int:
+    """Bound for a 64-bit hash that about ``wanted`` of ``rows`` rows fall below: a sample without a sort."""
+    share = min(1.0, wanted / rows) if rows else 0.0
+    return min(int(share * 2.0 ** 64) - 2 ** 63, 2 ** 63 - 1)
+
+
 class Scratch:
     """Intermediate tables of one operator call, in the shared checkpoint folder.
 

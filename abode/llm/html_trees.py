@@ -5,9 +5,9 @@ article text. A node that is dropped drops its whole subtree, and a kept node
 has kept ancestors, so labels never contradict each other: the best consistent
 labelling of the tree is found bottom-up (sum of log probabilities).
 
-Training data come from a bounded sample of the given pages (``train_pages``
-pages of at most ``train_chars`` characters with the smallest hash of their
-id). A page that marks its article gives its own blocks as labelled nodes, and
+Training data come from a bounded sample of the given pages (about
+``train_pages`` pages of at most ``train_chars`` characters, by a hash of the
+page). A page that marks its article gives its own blocks as labelled nodes, and
 is laid out anew several times with the texts of the sample: other elements and
 class names, with menus, page headers, notices, side columns, adverts, forms,
 comments and footers around the same article. So the trees learn from
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from abode.llm import dom
 from abode.llm import textbytes as B
+from abode.llm.common import hash_cut
 
 
 @dataclass(frozen=True)
@@ -281,8 +282,9 @@ def _block_tags(source: str) -> list[str]:
 def fit(pages: DataFrame, settings: Settings = Settings()) -> Forest | None:
     """Trees from the sample of ``pages`` (page_id, html); None if no page marks its article."""
     rows = pages.filter((F.length("html") > 0) & (F.length("html") <= settings.train_chars)) \
-        .select(F.xxhash64("page_id", "html").alias("h"), "html").orderBy("h", "html").limit(settings.train_pages)
-    x, y = training_nodes([r["html"] for r in rows.collect()], settings)
+        .select(F.xxhash64("page_id", "html").alias("h"), "html")
+    rows = rows.filter(F.col("h") <= F.lit(hash_cut(rows.count(), settings.train_pages))).limit(2 * settings.train_pages)
+    x, y = training_nodes([r["html"] for r in sorted(rows.collect(), key=lambda r: (r["h"], r["html"]))], settings)
     if not len(y) or y.min() == y.max():
         return None
     return fit_forest(x, y, settings)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from abode.llm import textbytes as B
-from abode.llm.common import Scratch
+from abode.llm.common import Scratch, hash_cut
 
 # Insulting words.
 INSULTS = ("idiot moron loser scum clown trash stupid pathetic worthless disgusting imbecile "
@@ -288,15 +288,15 @@ def fit_scorer(row: np.ndarray, col: np.ndarray, value: np.ndarray, target: np.n
 
 
 def _sample(df: DataFrame, given: DataFrame, settings: Settings) -> DataFrame:
-    """About ``lexicon_rows`` labelled documents: those with the smallest hash of the id (column h).
+    """About ``lexicon_rows`` labelled documents: those whose hash of the id (column h) is below a cut.
 
     Without any label, ``sample_rows`` documents as such. The limit bounds repeated ids.
     """
     h = F.xxhash64("doc_id")
     labelled = given.limit(1).count() > 0
     ids, most = (given, settings.lexicon_rows) if labelled else (df.filter("doc_id is not null"), settings.sample_rows)
-    cut = ids.select(h.alias("h")).orderBy("h").limit(most).agg(F.max("h")).collect()[0][0]
-    rows = df.filter("doc_id is not null").filter(h <= F.lit(cut if cut is not None else 0)).select("doc_id", "text", h.alias("h"))
+    cut = hash_cut(ids.count(), most)
+    rows = df.filter("doc_id is not null").filter(h <= F.lit(cut)).select("doc_id", "text", h.alias("h"))
     return rows.join(given, "doc_id", "inner" if labelled else "left").limit(2 * most)
 
 
@@ -332,8 +332,11 @@ def fit(df: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Mo
     table = scratch.write(_sample(df, given, settings), "sample")
     model = Model(settings)
     model.lexicon = learn_lexicon(table, settings)
-    cut = table.select("h").orderBy("h").limit(settings.sample_rows).agg(F.max("h")).collect()[0][0]
-    sample = table.filter(F.col("h") <= F.lit(cut if cut is not None else 0)).limit(2 * settings.sample_rows).toArrow()
+    least = table.agg(F.count(F.lit(1)).alias("n"), F.max("h").alias("top")).collect()[0]
+    # the sample's hashes end at its own cut: take the lower share of that range
+    share = min(1.0, settings.sample_rows / least["n"]) if least["n"] else 0.0
+    cut = int(share * ((least["top"] or 0) + 2 ** 63)) - 2 ** 63 if share < 1.0 else least["top"] or 0
+    sample = table.filter(F.col("h") <= F.lit(cut)).limit(2 * settings.sample_rows).toArrow()
     sample = sample.sort_by([("h", "ascending"), ("text", "ascending")])
     labels_of = {n: np.asarray(sample.column(n).fill_null(ABSTAIN)) for n in (QUALITY[-1], TOXIC[-1])}
     shared = spark.sparkContext.broadcast(model)

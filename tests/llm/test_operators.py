@@ -119,7 +119,8 @@ def test_op2_tree_is_a_distribution_and_uses_longest_suffix(spark, given):
     unseen = 255 - (tree.child.shape[1] - 1)
     p = 10 ** tree.logp
     assert tree.states > 20
-    assert np.all(p.sum(1) <= 1 + 1e-9) and np.all(p[:, :-1].sum(1) + (unseen + 1) * p[:, -1] >= 1 - 1e-9)
+    # log10 probabilities are kept in single precision
+    assert np.all(p.sum(1) <= 1 + 1e-5) and np.all(p[:, :-1].sum(1) + (unseen + 1) * p[:, -1] >= 1 - 1e-5)
     data = suffix_tree.normalised(pa.array([t for _, t in given[:20]]))
     n = len(data) - 8
     got = suffix_tree.symbol_scores(data, n, tree)
