@@ -65,7 +65,7 @@ class Settings:
         return (self.length - self.window + 1) // 2
 
 
-_SLICE = 8 << 20
+_SLICE = 4 << 20
 
 
 def samples(data: np.ndarray, bounds: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

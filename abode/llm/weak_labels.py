@@ -303,7 +303,7 @@ def _sample(df: DataFrame, given: DataFrame, settings: Settings) -> DataFrame:
 def learn_lexicon(sample: DataFrame, settings: Settings) -> np.ndarray:
     """Hashes of words that occur mostly in toxic ones among the labelled texts of the sample."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in B.slices(batches, "text", 8 << 20):
+        for b in B.slices(batches, "text", 4 << 20):
             t = Texts(b.column("text"))
             toxic = np.asarray(b.column("toxic_label"))
             order, first, _ = B.grouped(t.hash ^ (t.words.doc.astype(np.uint64) << np.uint64(44)))
@@ -342,7 +342,7 @@ def fit(df: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Mo
     shared = spark.sparkContext.broadcast(model)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in B.slices(batches, "text", 8 << 20):
+        for b in B.slices(batches, "text", 4 << 20):
             v = Texts(b.column("text")).votes(shared.value)
             yield pa.record_batch({"doc_id": b.column("doc_id"), "q": _packed([v[k] for k in QUALITY[:-1]]),
                                    "t": _packed([v[k] for k in TOXIC[:-1]])})
@@ -397,7 +397,7 @@ def classify(df: DataFrame, model: Model) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in B.slices(batches, "text", 8 << 20):
+        for b in B.slices(batches, "text", 4 << 20):
             t = Texts(b.column("text"))
             row, col, value = t.design(m)
             p = {a: 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col] * value, minlength=t.n), -30, 30)))
