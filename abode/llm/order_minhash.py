@@ -13,8 +13,17 @@ Candidates: texts of equal words are one node, so copies meet nothing twice.
 In each bucket all nodes are compared with one leader, first the node that has
 most company over all tables (the original among its near copies), then, while
 new links appear, a leader drawn anew per bucket and round. Buckets of at most
-``small`` nodes compare all their nodes of different classes. No bucket is cut
-or skipped, and the pairs of a round are linear in the rows.
+``small`` nodes compare all their nodes of different classes. The pairs of these
+rounds are linear in the rows.
+
+What is left: nodes of larger buckets that still hold several classes are joined
+by prefix filter. c / (m + n - c) of 0.8 or more needs that share of labelled
+shingles in common, so two such texts share one of the first of them in any
+common order; the order puts rare ones first. Bounds on the lengths and on the
+number of differing shingles (the differing bits of two parity bitmaps are never
+more) drop pairs that cannot reach 0.8; all other pairs of different classes are
+verified. So no pair of 0.8 or more that shares a bucket is left out, however
+large the bucket.
 
 Verification: two shingle sequences of lengths m and n with c shingles aligned
 in order have similarity c / (m + n - c); 0.8 or more links them. The longest
@@ -50,6 +59,7 @@ class Settings:
     tables: int = 32
     similarity: float = 0.8
     small: int = 32
+    cells: int = 1 << 18    # counters of the shingles' frequencies: only the order of a prefix depends on them
     seed: int = 20240229
 
 
@@ -220,6 +230,90 @@ def verified(pairs: DataFrame, table: DataFrame, settings: Settings) -> DataFram
         .mapInArrow(keep, "a long, b long")
 
 
+#: 64-bit words of a text's parity bitmap.
+_BITMAP = 16
+
+
+def numbered(s: np.ndarray) -> np.ndarray:
+    """Distinct 64-bit tokens of 32-bit shingles: the shingle, and above it its occurrence number in the text."""
+    order = np.argsort(s, kind="stable")
+    ranked = s[order].astype(np.uint64)
+    at = np.arange(len(s))
+    start = np.maximum.accumulate(np.where(np.concatenate(([True], ranked[1:] != ranked[:-1])), at, 0))
+    return ranked | (at - start).astype(np.uint64) << np.uint64(32)
+
+
+def parity_bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Two bitmaps differ in at most as many bits as their token sets in tokens."""
+    bits = np.bincount((_mix(tokens) % np.uint64(64 * _BITMAP)).astype(np.int64), minlength=64 * _BITMAP) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def prefix_length(size: int, similarity: float) -> int:
+    """So many first tokens of ``size`` hold one of any other set that reaches ``similarity``."""
+    return size - int(np.ceil(similarity * size - 1e-6)) + 1
+
+
+def _cell(tokens: np.ndarray, cells: int) -> np.ndarray:
+    return (_mix(tokens ^ _MIX) % np.uint64(cells)).astype(np.int64)
+
+
+def _frequencies(sequences: DataFrame, settings: Settings) -> np.ndarray:
+    """How many tokens of all sequences fall into each cell."""
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(settings.cells, np.int64)
+        for batch in batches:
+            for x in batch.column("seq").to_pylist():
+                np.add.at(total, _cell(numbered(np.frombuffer(x, "<u4")), settings.cells), 1)
+        at = np.flatnonzero(total)
+        yield pa.record_batch({"cell": pa.array(at), "n": pa.array(total[at])})
+    found = sequences.select("seq").mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(settings.cells, np.int64)
+    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def remaining_pairs(left: DataFrame, table: DataFrame, scratch: Scratch, settings: Settings) -> DataFrame:
+    """Pairs (a, b) of the nodes ``left`` (node, label) with different labels that may be similar; none that is gets lost."""
+    sequences = scratch.write(table.join(left, "node"), "open-sequences")
+    frequency = left.sparkSession.sparkContext.broadcast(_frequencies(sequences, settings))
+    bits = [f"bits_{k}" for k in range(_BITMAP)]
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, firsts, maps = [], [], []
+            for x in batch.column("seq").to_pylist():
+                tokens = numbered(np.frombuffer(x, "<u4"))
+                order = np.lexsort((tokens, frequency.value[_cell(tokens, settings.cells)]))
+                sizes.append(len(tokens))
+                firsts.append(tokens[order[:prefix_length(len(tokens), settings.similarity)]].view(np.int64))
+                maps.append(parity_bitmap(tokens))
+            words = np.array(maps, np.int64).reshape(-1, _BITMAP)
+            yield pa.record_batch({"node": batch.column("node"), "label": batch.column("label"), "size": pa.array(sizes, pa.int64()),
+                                   **{name: pa.array(words[:, k]) for k, name in enumerate(bits)},
+                                   "firsts": pa.array(firsts, pa.list_(pa.int64()))})
+    columns = ", ".join(f"{name} long" for name in ["node", "label", "size", *bits])
+    prefixes = scratch.write(sequences.mapInArrow(made, f"{columns}, firsts array<long>"), "prefixes")
+    # of two nodes of different classes one is not in the token's most frequent class
+    shared = prefixes.select("label", F.explode("firsts").alias("token")).groupBy("token", "label").agg(F.count(F.lit(1)).alias("n")) \
+        .groupBy("token").agg(F.max(F.struct("n", "label"))["label"].alias("top"), F.count(F.lit(1)).alias("classes")) \
+        .filter("classes > 1").select("token", "top")
+    shared = scratch.write(shared, "tokens")
+    places = prefixes.select("node", "label", "size", *bits, F.explode("firsts").alias("token")).join(shared, "token")
+    places = scratch.write(places, "token-places")
+    few = places.filter("label <> top").drop("top").toDF("token", *[f"x_{c}" for c in ["node", "label", "size", *bits]])
+    others = places.toDF("token", *[f"y_{c}" for c in ["node", "label", "size", *bits]], "top")
+    # the same bound as in ``similar``
+    both = F.col("x_size") + F.col("y_size")
+    least = F.ceil(F.lit(settings.similarity) * both / F.lit(1 + settings.similarity) - F.lit(1e-9))
+    differing = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in bits), F.lit(0))
+    met = few.join(others, "token").filter(F.col("x_label") != F.col("y_label")) \
+        .filter((F.col("y_label") == F.col("top")) | (F.col("x_label") < F.col("y_label"))) \
+        .filter(F.least("x_size", "y_size") >= least).filter(differing <= both - 2 * least)
+    return scratch.write(met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct(),
+                         "remaining")
+
+
 def near_duplicate_classes(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, row_key, label, class_id and class_docs of each row of ``df`` (needs doc_id and text).
 
@@ -269,6 +363,12 @@ def near_duplicate_classes(df: DataFrame, settings: Settings = Settings()) -> Da
         if not new.limit(1).count():
             break
         links = links.unionByName(new)
+    # the rounds ended, which does not mean that every pair of a large bucket was compared
+    left = scratch.write(open_.filter(F.col("n") > settings.small).select("node", "label").distinct(), "open")
+    if left.limit(1).count():
+        new = scratch.write(verified(remaining_pairs(left, table, scratch, settings), table, settings), "links-remaining")
+        if new.limit(1).count():
+            label = connected_components(links.unionByName(new), scratch, "classes-remaining")
     found = scratch.write(rows.join(label, "node", "left").select(
         "doc_id", "row_key", "node", F.coalesce("label", "node").alias("label")), "found")
     ids = found.filter("label is not null").groupBy("label").agg(

@@ -259,6 +259,57 @@ def test_op6_alignment():
         assert order_minhash.similar(a, b, 0.8) == (c / (len(a) + len(b) - c) >= 0.8)
 
 
+def _template_family(size, planted):
+    """Texts of one template at 0.75 to 0.79 to each other, so in the same large buckets, and ``planted`` pairs at 0.817."""
+    rng = np.random.default_rng(11)
+    places, rows = [], []
+
+    def add(kept, old):
+        while True:
+            at = [*kept, *rng.choice([k for k in range(100) if k not in kept], 7 - len(kept), replace=False).tolist()]
+            if all(len(set(at) & set(x)) <= 2 for x in places):
+                break
+        words = list(old)
+        for k in at[len(kept):]:
+            words[5 * k + 4] = f"own{len(rows)}x{k}"
+        places.append(at)
+        rows.append((len(rows), words))
+    template = [f"t{k}" for k in range(500)]
+    for _ in range(size - planted):
+        add([], template)
+    for j in range(planted):
+        words = list(template)
+        for k in places[j][:2]:
+            words[5 * k + 4] = rows[j][1][5 * k + 4]
+        add(places[j][:2], words)
+    return [(i, " ".join(w)) for i, w in rows]
+
+
+def test_op6_large_buckets_are_compared_whole(spark):
+    docs = _template_family(300, 20)
+    want = brute.near_classes(docs)
+    assert len(docs) - len(set(want)) == 20
+    got = order_minhash.near_duplicate_classes(spark.createDataFrame(docs, "doc_id long, text string"))
+    check([(r["doc_id"], r["class_id"]) for r in got.collect()], list(zip([i for i, _ in docs], want)))
+
+
+def test_op6_prefix_and_bitmap_lose_no_pair():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        a = rng.integers(0, 60, rng.integers(1, 80)).astype(np.uint32)
+        b = a[rng.random(len(a)) < 0.9]
+        b = np.concatenate([b, rng.integers(0, 60, rng.integers(0, 4)).astype(np.uint32)])
+        x, y = order_minhash.numbered(a), order_minhash.numbered(b)
+        common = len(np.intersect1d(x, y))
+        assert common == sum((Counter(a.tolist()) & Counter(b.tolist())).values())
+        differing = sum(int(v).bit_count() for v in
+                        (order_minhash.parity_bitmap(x) ^ order_minhash.parity_bitmap(y)).view(np.uint64))
+        assert differing <= len(x) + len(y) - 2 * common
+        if common >= 0.8 * (len(x) + len(y) - common):
+            first = [set(np.sort(z)[:order_minhash.prefix_length(len(z), 0.8)].tolist()) for z in (x, y)]
+            assert first[0] & first[1]
+
+
 def test_op6_one_of_each_class_stays(spark, odd_docs):
     kept = order_minhash.deduplicated(cases.odd_documents(spark))
     assert kept.columns == cases.odd_documents(spark).columns
