@@ -5,18 +5,20 @@ article text. A node that is dropped drops its whole subtree, and a kept node
 has kept ancestors, so labels never contradict each other: the best consistent
 labelling of the tree is found bottom-up (sum of log probabilities).
 
-Training data come from a bounded sample of the given pages (about
-``train_pages`` pages of at most ``train_chars`` characters, by a hash of the
-page). A page that marks its article gives its own blocks as labelled nodes, and
-is laid out anew several times with the texts of the sample: other elements and
-class names, with menus, page headers, notices, side columns, adverts, forms,
-comments and footers around the same article. So the trees learn from
-structure, attribute words and densities rather than from one template. Every
-page of the table is then extracted whole.
+Training data come from a sample of the given pages that have an article or
+main element: about ``train_pages`` pages, by a hash of the page, whatever their
+length. A page that marks its article gives its own blocks as labelled nodes, and
+is laid out anew several times with its texts: other elements and class names,
+with menus, page headers, notices, side columns, adverts, forms, comments and
+footers around the same article. So the trees learn from structure, attribute
+words and densities rather than from one template. Pages are parsed whole in the
+tasks; only features reach the driver, of at most ``page_nodes`` nodes a page
+(a random draw if it and its layouts have more) and 2 * ``train_pages`` pages.
+Every page of the table is then extracted whole.
 
 Defined cases: a null or empty html has an empty text. Without a page that
-marks its article nothing can be learned and every run of text is kept. Equal
-rows get equal results; an empty table gives an empty result.
+marks its article the trees learn from layouts of built-in texts. Equal rows get
+equal results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ from abode.llm.common import hash_cut
 @dataclass(frozen=True)
 class Settings:
     train_pages: int = 200
-    train_chars: int = 20_000
+    page_nodes: int = 500
     layouts: int = 5
     trees: int = 50
     depth: int = 4
@@ -233,31 +235,54 @@ def lay_out(rng: random.Random, article: list[tuple[str, str]], texts: list[str]
     return f"<html><body>{made}</body></html>"
 
 
-def training_nodes(pages: list[str], settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the nodes of the sample pages and of their layouts."""
-    rng = random.Random(7)
-    xs, ys, articles, texts = [], [], [], []
-    for source in pages:
+def training_nodes(source: str, seed: int, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of nodes of a page and of its layouts; none if it does not mark its article."""
+    page = dom.parse(source)
+    root = article_root(page)
+    if root is None:
+        return np.zeros((0, dom.N_FEATURES)), np.zeros(0)
+    inside = _below(page, {root})
+    blocks = [("h1" if page.nodes[o].tag in ("h1", "h2", "h3") else "p", t) for o, t in page.runs if inside[o]]
+    x, y = _layout_nodes(random.Random(seed), blocks, [t for _, t in page.runs], settings) if blocks else ([], [])
+    x, y = np.concatenate([dom.features(page), *x]), np.concatenate([labels_of(page, inside), *y])
+    if len(y) > settings.page_nodes:
+        drawn = np.sort(np.random.default_rng(abs(seed)).choice(len(y), settings.page_nodes, replace=False))
+        x, y = x[drawn], y[drawn]
+    return x, y
+
+
+def _layout_nodes(rng: random.Random, blocks: list[tuple[str, str]], texts: list[str],
+                  settings: Settings) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    xs, ys = [], []
+    for _ in range(settings.layouts):
+        source = lay_out(rng, blocks, texts)
         page = dom.parse(source)
-        root = article_root(page)
-        if root is None:
-            continue
-        inside = _below(page, {root})
         xs.append(dom.features(page))
-        ys.append(labels_of(page, inside))
-        blocks = [("h1" if page.nodes[o].tag in ("h1", "h2", "h3") else "p", t) for o, t in page.runs if inside[o]]
-        if blocks:
-            articles.append(blocks)
-        texts += [t for _, t in page.runs]
-    for blocks in articles:
-        for _ in range(settings.layouts):
-            source = lay_out(rng, blocks, texts)
-            page = dom.parse(source)
-            x = dom.features(page)
-            xs.append(x)
-            ys.append(_layout_labels(source, page))
-    if not xs:
-        return np.zeros((0, dom.N_FEATURES)), np.zeros(0)
+        ys.append(_layout_labels(source, page))
+    return xs, ys
+
+
+# What layouts are made of where no page marks its article.
+_SENTENCES = [
+    "The council met on Tuesday to discuss the plan, and most of its members agreed.",
+    "Rain is expected in the north; the south stays dry.", "Nobody had seen the old map before the house was sold.",
+    "She wrote three letters, but only one of them was answered.", "In the end, the price fell by a third within two years.",
+    "According to the report, the bridge can carry twice the weight that it was built for.", "Why did it take so long?",
+    "The first trains ran in spring, when the snow on the pass had melted and the road was open again.",
+    "Home", "About us", "Contact", "Read more", "All rights reserved", "Sign in to your account", "Latest news and offers",
+]
+
+
+def built_in_nodes(settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of layouts around articles of built-in sentences."""
+    rng = random.Random(7)
+    xs, ys = [], []
+    for _ in range(settings.train_pages // 2):
+        blocks = [("h1", rng.choice(_SENTENCES[:8]))] * rng.randint(0, 1) + [
+            ("p", " ".join(rng.choice(_SENTENCES[:8]) for _ in range(rng.randint(1, 8)))) for _ in range(rng.randint(2, 10))]
+        x, y = _layout_nodes(rng, blocks, _SENTENCES + [t for _, t in blocks], settings)
+        xs += x
+        ys += y
     return np.concatenate(xs), np.concatenate(ys)
 
 
@@ -279,14 +304,23 @@ def _block_tags(source: str) -> list[str]:
             if m[2] and not m[1] and m[2].lower() not in dom.INLINE | dom.VOID | dom.SKIPPED | {"html", "body", "head"}]
 
 
-def fit(pages: DataFrame, settings: Settings = Settings()) -> Forest | None:
-    """Trees from the sample of ``pages`` (page_id, html); None if no page marks its article."""
-    rows = pages.filter((F.length("html") > 0) & (F.length("html") <= settings.train_chars)) \
-        .select(F.xxhash64("page_id", "html").alias("h"), "html")
-    rows = rows.filter(F.col("h") <= F.lit(hash_cut(rows.count(), settings.train_pages))).limit(2 * settings.train_pages)
-    x, y = training_nodes([r["html"] for r in sorted(rows.collect(), key=lambda r: (r["h"], r["html"]))], settings)
+def fit(pages: DataFrame, settings: Settings = Settings()) -> Forest:
+    """Trees from the sample of ``pages`` (page_id, html), or from built-in layouts if no page marks its article."""
+    rows = pages.filter(F.col("html").rlike("(?i)<(article|main)[\\s/>]")).select(F.xxhash64("page_id", "html").alias("h"), "html")
+    rows = rows.filter(F.col("h") <= F.lit(hash_cut(rows.count(), settings.train_pages)))
+
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in B.slices(batches, "html", 1 << 20):
+            made = [training_nodes(s, h, settings) for s, h in zip(b.column("html").to_pylist(), b.column("h").to_pylist())]
+            yield pa.record_batch({"h": b.column("h"),
+                                   "x": pa.array([x.astype("<f4").tobytes() for x, _ in made], pa.binary()),
+                                   "y": pa.array([y.astype("<f4").tobytes() for _, y in made], pa.binary())})
+    found = rows.mapInArrow(nodes, "h long, x binary, y binary").filter(F.length("y") > 0).limit(2 * settings.train_pages)
+    found = sorted(found.collect(), key=lambda r: (r["h"], r["x"]))
+    x = np.frombuffer(b"".join(r["x"] for r in found), "<f4").reshape(-1, dom.N_FEATURES).astype(float)
+    y = np.frombuffer(b"".join(r["y"] for r in found), "<f4").astype(float)
     if not len(y) or y.min() == y.max():
-        return None
+        x, y = built_in_nodes(settings)
     return fit_forest(x, y, settings)
 
 

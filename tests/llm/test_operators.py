@@ -382,6 +382,21 @@ def test_op8_other_layouts(spark):
     assert hit > 0.95 * total and extra < 0.1 * total
 
 
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_op8_long_pages_lose_their_menus(spark, tag):
+    """Pages beyond 20,000 characters, with and without a marked article."""
+    prose = [" ".join(f"mine{w}" for w in cases._words(60, k)) + "." for k in range(60)]
+    menu = "<nav class='menu'><ul>" + "".join(f"<li><a href='#'>menu{k}</a></li>" for k in range(8)) + "</ul></nav>"
+    foot = "<footer class='footer'><p>foot words</p></footer>"
+    rows = [(i, f"<html><body>{menu}<{tag} class='post'>{''.join(f'<p>{p}</p>' for p in prose[i:] + prose[:i])}</{tag}>{foot}</body></html>")
+            for i in range(12)]
+    assert min(len(h) for _, h in rows) > 20_000
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    forest = html_trees.fit(pages)
+    for r in html_trees.extract(pages, forest).collect():
+        assert sorted(r["blocks"]) == sorted(prose)
+
+
 def test_op8_consistent_labels():
     page = dom.parse("<div><p>a</p><section><p>b<p>c</section></div><ul><li>x<li>y</ul>tail")
     odds = np.linspace(-3, 3, len(page.nodes)) * np.array([1, -1] * len(page.nodes))[:len(page.nodes)]
