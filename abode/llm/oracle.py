@@ -119,9 +119,37 @@ SELECT doc_id, CAST(len(t) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN held USING (rid)
 """
 
+OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                           '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+t AS (SELECT rid, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+total AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+dense AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+        1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (coalesce(total.total, 0) + v.v)::HUGEINT AS p,
+        1 + 1000000000::HUGEINT * (k.lang_n + 1) // (v.lang_total + v.v)::HUGEINT AS lp
+        FROM groups g JOIN kept k USING (lang) JOIN v USING (lang) LEFT JOIN total USING (lang, source)
+        LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+sums AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+        FROM dense x JOIN dense y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+pairs AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(s.value, 0) AS value
+        FROM groups x JOIN groups y ON x.lang = y.lang AND x.source <> y.source
+        LEFT JOIN sums s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source),
+named AS (SELECT lang, source, 'term' AS part, term AS item, (p - lp) * (p - lp) // lp AS value FROM dense WHERE n > 0 AND p > lp),
+both_parts AS (SELECT * FROM pairs UNION ALL SELECT * FROM named),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM both_parts)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked
+WHERE part = 'pair' OR rank <= 200
+"""
+
 ORACLES: dict[str, str] = {
     "op1_distribution_divergence": OP1,
     "op5_rendezvous_shards": OP5,
     "op7_efraimidis_spirakis": OP7,
     "op10_prefix_set_join": OP10,
+    "op11_iceberg_divergence": OP11,
 }

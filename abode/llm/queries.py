@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abode.llm import (
-    divergence, html_trees, mixing, order_minhash, prefix_doubling, rendezvous, repair_codec, set_join, suffix_tree,
-    weak_labels,
+    covering, divergence, html_trees, iceberg, mixing, order_minhash, prefix_doubling, rendezvous, repair_codec,
+    set_join, suffix_tree, turn_repair, weak_labels,
 )
 from abode.llm.common import Scratch, read_table
 
@@ -96,9 +96,21 @@ def op10_prefix_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_iceberg_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iceberg.source_divergence(read_table(spark, sf_dir, "documents"))
+
+
+def op12_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covering.near_duplicate_components(read_table(spark, sf_dir, "documents"))
+
+
+def op13_turn_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repaired(turn_repair.damaged(read_table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_distribution_divergence, op2_suffix_tree_score, op3_weak_label_classifier, op4_repair_token_files,
         op5_rendezvous_shards, op6_order_minhash, op7_efraimidis_spirakis, op8_html_trees, op9_prefix_doubling,
-        op10_prefix_set_join)
+        op10_prefix_set_join, op11_iceberg_divergence, op12_covering_simhash, op13_turn_alignment)
 }

@@ -137,3 +137,124 @@ def targets(sizes):
         if not over:
             return {s: 3.0 * sizes[s] if s in full else weight[s] * level for s in order}
         full |= over
+
+
+def iceberg_rows(docs, top=200):
+    """docs: (text, lang, source). Rows of the source divergence audit, from its contract."""
+    found = []
+    docs = [(t or "", lang or "", source or "") for t, lang, source in docs]
+    by_lang = defaultdict(list)
+    for t, lang, source in docs:
+        by_lang[lang].append((source, re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lower_ascii(t))))
+    for lang, rows in by_lang.items():
+        df = Counter(w for _, ws in rows for w in set(ws))
+        kept = sorted(w for w, k in df.items() if k >= 3)
+        count = defaultdict(Counter)
+        for source, ws in rows:
+            count[source].update(w for w in ws if df[w] >= 3)
+        whole = sum(count.values(), Counter())
+
+        def shares(c):
+            n = sum(c.values())
+            return {w: 1 + 10 ** 9 * (c[w] + 1) // (n + len(kept)) for w in kept}
+        p, q = {s: shares(c) for s, c in count.items()}, shares(whole)
+        for s in p:
+            items = [("pair", o, sum((p[s][w] - p[o][w]) ** 2 // p[o][w] for w in kept)) for o in p if o != s]
+            items += [("term", w, (p[s][w] - q[w]) ** 2 // q[w]) for w in kept if count[s][w] and p[s][w] > q[w]]
+            for part in ("pair", "term"):
+                mine = sorted((x for x in items if x[0] == part), key=lambda x: (-x[2], x[1].encode()))
+                found += [(lang, s, part, i, v, k + 1) for k, (_, i, v) in enumerate(mine) if part == "pair" or k < top]
+    return found
+
+
+def simhash(text):
+    import xxhash
+    w = WORD.findall(lower_ascii(text))
+    runs = [" ".join(w[i:i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+    h = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def hamming_components(docs, radius=4, prints=None):
+    """(doc_id, hex fingerprint, component id) by comparing all pairs of fingerprints."""
+    fps = prints or [simhash(t) for _, t in docs]
+    nodes = sorted(set(fps))
+    up = {n: n for n in nodes}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+    for a, b in itertools.combinations(nodes, 2):
+        if (a ^ b).bit_count() <= radius:
+            up[root(a)] = root(b)
+    least = {}
+    for (i, _), f in zip(docs, fps):
+        r = root(f)
+        if i is not None:
+            least[r] = min(i, least.get(r, i))
+    return [(i, f"{f:016x}", least.get(root(f))) for (i, _), f in zip(docs, fps)]
+
+
+def cheapest_edits(turns):
+    """turns: (initial, fault); least (cost, audit) by plain recursion over the grammar's states."""
+    import functools
+    after = {("B", "s"): "S", ("B", "u"): "A", ("S", "u"): "A", ("E", "u"): "A", ("A", "a"): "E"}
+
+    @functools.cache
+    def best(i, state, inserted):
+        options = [(0, "")] if i == len(turns) and state in "BE" else []
+        for role in "ua":
+            if inserted < 4 and (state, role) in after:
+                c, a = best(i, after[state, role], inserted + 1)
+                options.append((c + 2, "I" + a))
+        if i < len(turns):
+            initial, fault = turns[i]
+            c, a = best(i + 1, state, 0)
+            options.append((c + 3, "D" + a))
+            for role in "sua" if fault in "-t" else "":
+                if (state, role) in after and (role != "s" or initial == "s"):
+                    c, a = best(i + 1, after[state, role], 0)
+                    options.append((c + 2 * (initial != role) + (fault == "t"), ("K" if initial == role else "R") + a))
+        return min(options, default=(1 << 40, ""))
+    for i in range(len(turns), 0, -1):  # from the end, so that no call is deep
+        for state in "BSEA":
+            best(i, state, 0)
+    return best(0, "B", 0)
+
+
+def repaired_conversations(rows):
+    """rows: (conv_id, turn, role, text); the repair contract, with ties of a turn by role and md5 as the module defines."""
+    convs = defaultdict(list)
+    for conv, turn, role, text in rows:
+        convs[conv]
+        role, text = " " if role is None else role, " " if text is None else text
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        if kind == 0:
+            continue
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        convs[conv] += [(turn, "user" if kind == 4 else role, text)] * (2 if kind == 3 else 1)
+    out = []
+    for conv, mine in convs.items():
+        mine.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.md5(f"{r[1]}\0{r[2]}".encode()).digest()))
+        seen, faults = set(), []
+        for _, role, text in mine:
+            body = re.sub(r"[\x20\x09-\x0D]+$", "", text)
+            faults.append("b" if not body else "d" if (role, text) in seen else "-" if body[-1] in ".!?" else "t")
+            seen.add((role, text))
+        cost, audit = cheapest_edits(tuple((r[1][:1], f) for r, f in zip(mine, faults)))
+        n_out = len(audit) - audit.count("D")
+        places = ["system"] * (n_out % 2) + ["user", "assistant"] * (n_out // 2)
+        repaired, at, rest = [], 0, iter(mine)
+        for edit in audit:
+            if edit == "D":
+                next(rest)
+                continue
+            role, text = (places[at], "") if edit == "I" else next(rest)[1:]
+            repaired.append(f"{places[at] if edit == 'R' else role}:{text}")
+            at += 1
+        turns = [t for t, _, _ in mine if t is not None]
+        illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(mine, mine[1:]))
+        out.append((conv, max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0, faults.count("b"), faults.count("d"),
+                    faults.count("t"), illegal, cost, audit, hashlib.sha256("\n".join(repaired).encode()).hexdigest()))
+    return out

@@ -42,6 +42,7 @@ def folder(spark, docs, benchmark=None, labels=None, pages=None):
         "documents": docs,
         "benchmark": benchmark if benchmark is not None else spark.createDataFrame([], "item_id long, text string"),
         "labels": labels if labels is not None else spark.createDataFrame([], "doc_id long, quality int, toxic int"),
+        "conversations": spark.createDataFrame([], "conv_id long, turn long, role string, text string"),
         "pages": pages if pages is not None else spark.createDataFrame([], "page_id long, url string, html string"),
     }
     for name, df in tables.items():
