@@ -210,8 +210,15 @@ def _part(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
-def _whole(value: Column) -> Column:
-    return F.sum(value.cast("decimal(19,0)")).cast("decimal(38,0)")
+def _sums(value: Column, name: str) -> list[Column]:
+    """Sums of the upper and the lower 32 bits: 64 bits hold both for up to 2^31 terms."""
+    return [F.sum(F.shiftright(value, 32)).alias(f"{name}_upper"), F.sum(value.bitwiseAND(0xFFFFFFFF)).alias(f"{name}_lower")]
+
+
+def _whole(name: str) -> Column:
+    """The sum again, in 38 digits; 0 without rows."""
+    upper, lower = (F.coalesce(F.col(f"{name}_{part}"), F.lit(0)).cast("decimal(19,0)") for part in ("upper", "lower"))
+    return upper * F.lit(1 << 32).cast("decimal(10,0)") + lower
 
 
 def source_divergence(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -243,12 +250,12 @@ def source_divergence(docs: DataFrame, settings: Settings = Settings()) -> DataF
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     named = named.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= settings.top_terms)
 
-    pairs = _pair_values(shares, groups)
+    pairs = _pair_values(shares, groups, scratch)
     pairs = pairs.withColumn("rank", F.row_number().over(order))
     return pairs.unionByName(named)
 
 
-def _pair_values(shares: DataFrame, groups: DataFrame) -> DataFrame:
+def _pair_values(shares: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
     """lang, source, part, item, value of each ordered pair of different sources of a language.
 
     Over all kept terms: those of neither source have the same part each; those
@@ -262,21 +269,31 @@ def _pair_values(shares: DataFrame, groups: DataFrame) -> DataFrame:
     histogram = shares.groupBy("lang", "source", "p").agg(F.count(F.lit(1)).alias("k"))
     zeros = groups.select("lang", F.col("source").alias("other"), F.col("p0").alias("other0"))
     # few distinct p0: sources of equal size share it
-    levels = zeros.select("lang", "other0").distinct()
-    alone = histogram.join(levels, "lang")
-    above = alone.groupBy("lang", "source", "other0").agg(_whole(_part(F.col("p"), F.col("other0")) * F.col("k").cast("decimal(19,0)")).alias("over"))
-    below = alone.groupBy("lang", "source", "other0").agg(_whole(_part(F.col("other0"), F.col("p")) * F.col("k").cast("decimal(19,0)")).alias("under"))
+    alone = histogram.join(zeros.select("lang", "other0").distinct(), "lang")
+    # a value at most 10^18 and a number of terms: the product in its upper and lower bits
+    parts = {"over": _part(F.col("p"), F.col("other0")), "under": _part(F.col("other0"), F.col("p"))}
+    alone = alone.groupBy("lang", "source", "other0").agg(*[
+        F.sum(bits * F.col("k")).alias(f"{name}_{which}") for name, value in parts.items()
+        for which, bits in (("upper", F.shiftright(value, 32)), ("lower", value.bitwiseAND(0xFFFFFFFF)))])
+    above = alone.select("lang", F.col("source").alias("x"), F.col("other0").alias("y0"), "over_upper", "over_lower")
+    below = alone.select("lang", F.col("source").alias("y"), F.col("other0").alias("x0"), "under_upper", "under_lower")
     a = shares.select("lang", "term", F.col("source").alias("x"), F.col("p").alias("px"), F.col("p0").alias("x0"))
     b = shares.select("lang", "term", F.col("source").alias("y"), F.col("p").alias("py"), F.col("p0").alias("y0"))
     px, py, x0, y0 = (F.col(c) for c in ("px", "py", "x0", "y0"))
-    both = a.join(b, ["lang", "term"]).filter("x <> y").groupBy("lang", "x", "y").agg(
-        _whole(_part(px, py) - _part(px, y0) - _part(x0, py) + _part(x0, y0)).alias("mended"))
+
+    def mended(p: Column, q: Column, p0: Column, q0: Column) -> Column:
+        return _part(p, q) - _part(p, q0) - _part(p0, q) + _part(p0, q0)
+    # each two sources of a term once, for both directions
+    both = a.join(b, ["lang", "term"]).filter("x < y").groupBy("lang", "x", "y").agg(
+        *_sums(mended(px, py, x0, y0), "there"), *_sums(mended(py, px, y0, x0), "back"))
+    names = ["mended_upper", "mended_lower"]
+    both = scratch.write(both, "both")
+    both = both.select("lang", "x", "y", "there_upper", "there_lower").toDF("lang", "x", "y", *names).unionByName(
+        both.select("lang", F.col("y").alias("x"), F.col("x").alias("y"), "back_upper", "back_lower").toDF("lang", "x", "y", *names))
     # terms of both were taken in ``over`` and in ``under``, and twice from the terms of neither
-    found = pairs.join(above.withColumnsRenamed({"source": "x", "other0": "y0"}), ["lang", "x", "y0"], "left") \
-        .join(below.withColumnsRenamed({"source": "y", "other0": "x0"}), ["lang", "y", "x0"], "left") \
+    found = pairs.join(above, ["lang", "x", "y0"], "left").join(below, ["lang", "y", "x0"], "left") \
         .join(both, ["lang", "x", "y"], "left")
-    nothing = F.lit(0).cast("decimal(38,0)")
-    value = (F.col("v") - F.col("x_has") - F.col("y_has")).cast("decimal(19,0)") * _part(x0, y0) \
-        + F.coalesce("over", nothing) + F.coalesce("under", nothing) + F.coalesce("mended", nothing)
+    neither = (F.col("v") - F.col("x_has") - F.col("y_has")).cast("decimal(19,0)") * _part(x0, y0).cast("decimal(19,0)")
+    value = neither + _whole("over") + _whole("under") + _whole("mended")
     return found.select("lang", F.col("x").alias("source"), F.lit("pair").alias("part"), F.col("y").alias("item"),
                         F.coalesce(value.cast("long"), F.lit(0).cast("long")).alias("value"))
