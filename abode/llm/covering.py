@@ -18,9 +18,10 @@ Texts with equal fingerprints are one node. A bucket is the nodes that are equal
 under one mask. In rounds, each bucket that holds several classes compares its
 nodes of other classes with one leader, drawn anew per bucket and round, and
 the classes that a link joins are merged; one link per pair of classes is kept.
-When a round finds nothing new, the mixed buckets are split by a second set of
-masks, to which the same guarantee applies, and in each part every node that is
-not of the most frequent class is compared with all nodes of other classes. The
+When a round finds hardly anything new, the mixed buckets are split by a second
+set of masks, to which the same guarantee applies, and in each part every node
+that is not of the most frequent class is compared with all nodes of other
+classes. The
 distance is a condition of the join, so only links come out of it. No pair
 within the radius is left out, however large a bucket is.
 
@@ -52,6 +53,7 @@ class Settings:
     radius: int = 4
     seed: int = 42              # of the shingles' hash
     mask_seed: int = 20240301
+    few_links: int = 20         # rounds end at one new link per so many mixed buckets
     slice_bytes: int = 4 << 20
 
 
@@ -142,8 +144,8 @@ def _merged(classes: DataFrame, links: DataFrame, scratch: Scratch, name: str) -
 def near_classes(nodes: DataFrame, scratch: Scratch, settings: Settings = Settings()) -> DataFrame:
     """node, label of each of the distinct fingerprints ``nodes`` (node); label names the component.
 
-    Each round is a written table; only the number of new links, none or some,
-    reaches the driver.
+    Each round is a written table; only the numbers of new links and of mixed
+    buckets reach the driver.
     """
     first, second = covering_masks(settings, 0), covering_masks(settings, 1)
     places = nodes.select("node", F.explode(_under(F.col("node"), first)).alias("bucket"))
@@ -161,11 +163,17 @@ def near_classes(nodes: DataFrame, scratch: Scratch, settings: Settings = Settin
         links = classed.join(mixed, "bucket").filter("label <> led").filter(_near("node", "leader", settings.radius)) \
             .select(F.least("label", "led").alias("a"), F.greatest("label", "led").alias("b")).distinct()
         links = scratch.write(links, f"links-{step}")
-        if not links.limit(1).count():
+        found = links.count()
+        if found:
+            classes = _merged(classes, links, scratch, f"round-{step}")
+        if settings.few_links * found <= mixed.count():
             break
-        classes = _merged(classes, links, scratch, f"round-{step}")
         scratch.drop(f"classed-{step}", f"mixed-{step}")
         step += 1
+    if found:
+        classed = scratch.write(members.join(classes, "node"), "classed")
+        several = classed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
+        mixed = scratch.write(several.select("bucket"), "mixed")
     left = _left_links(classed, mixed.select("bucket"), second, scratch, settings)
     if left.limit(1).count():
         classes = _merged(classes, left, scratch, "left")
