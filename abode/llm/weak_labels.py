@@ -10,9 +10,11 @@ each labeller is right. The posterior labels of a bounded sample
 train a linear scorer per aspect over hashed words, word beginnings and binned
 signals, and the scorers decide on every document.
 
-Bounded, documented parameters: ``sample_rows`` labelled documents (smallest
-hash of the id) train the scorers and ``lexicon_rows`` the lexicon, of at most
-``lexicon_words`` words. Vote counts, signals and scores cover all documents and whole texts.
+Bounded, documented parameters: at most ``sample_rows`` labelled documents
+(smallest hash of id and text, equal rows once) with ``sample_features`` distinct
+words in all train the scorers, and about ``lexicon_rows`` the lexicon, of at most
+``lexicon_words`` words. Their votes and features are made in the tasks; the
+driver holds only those of the scorers' sample, never a text. Vote counts, signals and scores cover all documents and whole texts.
 
 Defined cases: a text without letters or digits (null, empty) is rejected as
 low quality. Without any labels the label-based labellers abstain throughout.
@@ -46,6 +48,7 @@ ABSTAIN = 2
 @dataclass(frozen=True)
 class Settings:
     sample_rows: int = 10_000
+    sample_features: int = 3_000_000
     lexicon_rows: int = 40_000
     lexicon_words: int = 4_000
     lexicon_least_docs: int = 5
@@ -174,16 +177,18 @@ class Texts:
         return np.stack([np.digitize(x, c) for x, c in cuts], axis=1)
 
     def design(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sparse rows of the scorer: (text, column, value). Words count 4 / sqrt(distinct + 16) each."""
-        bits = model.settings.bits
-        doc, col = self.features(bits)
-        value = 4.0 / np.sqrt(np.bincount(doc, minlength=self.n) + 16)[doc]
-        bins = self.signal_bins(model)
-        base = (1 << bits) + 1 + 8 * np.arange(bins.shape[1])
-        rows = np.repeat(np.arange(self.n), bins.shape[1] + 1)
-        more = np.concatenate((np.full((self.n, 1), 1 << bits), bins + base), axis=1).ravel()
-        return np.concatenate((doc, rows)), np.concatenate((col, more)), \
-            np.concatenate((value, np.ones(len(rows))))
+        """Sparse rows of the scorer: (text, column, value)."""
+        return sparse_rows(*self.features(model.settings.bits), self.signal_bins(model), model.settings.bits)
+
+
+def sparse_rows(doc: np.ndarray, col: np.ndarray, bins: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, column, value) from (text, hashed word) and the signals' bins. Words count 4 / sqrt(distinct + 16) each."""
+    n = len(bins)
+    value = 4.0 / np.sqrt(np.bincount(doc, minlength=n) + 16)[doc]
+    base = (1 << bits) + 1 + 8 * np.arange(bins.shape[1])
+    rows = np.repeat(np.arange(n), bins.shape[1] + 1)
+    more = np.concatenate((np.full((n, 1), 1 << bits), bins + base), axis=1).ravel()
+    return np.concatenate((doc, rows)), np.concatenate((col, more)), np.concatenate((value, np.ones(len(rows))))
 
 
 def _width(settings: Settings) -> int:
@@ -288,16 +293,60 @@ def fit_scorer(row: np.ndarray, col: np.ndarray, value: np.ndarray, target: np.n
 
 
 def _sample(df: DataFrame, given: DataFrame, settings: Settings) -> DataFrame:
-    """About ``lexicon_rows`` labelled documents: those whose hash of the id (column h) is below a cut.
+    """About ``lexicon_rows`` labelled documents: those whose hash of id and text (column h) is below a cut.
 
-    Without any label, ``sample_rows`` documents as such. The limit bounds repeated ids.
+    Without any label, ``sample_rows`` documents as such.
     """
-    h = F.xxhash64("doc_id")
+    h = F.xxhash64("doc_id", "text")
     labelled = given.limit(1).count() > 0
     ids, most = (given, settings.lexicon_rows) if labelled else (df.filter("doc_id is not null"), settings.sample_rows)
     cut = hash_cut(ids.count(), most)
     rows = df.filter("doc_id is not null").filter(h <= F.lit(cut)).select("doc_id", "text", h.alias("h"))
-    return rows.join(given, "doc_id", "inner" if labelled else "left").limit(2 * most)
+    return rows.join(given, "doc_id", "inner" if labelled else "left")
+
+
+_DESIGN = "h long, q long, t long, quality_label int, toxic_label int, columns array<int>, bins array<int>"
+
+
+def design_rows(sample: DataFrame, model: Model) -> DataFrame:
+    """Votes, labels and features of the sample's texts, made in the tasks; equal rows once."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in B.slices(batches, "text", 1 << 20):
+            t = Texts(b.column("text"))
+            v = t.votes(shared.value)
+            doc, col = t.features(shared.value.settings.bits)
+            bins = t.signal_bins(shared.value)
+            at = np.searchsorted(doc, np.arange(t.n + 1)).astype(np.int32)
+            wide = (np.arange(t.n + 1) * bins.shape[1]).astype(np.int32)
+            yield pa.record_batch({
+                "h": b.column("h"), "q": _packed([v[k] for k in QUALITY[:-1]]), "t": _packed([v[k] for k in TOXIC[:-1]]),
+                "quality_label": b.column("quality_label"), "toxic_label": b.column("toxic_label"),
+                "columns": pa.ListArray.from_arrays(at, pa.array(col.astype(np.int32))),
+                "bins": pa.ListArray.from_arrays(wide, pa.array(bins.ravel().astype(np.int32)))})
+    return sample.select("h", "text", "quality_label", "toxic_label").mapInArrow(made, _DESIGN).dropDuplicates(["h"])
+
+
+def _bounded(design: DataFrame, settings: Settings) -> DataFrame:
+    """The rows with the least h, while they are at most ``sample_rows`` with ``sample_features`` features.
+
+    The cut comes from sums over a thousand ranges of h; at least the first range is taken.
+    """
+    top = design.agg(F.max("h").alias("top")).collect()[0]["top"]
+    if top is None:
+        return design
+    step = F.floor((F.col("h").cast("double") + 2.0 ** 63) / F.lit((top + 2.0 ** 63) / 1000 or 1.0)).cast("int")
+    sums = sorted(design.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows"),
+                                                         F.sum(F.size("columns")).alias("features")).collect())
+    rows = features = 0
+    last = sums[0]["step"]
+    for s in sums:
+        rows, features = rows + s["rows"], features + s["features"]
+        if rows > settings.sample_rows or features > settings.sample_features:
+            break
+        last = s["step"]
+    return design.filter(step <= F.lit(last))
 
 
 def learn_lexicon(sample: DataFrame, settings: Settings) -> np.ndarray:
@@ -332,13 +381,6 @@ def fit(df: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Mo
     table = scratch.write(_sample(df, given, settings), "sample")
     model = Model(settings)
     model.lexicon = learn_lexicon(table, settings)
-    least = table.agg(F.count(F.lit(1)).alias("n"), F.max("h").alias("top")).collect()[0]
-    # the sample's hashes end at its own cut: take the lower share of that range
-    share = min(1.0, settings.sample_rows / least["n"]) if least["n"] else 0.0
-    cut = int(share * ((least["top"] or 0) + 2 ** 63)) - 2 ** 63 if share < 1.0 else least["top"] or 0
-    sample = table.filter(F.col("h") <= F.lit(cut)).limit(2 * settings.sample_rows).toArrow()
-    sample = sample.sort_by([("h", "ascending"), ("text", "ascending")])
-    labels_of = {n: np.asarray(sample.column(n).fill_null(ABSTAIN)) for n in (QUALITY[-1], TOXIC[-1])}
     shared = spark.sparkContext.broadcast(model)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,20 +396,16 @@ def fit(df: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Mo
     # at most 3 ** 13 patterns, whatever the corpus; far fewer occur, as labellers look for one fault each
     found = votes.groupBy("q", "t").count().toArrow()
     count = np.asarray(found.column("count"), dtype=np.float64)
-    votes_of: dict[str, list[np.ndarray]] = {n: [] for n in (*QUALITY[:-1], *TOXIC[:-1])}
-    design: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    at = 0
-    # small slices: what the driver holds is the sample's features, not the working arrays of its texts
-    for part in B.slices(sample.to_batches(), "text", 1 << 19):
-        t = Texts(part.column("text"))
-        for n, v in t.votes(model).items():
-            votes_of[n].append(v)
-        row, col, value = t.design(model)
-        design.append(((row + at).astype(np.int32), col.astype(np.int32), value.astype(np.float32)))
-        at += t.n
-    row, col, value = (np.concatenate(x) for x in zip(*design)) if design else (np.zeros(0, np.int32),) * 3
-    del design, sample
-    row = row.astype(np.int64)
+    design = scratch.write(design_rows(table, model), "design")
+    sample = _bounded(design, settings).toArrow().sort_by("h")
+    at = sample.num_rows
+    row, col, value = (np.zeros(0, np.int64),) * 3
+    if at:
+        size = np.asarray(sample.column("columns").combine_chunks().value_lengths())
+        words = np.asarray(sample.column("columns").combine_chunks().flatten()).astype(np.int64)
+        bins = np.asarray(sample.column("bins").combine_chunks().flatten()).astype(np.int64).reshape(at, -1)
+        row, col, value = sparse_rows(np.repeat(np.arange(at), size), words, bins, settings.bits)
+        value = value.astype(np.float32)
     for aspect, names, column in (("quality", QUALITY, "q"), ("toxic", TOXIC, "t")):
         codes, where = np.unique(np.asarray(found.column(column)), return_inverse=True)
         patterns = _unpacked(codes, len(names))
@@ -376,13 +414,13 @@ def fit(df: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Mo
                                   np.where(is_label, 1.0, 0.001), is_label)
         model.accuracy[aspect] = dict(zip(names, right.tolist()))
         if at:
-            mine = _packed([*[np.concatenate(votes_of[n]) for n in names[:-1]], labels_of[names[-1]]])
+            mine = np.asarray(sample.column(column)) * 3 + np.asarray(sample.column(names[-1]).fill_null(ABSTAIN))
             target = post[np.minimum(np.searchsorted(codes, mine), len(codes) - 1)]
             model.weights[aspect] = fit_scorer(row, col, value, target, _width(settings), settings.rounds).astype(np.float32)
         else:
             model.weights[aspect] = np.zeros(_width(settings), np.float32)
     shared.unpersist()
-    scratch.drop("sample")
+    scratch.drop("sample", "design")
     return model
 
 
