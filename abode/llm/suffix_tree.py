@@ -47,10 +47,10 @@ from abode.llm.common import Scratch, row_key
 
 END, SPACE = 10, 32
 WORD, GRAM = 0, 1
-_SLICE = 8 << 20
-_CHUNK = 1 << 20
+_SLICE = 2 << 20
+_CHUNK = 1 << 18
 #: Keys that a task holds before it hands its counts on.
-_TALLY = 4_000_000
+_TALLY = 2_000_000
 
 
 @dataclass(frozen=True)
