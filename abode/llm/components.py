@@ -38,3 +38,10 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str) -> DataF
         scratch.drop(f"{name}-{step - 1}")
     scratch.drop(f"{name}-links")
     return now.select("node", "label")
+
+
+def merged_classes(classes: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``classes`` (node, label) after the links (a, b) between labels."""
+    joined = connected_components(links, scratch, name).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    joined = scratch.write(joined, f"{name}-to")
+    return scratch.write(classes.join(joined, "label", "left").select("node", F.coalesce("to", "label").alias("label")), f"{name}-classes")

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from abode.llm import textbytes as B
 from abode.llm.common import Scratch
-from abode.llm.components import connected_components
+from abode.llm.components import merged_classes
 
 
 @dataclass(frozen=True)
@@ -134,13 +134,6 @@ def _near(a: str, b: str, radius: int) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
 
 
-def _merged(classes: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """``classes`` (node, label) after the links (a, b) between labels."""
-    joined = connected_components(links, scratch, name).select(F.col("node").alias("label"), F.col("label").alias("to"))
-    joined = scratch.write(joined, f"{name}-to")
-    return scratch.write(classes.join(joined, "label", "left").select("node", F.coalesce("to", "label").alias("label")), f"{name}-classes")
-
-
 def near_classes(nodes: DataFrame, scratch: Scratch, settings: Settings = Settings()) -> DataFrame:
     """node, label of each of the distinct fingerprints ``nodes`` (node); label names the component.
 
@@ -165,7 +158,7 @@ def near_classes(nodes: DataFrame, scratch: Scratch, settings: Settings = Settin
         links = scratch.write(links, f"links-{step}")
         found = links.count()
         if found:
-            classes = _merged(classes, links, scratch, f"round-{step}")
+            classes = merged_classes(classes, links, scratch, f"round-{step}")
         if settings.few_links * found <= mixed.count():
             break
         scratch.drop(f"classed-{step}", f"mixed-{step}")
@@ -176,7 +169,7 @@ def near_classes(nodes: DataFrame, scratch: Scratch, settings: Settings = Settin
         mixed = scratch.write(several.select("bucket"), "mixed")
     left = _left_links(classed, mixed.select("bucket"), second, scratch, settings)
     if left.limit(1).count():
-        classes = _merged(classes, left, scratch, "left")
+        classes = merged_classes(classes, left, scratch, "left")
     return nodes.join(classes, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 

@@ -10,11 +10,14 @@ key. Two texts meet in a bucket only if they share those shingles in the same
 order, which is what makes the sketch sensitive to edits and moves.
 
 Candidates: texts of equal words are one node, so copies meet nothing twice.
-In each bucket all nodes are compared with one leader, first the node that has
-most company over all tables (the original among its near copies), then, while
-new links appear, a leader drawn anew per bucket and round. Buckets of at most
-``small`` nodes compare all their nodes of different classes. The pairs of these
-rounds are linear in the rows.
+First each node is compared with one leader, that node of its buckets which has
+most company over all tables (the original among its near copies). Then, in
+rounds, each bucket that holds several classes draws a leader anew, and each node
+of another class is compared with one of the leaders of its buckets. After each
+round the linked classes are merged, and one link per pair of classes is kept.
+The rounds end when one finds few new links. The pairs of the rounds are linear
+in the nodes. Buckets of at most ``small`` nodes that are still mixed then compare
+all their nodes of different classes.
 
 What is left: nodes of larger buckets that still hold several classes are joined
 by prefix filter. c / (m + n - c) of 0.8 or more needs that share of labelled
@@ -48,7 +51,7 @@ from pyspark.sql import functions as F
 
 from abode.llm import textbytes as B
 from abode.llm.common import Scratch, row_key
-from abode.llm.components import connected_components
+from abode.llm.components import merged_classes
 from abode.llm.set_join import words_of
 
 
@@ -59,6 +62,7 @@ class Settings:
     tables: int = 32
     similarity: float = 0.8
     small: int = 32
+    few_links: int = 20         # rounds end at one new link per so many mixed buckets
     cells: int = 1 << 18    # counters of the shingles' frequencies: only the order of a prefix depends on them
     seed: int = 20240229
 
@@ -314,6 +318,18 @@ def remaining_pairs(left: DataFrame, table: DataFrame, scratch: Scratch, setting
                          "remaining")
 
 
+def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
+def _class_links(pairs: DataFrame, table: DataFrame, classes: DataFrame, scratch: Scratch, settings: Settings, name: str) -> DataFrame:
+    """One link (a, b) per pair of classes that one of the node pairs joins: a class of k nodes keeps k - 1 links over all rounds."""
+    good = scratch.write(verified(pairs, table, settings), f"{name}-pairs")
+    of_a = classes.select(F.col("node").alias("a"), F.col("label").alias("x"))
+    of_b = classes.select(F.col("node").alias("b"), F.col("label").alias("y"))
+    return scratch.write(_ordered(good.join(of_a, "a").join(of_b, "b").filter("x <> y"), "x", "y"), name)
+
+
 def near_duplicate_classes(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, row_key, label, class_id and class_docs of each row of ``df`` (needs doc_id and text).
 
@@ -332,43 +348,43 @@ def near_duplicate_classes(df: DataFrame, settings: Settings = Settings()) -> Da
     members = scratch.write(places.join(shared, "key").distinct(), "members")
     members = members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
     # company: nodes met over all tables; the hub of a group of near copies has most
-    company = members.groupBy("node").agg(F.sum("n").alias("company"))
+    company = scratch.write(members.groupBy("node").agg(F.sum("n").alias("company")), "company")
     wanted = rows.filter("keys is not null").groupBy("node").agg(F.min("row_key").alias("row_key")) \
         .join(company.select("node"), "node", "left_semi")
     table = scratch.write(shingle_table(df, wanted, settings), "shingles")
-    ranked = members.join(company, "node")
-    best = F.max(F.struct("company", "node"))["node"]
-    leaders = ranked.groupBy("key").agg(best.alias("leader"))
-    pairs = members.join(leaders, "key").filter("node <> leader") \
-        .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    links = scratch.write(verified(pairs, table, settings), "links-0")
+    leaders = members.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node")).alias("leader"))
+    first = members.join(leaders, "key").filter("node <> leader.node").groupBy("node").agg(F.max("leader")["node"].alias("leader"))
+    classes = scratch.write(company.select("node", F.col("node").alias("label")), "start")
+    new = _class_links(_ordered(first, "node", "leader"), table, classes, scratch, settings, "links-0")
     step = 0
     while True:
-        label = connected_components(links, scratch, f"classes-{step}")
-        classed = members.join(label, "node", "left") \
-            .select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-        mixed = classed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
-                                           F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "label")).alias("led")) \
-            .filter("lo <> hi").select("key", "led")
-        open_ = classed.join(mixed, "key")
-        star = open_.filter("label <> led.label").select(F.col("node").alias("x"), F.col("led.node").alias("y"))
-        if step == 0:
-            few = open_.filter(F.col("n") <= settings.small).select("key", "node", "label")
-            other = few.select("key", F.col("node").alias("y"), F.col("label").alias("other"))
-            inside = few.join(other, "key").filter("label < other").select(F.col("node").alias("x"), "y")
-            star = star.unionByName(inside)
-        pairs = star.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        found = new.count()
+        if found:
+            classes = merged_classes(classes, new, scratch, f"classes-{step}")
         step += 1
-        new = scratch.write(verified(pairs, table, settings), f"links-{step}")
-        if not new.limit(1).count():
+        classed = scratch.write(members.join(classes, "node"), f"classed-{step}")
+        drawn = F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "label"))
+        mixed = classed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), drawn.alias("led")) \
+            .filter("lo <> hi").select("key", "led")
+        mixed = scratch.write(mixed, f"mixed-{step}")
+        if step > 1 and settings.few_links * found <= mixed.count():
             break
-        links = links.unionByName(new)
-    # the rounds ended, which does not mean that every pair of a large bucket was compared
-    left = scratch.write(open_.filter(F.col("n") > settings.small).select("node", "label").distinct(), "open")
-    if left.limit(1).count():
-        new = scratch.write(verified(remaining_pairs(left, table, scratch, settings), table, settings), "links-remaining")
-        if new.limit(1).count():
-            label = connected_components(links.unionByName(new), scratch, "classes-remaining")
+        # one leader per node and round
+        star = classed.join(mixed, "key").filter("label <> led.label").groupBy("node").agg(
+            F.min(F.struct(F.xxhash64("key", F.lit(step)).alias("h"), F.col("led.node").alias("leader")))["leader"].alias("leader"))
+        new = _class_links(_ordered(star, "node", "leader"), table, classes, scratch, settings, f"links-{step}")
+    # the rounds ended, which does not mean that every pair of a bucket was compared
+    open_ = scratch.write(classed.join(mixed.select("key"), "key"), "open-buckets")
+    few = open_.filter(F.col("n") <= settings.small).select("key", "node", "label")
+    other = few.select("key", F.col("node").alias("other"), F.col("label").alias("other_label"))
+    pairs = _ordered(few.join(other, "key").filter("label < other_label"), "node", "other")
+    large = scratch.write(open_.filter(F.col("n") > settings.small).select("node", "label").distinct(), "open")
+    if large.limit(1).count():
+        pairs = pairs.unionByName(remaining_pairs(large, table, scratch, settings)).distinct()
+    new = _class_links(pairs, table, classes, scratch, settings, "links-remaining")
+    if new.limit(1).count():
+        classes = merged_classes(classes, new, scratch, "classes-remaining")
+    label = classes
     found = scratch.write(rows.join(label, "node", "left").select(
         "doc_id", "row_key", "node", F.coalesce("label", "node").alias("label")), "found")
     ids = found.filter("label is not null").groupBy("label").agg(
@@ -390,11 +406,12 @@ def deduplicated(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
         .groupBy("label", "class_id", "row_key").agg(F.count(F.lit(1)).alias("same"))
     chosen = firsts.groupBy("label").agg(F.min(F.struct("row_key", "class_id", "same")).alias("c")) \
         .select(F.col("c.row_key").alias("_rep_key"), F.col("c.class_id").alias("_rep_id"), F.col("c.same").alias("_same"))
-    rows = df.withColumn("_row_key", row_key()).join(
-        chosen, (F.col("_row_key") == F.col("_rep_key")) & F.col("doc_id").eqNullSafe(F.col("_rep_id")))
-    out = rows.filter("_same = 1").select(*df.columns).unionByName(
-        df.filter(F.coalesce(F.col("text"), F.lit("")) == "").select(*df.columns))
+    # the input's columns go by numbers, so that no name of theirs can clash
+    own = [F.col(c).alias(f"own_{i}") for i, c in enumerate(df.columns)]
+    names = [F.col(f"own_{i}").alias(c) for i, c in enumerate(df.columns)]
+    rows = df.select(*own, F.col("doc_id").alias("id"), row_key().alias("key")).join(
+        chosen, (F.col("key") == F.col("_rep_key")) & F.col("id").eqNullSafe(F.col("_rep_id")))
+    out = rows.filter("_same = 1").select(*names).unionByName(df.filter(F.coalesce(F.col("text"), F.lit("")) == ""))
     if chosen.filter("_same > 1").limit(1).count():
-        again = rows.filter("_same > 1").dropDuplicates(["doc_id", "_row_key"])
-        out = out.unionByName(again.select(*df.columns))
+        out = out.unionByName(rows.filter("_same > 1").dropDuplicates(["id", "key"]).select(*names))
     return out
