@@ -121,10 +121,33 @@ def mix(df: DataFrame, settings: MixSettings = MixSettings(), text: str = "text"
 
 
 def mixed_documents(df: DataFrame, settings: MixSettings = MixSettings()) -> DataFrame:
-    """The rows of ``df``, each as often as the mix takes it."""
-    names = df.columns
-    plan = mix(df, settings).filter(F.col("copies") > 0) \
-        .groupBy(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).agg(F.max("copies").alias("_copies"))
-    rows = df.withColumn("_row_key", F.xxhash64("doc_id", "text"))
-    taken = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row_key") == F.col("_key")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
+    """The rows of ``df``, each as often as the mix takes it.
+
+    Of rows equal in id, text and source that straddle the budget's border, so
+    many come once more as the mix takes; which of them makes no difference to
+    the text. Columns of any name pass through.
+    """
+    scratch = Scratch(df.sparkSession, "mixed")
+    plan = mix(df, settings).groupBy(F.col("doc_id").alias("of_id"), F.col("row_key").alias("of_key"), F.col("source").alias("of_source")) \
+        .agg(F.min("copies").alias("copies"), (F.sum("copies") - F.count(F.lit(1)) * F.min("copies")).alias("more")) \
+        .filter("copies > 0 or more > 0")
+    plan = scratch.write(plan, "plan")
+    own = [F.col(c).alias(f"own_{i}") for i, c in enumerate(df.columns)]
+    rows = df.select(*own, F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("key"), F.col("source").alias("of"))
+    rows = rows.join(plan, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key"))
+                     & F.col("of").eqNullSafe(F.col("of_source"))).drop("of_id", "of_key", "of_source")
+    names = [F.col(f"own_{i}").alias(c) for i, c in enumerate(df.columns)]
+
+    def repeated(taken: DataFrame) -> DataFrame:
+        return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*names)
+    out = repeated(rows.filter("more = 0"))
+    if not plan.filter("more > 0").limit(1).count():
+        return out
+    # about one text per source; numbered by their place in a written table, so that many equal rows are not one task
+    border = scratch.write(rows.filter("more > 0").withColumn("place", F.monotonically_increasing_id()), "border")
+    border = scratch.write(with_sequence(border, ["key", "of", "place"], 0, "number"), "numbered")
+    first = border.groupBy("id", "key", "of").agg(F.min("number").alias("first")) \
+        .select(F.col("id").alias("f_id"), F.col("key").alias("f_key"), F.col("of").alias("f_of"), "first")
+    border = border.join(first, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("key") == F.col("f_key")) & F.col("of").eqNullSafe(F.col("f_of")))
+    extra = F.when(F.col("number") - F.col("first") < F.col("more"), 1).otherwise(0)
+    return out.unionByName(repeated(border.withColumn("copies", F.col("copies") + extra).filter("copies > 0")))

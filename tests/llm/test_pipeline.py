@@ -2,10 +2,11 @@
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 import corpus_pipeline
-from abode.llm import weak_labels
+from abode.llm import mixing, weak_labels
 from abode.llm.common import Scratch, read_table
 from tests.llm import brute, cases
 
@@ -24,6 +25,34 @@ def test_order_and_columns(spark):
     assert docs.count() > 0
 
 
+def test_clashing_columns_keep_their_values(spark):
+    """Input columns named like the operators' outputs pass through all stages unchanged."""
+    docs = read_table(spark, cases.SF, "documents")
+    for c in ("kept", "spans", "items", "n_words", "n_hit", "low_quality", "toxicity", "_copies", "_row_key", "copies", "own_0", "key"):
+        docs = docs.withColumn(c, F.concat(F.lit(c + ":"), F.col("doc_id").cast("string")))
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = Scratch(spark, "test").write(stage(spark, docs, cases.SF), name)
+        rows = docs.collect()
+        assert rows and all(r[c] == f"{c}:{r['doc_id']}" for r in rows for c in names[5:]), name
+
+
+def test_mix_takes_repeated_rows_as_planned(spark):
+    """One text with one id in two sources, and equal rows at the budget's border."""
+    body = [(k, f"text number {k} " + "w " * (k % 7), f"s{k % 3}", k) for k in range(40)]
+    body += [(1, "text of both sources", "s0", 100), (1, "text of both sources", "s1", 101)]
+    body += [(5, "equal rows " * 6, f"s{k % 2}", 200 + k) for k in range(90)]
+    docs = spark.createDataFrame(body, "doc_id long, text string, source string, n int").repartition(4)
+    plan = Counter()
+    for r in mixing.mix(docs).collect():
+        plan[r["doc_id"], r["row_key"], r["source"]] += r["copies"]
+    taken = mixing.mixed_documents(docs)
+    got = Counter((r["doc_id"], r["k"], r["source"]) for r in taken.withColumn("k", F.xxhash64("doc_id", "text")).collect())
+    assert got == +plan and any(c % 45 for (i, _, s), c in plan.items() if i == 5)
+    most = Counter(r["n"] for r in taken.collect())
+    assert all(abs(most[a] - most[b]) <= 1 for a in range(200, 290, 2) for b in (200,))
+
+
 def test_empty_documents(spark):
     path = cases.folder(spark, cases.empty_documents(spark))
     assert corpus_pipeline.run(spark, path).collect() == []
@@ -93,6 +122,6 @@ def test_sharding_stage(stages):
 
 def test_entry_without_the_subpackage(monkeypatch):
     every = set(E.queries())
-    assert {"pipeline"} | {n for n in every if n.startswith("op")} <= every and len([n for n in every if n.startswith("op")]) == 10
+    assert {"pipeline"} | {n for n in every if n.startswith("op")} <= every and len([n for n in every if n.startswith("op")]) == 13
     monkeypatch.setattr(E, "_found", lambda module: False)
     assert not any(n.startswith("op") or n == "pipeline" for n in [*E.queries(), *E.oracle_sql()])
