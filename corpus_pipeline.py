@@ -13,7 +13,7 @@ repeated, and further columns pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abode.llm import mixing, order_minhash, rendezvous, set_join, weak_labels
@@ -22,10 +22,17 @@ from abode.llm.common import Scratch, read_table
 N_SHARDS = 24
 
 
+def _apart(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with its further columns under names of their own, and the columns that name them back."""
+    own = {c: f"own_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    return docs.withColumnsRenamed(own), [F.col(own.get(c, c)).alias(c) for c in docs.columns]
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the weak-label classifier rejects."""
     model = weak_labels.fit(docs.select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
-    return weak_labels.classify(docs, model).filter("kept").select(*docs.columns)
+    rows, names = _apart(docs)
+    return weak_labels.classify(rows, model).filter("kept").select(*names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +42,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a window of a benchmark item."""
-    found = set_join.contaminated_spans(docs, read_table(spark, sf_dir, "benchmark"))
-    return found.filter("n_hit = 0").select(*docs.columns)
+    rows, names = _apart(docs)
+    found = set_join.contaminated_spans(rows, read_table(spark, sf_dir, "benchmark"))
+    return found.filter("n_hit = 0").select(*names)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +54,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shard by id and slot within the shard."""
-    names = [c for c in docs.columns if c not in ("shard", "slot")]
-    rows = rendezvous.assign_shards(docs.select(*names), "doc_id", [1.0] * N_SHARDS)
-    rows = rows.withColumn("_text_hash", F.xxhash64("text"))
-    return rendezvous.with_slots(rows, ["doc_id", "_text_hash"]).select(*names, "shard", "slot")
+    rows, names = _apart(docs.drop("shard", "slot"))
+    rows = rendezvous.assign_shards(rows, "doc_id", [1.0] * N_SHARDS).withColumn("text_hash", F.xxhash64("text"))
+    return rendezvous.with_slots(rows, ["doc_id", "text_hash"]).select(*names, "shard", "slot")
 
 
 STAGES = [
