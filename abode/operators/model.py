@@ -6,15 +6,13 @@ ridge regression with a fitted intercept, alpha chosen by 5-fold
 cross-validated mean squared error (first best on ties), refit on all training
 rows.
 
-Execution: one distributed pass computes, per fold, the Gram matrix of
-[1, terms, price] (a (d+2)^2 matrix, d = 251 for 5 inputs at degree 5). The
-per-partition work is numpy inside ``mapInPandas``; partial matrices are
-summed per (fold, row) with ``Summarizer.sum`` (a partial aggregate), so the
-driver receives 5 * (d+2) vectors - a size fixed by d, not by the data. Every
-fold's training complement is the total minus that fold, so the 30 fits and
-the refit are small solves on the driver with no further pass over the data.
-Terms are pre-scaled with global means / sigmas (one ``Summarizer`` pass)
-so the Gram matrices are well scaled before re-centring per fold.
+Execution: one distributed pass computes, per fold, the triangular QR factor of
+[1, terms, price] (``tsqr``; d = 251 terms for 5 inputs at degree 5), merged
+along a tree, so the driver receives one (d + 2)-wide factor per fold - a size
+fixed by d, not by the data. A fold's training complement is the factor of the
+other folds' factors; one decomposition of it gives the fits for all penalties.
+Terms are shifted and divided by their values at the inputs' means and maxima,
+from one row of aggregates. No Gram matrix is formed, so the condition number is not squared.
 
 Rows are assigned to the test split and to folds by a hash of ``house_id``
 (stable in any engine), not by a random seed.
@@ -28,12 +26,12 @@ from dataclasses import asdict, dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array  # noqa: F401
-from pyspark.ml.stat import Summarizer
-from pyspark import StorageLevel
+from pyspark.ml.functions import vector_to_array  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from abode.operators import tsqr
+
 # The candidate penalties, folds and input names of the model.
 ALPHAS = [0.001, 0.01, 0.1, 1.0, 10.0, 100.0]
 N_FOLDS = 5
@@ -164,111 +162,48 @@ def terms(x: np.ndarray, exps: np.ndarray) -> np.ndarray:
     return z
 
 
-def _gram_partials(exps: np.ndarray, center: np.ndarray, scale: np.ndarray, n_inputs: int):
-    """mapInPandas body: per-partition, per-fold Gram rows of [1, z', y']."""
-    d = exps.shape[0]
-
-    def run(batches):
-        acc: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            x = pdf.iloc[:, :n_inputs].to_numpy(dtype=np.float64)
-            z = (terms(x, exps) - center) / scale
-            a = np.empty((len(pdf), d + 2))
-            a[:, 0] = 1.0
-            a[:, 1:d + 1] = z
-            a[:, d + 1] = pdf["y"].to_numpy(dtype=np.float64) / Y_SCALE
-            folds = pdf["fold"].to_numpy()
-            for f in np.unique(folds):
-                sub = a[folds == f]
-                g = sub.T @ sub
-                acc[int(f)] = acc.get(int(f), 0) + g
-        for f, g in acc.items():
-            yield pd.DataFrame({"fold": np.full(g.shape[0], f, dtype=np.int32),
-                                "row": np.arange(g.shape[0], dtype=np.int32),
-                                "vals": list(g)})
-    return run
-
-
-def spark_parallelism(df: DataFrame) -> int:
-    """Twice the cluster's cores: enough tasks to keep them busy."""
-    return 2 * df.sparkSession.sparkContext.defaultParallelism
-
-
-def fold_grams(train: DataFrame, inputs: list[str], degree: int, exps: list[tuple[int, ...]],
-               center: np.ndarray, scale: np.ndarray, target: str = "price") -> dict[int, np.ndarray]:
-    """One distributed pass: {fold: Gram of [1, z', y'] over that fold's rows}."""
-    d = len(exps)
-    src = train.select(*[F.col(c).cast("double") for c in inputs],
-                       F.col(target).cast("double").alias("y"), F.col("fold").cast("int"))
-    # each task ships N_FOLDS * (d + 2) vectors whatever it reads: few tasks, six narrow columns each
-    src = src.coalesce(spark_parallelism(train))
-    parts = src.mapInPandas(_gram_partials(np.array(exps, dtype=np.float64), center, scale, len(inputs)),
-                            "fold int, row int, vals array<double>")
-    summed = parts.withColumn("v", array_to_vector("vals")).groupBy("fold", "row") \
-        .agg(Summarizer.sum(F.col("v")).alias("s"))
-    grams = {}
-    for r in summed.collect():  # N_FOLDS * (d + 2) rows, fixed by d
-        grams.setdefault(int(r["fold"]), np.zeros((d + 2, d + 2)))[int(r["row"])] = r["s"].toArray()
-    return grams
-
-
-def solve_ridge(g: np.ndarray, alpha: float) -> tuple[float, np.ndarray]:
-    """Ridge with intercept on terms standardised over the rows of Gram ``g``.
-
-    Returns (beta0, beta) on the pre-scaled terms z' (price in billions).
-    Zero-variance terms get scale 1 (they are constant, so inert).
-    """
-    d = g.shape[0] - 2
-    n = g[0, 0]
-    mz = g[0, 1:d + 1] / n
-    my = g[0, d + 1] / n
-    czz = g[1:d + 1, 1:d + 1] / n - np.outer(mz, mz)
-    czy = g[1:d + 1, d + 1] / n - mz * my
-    var = np.clip(np.diag(czz), 0.0, None)
-    tiny = var <= 1e-12 * max(1.0, float(np.max(np.abs(mz)) ** 2))
-    sig = np.where(tiny, 1.0, np.sqrt(var))
-    corr = czz / np.outer(sig, sig)
-    corr[tiny, :] = 0.0
-    corr[:, tiny] = 0.0
-    rhs = n * czy / sig
-    rhs[tiny] = 0.0
-    w = np.linalg.solve(n * corr + alpha * np.eye(d), rhs)
-    beta = w / sig
-    beta0 = my - float(beta @ mz)
-    return beta0, beta
-
-
-def sse(g: np.ndarray, beta0: float, beta: np.ndarray) -> float:
-    """Sum of squared residuals over the rows of ``g`` (from the Gram alone)."""
-    v = np.concatenate([[beta0], beta, [-1.0]])
-    return float(v @ g @ v)
-
-
-def grid_search(grams: dict[int, np.ndarray], alphas=ALPHAS) -> tuple[float, list[dict]]:
-    total = sum(grams.values())
-    rows = []
-    for a in alphas:
-        mses = []
-        for f in sorted(grams):
-            b0, b = solve_ridge(total - grams[f], a)
-            mses.append(sse(grams[f], b0, b) / grams[f][0, 0])
-        rows.append({"alpha": a, "mean_mse": float(np.mean(mses)), "fold_mse": mses})
+def fold_factors(train: DataFrame, inputs: list[str], exps: list[tuple[int, ...]], shift: np.ndarray, scale: np.ndarray,
+                 y_mean: float, target: str = "price") -> dict[int, np.ndarray]:
+    """One distributed pass: {fold: R factor of [1, (z - shift) / scale, y - y_mean] over that fold's rows}."""
+    powers, n_inputs = np.array(exps, dtype=np.int64).reshape(len(exps), len(inputs)), len(inputs)
+
+    def design(pdf: pd.DataFrame) -> np.ndarray:
+        a = np.ones((len(pdf), len(powers) + 2))
+        a[:, 1:-1] = (terms(pdf.iloc[:, :n_inputs].to_numpy(dtype=np.float64), powers) - shift) / scale
+        a[:, -1] = pdf["y"].to_numpy(dtype=np.float64) / Y_SCALE - y_mean
+        return a
+    rows = train.select(*[F.col(c).cast("double") for c in inputs],
+                        F.col(target).cast("double").alias("y"), F.col("fold").cast("int"))
+    return tsqr.merged_factors(tsqr.task_factors(rows, design), len(exps) + 2)
+
+
+def grid_search(factors: dict[int, np.ndarray], alphas=ALPHAS) -> tuple[float, list[dict]]:
+    """Mean error of each penalty over the folds, each fitted on the other folds' factors."""
+    mses: dict[float, list[float]] = {a: [] for a in alphas}
+    for f in sorted(factors):
+        others = [r for g, r in sorted(factors.items()) if g != f]
+        if not others:
+            raise ValueError("cross-validation needs rows in two folds at least")
+        ridge = tsqr.Ridge(tsqr.stacked_factor(others))
+        for a in alphas:
+            mses[a].append(tsqr.squared_error(factors[f], *ridge.solve(a)) / factors[f][0, 0] ** 2)
+    rows = [{"alpha": a, "mean_mse": float(np.mean(mses[a])), "fold_mse": mses[a]} for a in alphas]
     best = min(range(len(rows)), key=lambda i: (rows[i]["mean_mse"], i))
     for i, r in enumerate(rows):
         r["chosen"] = i == best
     return rows[best]["alpha"], rows
 
 
-def prescale(train: DataFrame, inputs: list[str], degree: int) -> tuple[np.ndarray, np.ndarray]:
-    """Global mean and sigma of every term (one Summarizer pass)."""
-    p = poly_column(train, inputs, degree, "_poly")
-    r = p.select(Summarizer.metrics("mean", "std").summary(F.col("_poly")).alias("s")).first()["s"]
-    mean = r["mean"].toArray()
-    std = r["std"].toArray()
-    std = np.where(std > 0, std, 1.0)
-    return mean, std
+def term_shift(train: DataFrame, inputs: list[str], exps: list[tuple[int, ...]], target: str) -> tuple[np.ndarray, np.ndarray, float]:
+    """(center, scale, mean target): each term at the inputs' means and at their largest absolute values.
+
+    Both only keep the factors' numbers small; one row reaches the driver.
+    """
+    row = train.agg(*[F.avg(F.col(c).cast("double")) for c in inputs], *[F.max(F.abs(F.col(c).cast("double"))) for c in inputs],
+                    F.avg(F.col(target).cast("double"))).first()
+    mean, top = np.array([v or 0.0 for v in row[:len(inputs)]]), np.array([v or 1.0 for v in row[len(inputs):-1]])
+    powers = np.array(exps, dtype=np.float64).reshape(len(exps), len(inputs))
+    return np.prod(mean[None, :] ** powers, axis=1), np.prod(top[None, :] ** powers, axis=1), (row[-1] or 0.0) / Y_SCALE
 
 
 def fit(train: DataFrame, inputs: list[str] = INPUTS, degree: int = 5, alphas=ALPHAS,
@@ -278,32 +213,21 @@ def fit(train: DataFrame, inputs: list[str] = INPUTS, degree: int = 5, alphas=AL
     ``train`` has the inputs, ``target`` (VND) and ``fold``; rows with null
     inputs are dropped first.
     """
-    spark = train.sparkSession
     cond = F.col(target).isNotNull()
     for c in inputs:
         cond = cond & F.col(c).isNotNull()
     exps = term_order(len(inputs), degree) if degree > 1 else \
         [tuple(1 if j == i else 0 for j in range(len(inputs))) for i in range(len(inputs))]
-    # The two passes (pre-scaling, Gram) read the same narrow projection: keep
-    # it (memory, spilling to disk) for the duration of the fit only.
-    train = train.filter(cond).select(*[F.col(c).cast("double") for c in inputs],
-                                      F.col(target).cast("double").alias(target), "fold") \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        center, scale = prescale(train, inputs, degree)
-        grams = fold_grams(train, inputs, degree, exps, center, scale, target)
-    finally:
-        train.unpersist()
-    if alpha is None:
-        alpha, cv = grid_search(grams, alphas)
-    else:
-        cv = []
-    total = sum(grams.values())
-    b0, b = solve_ridge(total, alpha)
-    d = len(exps)
-    n = total[0, 0]
-    mz = total[0, 1:d + 1] / n
-    sig = np.sqrt(np.clip(np.diag(total[1:d + 1, 1:d + 1]) / n - mz * mz, 0.0, None)) * scale
+    train = train.filter(cond)
+    shift, scale, y_mean = term_shift(train, inputs, exps, target)
+    factors = fold_factors(train, inputs, exps, shift, scale, y_mean, target)
+    if not factors:
+        raise ValueError("no row has all inputs and a price")
+    alpha, cv = grid_search(factors, alphas) if alpha is None else (alpha, [])
+    ridge = tsqr.Ridge(tsqr.stacked_factor([factors[f] for f in sorted(factors)]))
+    _, b = ridge.solve(alpha)
+    # predictions start from the mean price: a term near its mean adds little, and little rounding
+    b0, center, sig = y_mean + ridge.y_mean, shift + ridge.mean * scale, ridge.sigma * scale
     return RidgeModel(inputs=list(inputs), degree=degree, exponents=[list(e) for e in exps],
                       alpha=float(alpha), center=[float(v) for v in center],
                       scale=[float(v) for v in scale], beta0=float(b0), beta=[float(v) for v in b],

@@ -1,4 +1,4 @@
-"""Ridge from per-fold Gram matrices against a direct numpy solve."""
+"""Ridge from per-fold QR factors against a direct numpy solve."""
 import numpy as np
 
 from abode.operators import model as M
@@ -23,7 +23,7 @@ def direct_ridge(x, y, exps, alpha):
     return lambda xt: (np.prod(xt[:, None, :] ** np.array(exps, float)[None, :, :], axis=2) - mu) / sd @ w + y.mean()
 
 
-def test_gram_ridge_matches_direct_solve(spark):
+def test_ridge_matches_direct_solve(spark):
     tr, te = _train_test(spark, SF_SMALL)
     m = M.fit(tr, M.INPUTS, 3, alpha=0.1)
     p = tr.toPandas()
@@ -50,3 +50,54 @@ def test_save_load_round_trip(spark):
     a = m.transform(te).toPandas()["prediction"].to_numpy()
     b = again.transform(te).toPandas()["prediction"].to_numpy()
     assert np.array_equal(a, b)
+
+
+def reference_fit(x, y, exps, alpha):
+    """Coefficients by numpy's QR of the standardised terms with the penalty's rows below."""
+    z = M.terms(x, np.array(exps))
+    mu, sd = z.mean(0), z.std(0)
+    sd[sd <= 1e-9 * np.abs(z).max(0)] = np.inf
+    xs = (z - mu) / sd
+    d = xs.shape[1]
+    q, r = np.linalg.qr(np.vstack([xs, np.sqrt(alpha) * np.eye(d)]))
+    w = np.linalg.solve(r, q.T @ np.concatenate([y - y.mean(), np.zeros(d)]))
+    return mu, sd, w, y.mean()
+
+
+def test_degree_five_equals_numpy_qr(spark):
+    """Chosen penalty, cross-validation errors, coefficients and predictions at the full degree."""
+    tr, te = _train_test(spark, SF_SMALL)
+    tr = tr.repartition(11)
+    m = M.fit(tr)
+    p = tr.toPandas().dropna(subset=M.INPUTS + ["price"])
+    x, y, fold = p[M.INPUTS].to_numpy(float), p["price"].to_numpy(float) / 1e9, p["fold"].to_numpy()
+    assert len(m.exponents) == 251
+
+    def predicted(fit, xt):
+        mu, sd, w, y0 = fit
+        return (M.terms(xt, np.array(m.exponents)) - mu) / sd @ w + y0
+    for row in m.cv:
+        want = [np.mean((predicted(reference_fit(x[fold != f], y[fold != f], m.exponents, row["alpha"]), x[fold == f]) - y[fold == f]) ** 2)
+                for f in sorted(set(fold))]
+        assert np.allclose(row["fold_mse"], want, rtol=1e-8)
+    assert m.alpha == min(m.cv, key=lambda r: r["mean_mse"])["alpha"]
+    fit = reference_fit(x, y, m.exponents, m.alpha)
+    slopes = fit[2] / fit[1]
+    weight = np.abs(slopes * np.where(np.isinf(fit[1]), 0, fit[1]))
+    got = np.array(m.coefficients())
+    assert np.abs((got - slopes) * np.where(np.isinf(fit[1]), 0, fit[1])).max() <= 1e-8 * weight.max()
+    q = te.toPandas()
+    pred = m.transform(te).toPandas()["prediction"].to_numpy() / 1e9
+    assert np.allclose(pred, predicted(fit, q[M.INPUTS].to_numpy(float)), rtol=1e-8, atol=1e-8)
+
+
+def test_factors_merge_over_several_levels(spark):
+    """Thirty tasks take two levels of merging; R'R is the Gram matrix of all rows."""
+    from abode.operators import tsqr
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=(500, 4))
+    rows = spark.createDataFrame([(int(k % 2), *map(float, r)) for k, r in enumerate(a)], "fold int, a double, b double, c double, d double")
+    factors = tsqr.merged_factors(tsqr.task_factors(rows.repartition(30), lambda p: p[["a", "b", "c", "d"]].to_numpy()), 4)
+    for f in (0, 1):
+        part = a[f::2]
+        assert np.allclose(factors[f].T @ factors[f], part.T @ part)
