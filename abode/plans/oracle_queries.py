@@ -155,6 +155,31 @@ APPROVED = (f"SELECT p.house_id, p.title, p.district, {price_ty('p.price_vnd', '
             "p.area, p.bedrooms, p.bathrooms, p.posting_date, s.poster_id, 'Đã phê duyệt' AS status "
             f"FROM listings p JOIN listing_status s ON p.house_id = s.house_id WHERE s.statue = '{SELLING}'")
 
+# each listing's requests one after the other, on its status and its list of depositors
+REQUEST_LOG = f"""
+log AS (SELECT ts, event_id, CASE WHEN event_id % 10 < 4 THEN 'confirm' WHEN event_id % 10 < 7 THEN 'cancel'
+          WHEN event_id % 10 = 7 THEN 'admin_cancel' ELSE 'status' END AS kind,
+          printf('%05d', user_id + 1) AS house_id, concat('u', CAST(event_id // 10 % 5 AS VARCHAR)) AS user_id,
+          ['admin', 'mod1', 'nobody'][event_id % 3 + 1] AS admin_id,
+          CASE WHEN event_id % 4 = 0 THEN '{SELLING}' ELSE '{PROCESSING}' END AS statue FROM events),
+good AS (SELECT *, row_number() OVER (PARTITION BY house_id ORDER BY ts, event_id) AS n FROM log
+         WHERE (kind <> 'confirm' OR (user_id IN (SELECT user_id FROM users) AND house_id IN (SELECT house_id FROM listings)))
+           AND (kind <> 'status' OR admin_id IN (SELECT admin_id FROM admins))),
+steps AS (
+ SELECT h.house_id, CAST(0 AS BIGINT) AS n, s.statue, coalesce(d.deps, CAST([] AS VARCHAR[])) AS deps
+ FROM (SELECT DISTINCT house_id FROM good) h LEFT JOIN listing_status s ON s.house_id = h.house_id
+ LEFT JOIN (SELECT house_id, list(user_id) AS deps FROM deposits GROUP BY house_id) d ON d.house_id = h.house_id
+ UNION ALL
+ SELECT g.house_id, g.n,
+  CASE g.kind WHEN 'confirm' THEN CASE WHEN list_contains(p.deps, g.user_id) THEN p.statue ELSE '{PROCESSING}' END
+   WHEN 'cancel' THEN CASE WHEN len(list_filter(p.deps, lambda x: x <> g.user_id)) = 0 THEN '{SELLING}' ELSE p.statue END
+   WHEN 'admin_cancel' THEN '{SELLING}' ELSE g.statue END,
+  CASE g.kind WHEN 'confirm' THEN CASE WHEN list_contains(p.deps, g.user_id) THEN p.deps ELSE list_append(p.deps, g.user_id) END
+   WHEN 'cancel' THEN list_filter(p.deps, lambda x: x <> g.user_id) WHEN 'admin_cancel' THEN CAST([] AS VARCHAR[]) ELSE p.deps END
+ FROM steps p JOIN good g ON g.house_id = p.house_id AND g.n = p.n + 1),
+after_log AS (SELECT house_id, statue, deps FROM steps QUALIFY row_number() OVER (PARTITION BY house_id ORDER BY n DESC) = 1)
+"""
+
 CONFIRM = f"""
 req AS (SELECT concat('u', CAST(user_id AS VARCHAR)) AS user_id, printf('%05d', event_id+1) AS house_id
         FROM events WHERE event_type = 'purchase'
@@ -367,6 +392,12 @@ def oracle_queries() -> dict[str, str]:
     o["chg_update_status"] = Q(
         "SELECT s.house_id, coalesce(l.statue, s.statue) AS statue, s.poster_id "
         "FROM listing_status s LEFT JOIN last l ON s.house_id = l.house_id", UPDATE)
+    o["chg_request_log"] = "WITH RECURSIVE" + Q(
+        "SELECT s.house_id, coalesce(a.statue, s.statue) AS statue, s.poster_id FROM listing_status s "
+        "LEFT JOIN after_log a ON s.house_id = a.house_id", REQUEST_LOG).removeprefix("WITH")
+    o["chg_request_log__deposits"] = "WITH RECURSIVE" + Q(
+        "SELECT unnest(deps) AS user_id, house_id FROM after_log UNION ALL "
+        "SELECT user_id, house_id FROM deposits WHERE house_id NOT IN (SELECT house_id FROM after_log)", REQUEST_LOG).removeprefix("WITH")
     o["chg_buy_request"] = Q(set_status("hit", PROCESSING), BUY)
     o["chg_submit_posts"] = Q(
         f"SELECT {LOUT}, statue, poster_id FROM pending_listings UNION ALL "

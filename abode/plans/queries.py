@@ -18,6 +18,7 @@ from abode.functions.text import truncate
 from abode.operators import activity as A
 from abode.operators import catalog as C
 from abode.operators import changes as X
+from abode.operators import request_log
 from abode.operators import stats as S
 from abode.operators.clean import clean_step, drop_monthly, with_surrogate_id
 from abode.operators.dedup import dedup_cascade, dedup_title_keep_min_id
@@ -580,6 +581,21 @@ def q_chg_update_status(spark, sf_dir):
     return X.update_status(t.listing_status, t.admins, t.batch_status_updates())
 
 
+def _request_log(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return request_log.apply_log(t.listing_status, t.deposits, t.users, t.listings, t.admins, t.batch_request_log())
+
+
+@query("chg_request_log")
+def q_chg_request_log(spark, sf_dir):
+    return _request_log(spark, sf_dir).status
+
+
+@query("chg_request_log__deposits")
+def q_chg_request_log_dep(spark, sf_dir):
+    return _request_log(spark, sf_dir).deposits
+
+
 @query("chg_buy_request")
 def q_chg_buy_request(spark, sf_dir):
     t = T(spark, sf_dir)
