@@ -277,8 +277,41 @@ def _frequencies(sequences: DataFrame, settings: Settings) -> np.ndarray:
     return out
 
 
+def _token_bitmap(prefixes: DataFrame, settings: Settings) -> np.ndarray:
+    """Flags of the cells (their number fixed by ``cells``) that the tokens of these prefixes fall into."""
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = np.asarray(batch.column("firsts").flatten()).astype(np.int64).view(np.uint64)
+            yield pa.record_batch({"cell": np.unique(_cell(tokens, settings.cells))})
+    found = prefixes.select("firsts").mapInArrow(made, "cell long").distinct().toArrow()
+    out = np.zeros(settings.cells, bool)
+    out[found.column("cell").to_numpy()] = True
+    return out
+
+
+def _meeting(prefixes: DataFrame, bitmap: np.ndarray, settings: Settings) -> DataFrame:
+    """``prefixes`` with only those tokens that fall into a flagged cell."""
+    shared = prefixes.sparkSession.sparkContext.broadcast(bitmap)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            firsts = batch.column("firsts")
+            tokens, size = np.asarray(firsts.flatten()).astype(np.int64), np.asarray(firsts.value_lengths())
+            good = shared.value[_cell(tokens.view(np.uint64), settings.cells)]
+            row = np.repeat(np.arange(batch.num_rows), size)[good]
+            ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+            at = batch.schema.get_field_index("firsts")
+            yield batch.set_column(at, "firsts", pa.ListArray.from_arrays(ends, pa.array(tokens[good])))
+    return prefixes.mapInArrow(made, prefixes.schema)
+
+
 def remaining_pairs(left: DataFrame, table: DataFrame, scratch: Scratch, settings: Settings) -> DataFrame:
-    """Pairs (a, b) of the nodes ``left`` (node, label) with different labels that may be similar; none that is gets lost."""
+    """Pairs (a, b) of the nodes ``left`` (node, label, few) with different labels that may be similar; none that is gets lost.
+
+    ``few``: true for nodes outside the most frequent class of a bucket. Of two
+    nodes of different classes in a bucket one is; so tokens that no such node
+    has in its prefix make no row.
+    """
     sequences = scratch.write(table.join(left, "node"), "open-sequences")
     frequency = left.sparkSession.sparkContext.broadcast(_frequencies(sequences, settings))
     bits = [f"bits_{k}" for k in range(_BITMAP)]
@@ -293,11 +326,13 @@ def remaining_pairs(left: DataFrame, table: DataFrame, scratch: Scratch, setting
                 firsts.append(tokens[order[:prefix_length(len(tokens), settings.similarity)]].view(np.int64))
                 maps.append(parity_bitmap(tokens))
             words = np.array(maps, np.int64).reshape(-1, _BITMAP)
-            yield pa.record_batch({"node": batch.column("node"), "label": batch.column("label"), "size": pa.array(sizes, pa.int64()),
+            yield pa.record_batch({"node": batch.column("node"), "label": batch.column("label"), "few": batch.column("few"),
+                                   "size": pa.array(sizes, pa.int64()),
                                    **{name: pa.array(words[:, k]) for k, name in enumerate(bits)},
                                    "firsts": pa.array(firsts, pa.list_(pa.int64()))})
-    columns = ", ".join(f"{name} long" for name in ["node", "label", "size", *bits])
-    prefixes = scratch.write(sequences.mapInArrow(made, f"{columns}, firsts array<long>"), "prefixes")
+    columns = ", ".join(f"{name} long" for name in ["size", *bits])
+    prefixes = scratch.write(sequences.mapInArrow(made, f"node long, label long, few boolean, {columns}, firsts array<long>"), "prefixes")
+    prefixes = _meeting(prefixes, _token_bitmap(prefixes.filter("few"), settings), settings)
     # of two nodes of different classes one is not in the token's most frequent class
     shared = prefixes.select("label", F.explode("firsts").alias("token")).groupBy("token", "label").agg(F.count(F.lit(1)).alias("n")) \
         .groupBy("token").agg(F.max(F.struct("n", "label"))["label"].alias("top"), F.count(F.lit(1)).alias("classes")) \
@@ -378,7 +413,10 @@ def near_duplicate_classes(df: DataFrame, settings: Settings = Settings()) -> Da
     few = open_.filter(F.col("n") <= settings.small).select("key", "node", "label")
     other = few.select("key", F.col("node").alias("other"), F.col("label").alias("other_label"))
     pairs = _ordered(few.join(other, "key").filter("label < other_label"), "node", "other")
-    large = scratch.write(open_.filter(F.col("n") > settings.small).select("node", "label").distinct(), "open")
+    large = open_.filter(F.col("n") > settings.small).select("key", "node", "label")
+    top = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max(F.struct("k", "label"))["label"].alias("top"))
+    top = scratch.write(top, "tops")
+    large = scratch.write(large.join(top, "key").groupBy("node", "label").agg(F.max(F.col("label") != F.col("top")).alias("few")), "open")
     if large.limit(1).count():
         pairs = pairs.unionByName(remaining_pairs(large, table, scratch, settings)).distinct()
     new = _class_links(pairs, table, classes, scratch, settings, "links-remaining")
