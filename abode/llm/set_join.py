@@ -14,7 +14,8 @@ the window. Rarity is how often a word occurs in all texts, ties by the word.
 4. Verify the candidates word by word.
 
 The index is broadcast in blocks of at most ``block_words`` window words, a
-fixed bound; a larger benchmark takes more passes over the texts, each exact.
+fixed bound; all blocks are held by one pass over the texts, so a task's memory grows
+with the benchmark.
 
 Defined cases: null texts have no words and hold nothing, null items have no
 windows. Repeated items and repeated rows count like any other; an item id with

@@ -21,7 +21,7 @@ uniform distribution over 256 symbols. A symbol is scored in the state of the
 longest suffix of what precedes it. So every text has a probability above 0.
 
 Size bounds: at most depth / least_share states, whatever the corpus; what the
-driver and the tasks hold is the tree (a few MB) and ``heavy_words`` word
+driver and the tasks hold is the tree (states x symbols x 8 bytes) and ``heavy_words`` word
 counts. All other word counts are joined to the texts' words by key.
 
 The unigram base score of a text is the sum over its tokens of
