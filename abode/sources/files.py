@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from abode.operators.ids import with_sequence
 from abode.schema import RAW_COLUMNS, RAW_SCHEMA
 from abode.session import scratch_path
+from abode.sources.split_csv import read_split_csv
 
 
 def read_raw_csv(spark: SparkSession, path: str, schema=RAW_SCHEMA) -> DataFrame:
@@ -30,16 +31,13 @@ def read_listings_csv(spark: SparkSession, path: str) -> DataFrame:
     """A scraped listings file (or folder of them): the 15 columns by header name, as text, and row_ordinal.
 
     Headers are trimmed, may stand in any order and among others that are
-    ignored; a missing column is null. Quoted fields may hold line breaks.
+    ignored; a missing column is null. Quoted fields may hold line breaks; a file
+    is read by as many tasks as it has byte ranges (``split_csv``).
     Rows are numbered from 0 in the order of files and of rows in them, without
     a global window; rows keep their number when others are dropped later.
     """
-    df = spark.read.option("header", True).option("multiLine", True).option("quote", '"') \
-        .option("escape", '"').option("encoding", "UTF-8").option("inferSchema", False).csv(path)
-    found = {c.strip(): c for c in df.columns}
-    cols = [F.col(f"`{found[c]}`").alias(c) if c in found else F.lit(None).cast("string").alias(c) for c in RAW_COLUMNS]
-    df = df.select(*cols, F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row"))
-    return with_sequence(df, ["_file", "_row"], 0, "row_ordinal").select("row_ordinal", *RAW_COLUMNS)
+    df = read_split_csv(spark, path, RAW_COLUMNS)
+    return with_sequence(df, ["file", "block", "line"], 0, "row_ordinal").select("row_ordinal", *RAW_COLUMNS)
 
 
 def write_listings_csv(raw: DataFrame) -> str:

@@ -1,10 +1,13 @@
 """Source reads: pruned scans with pushed filters, and real listing files."""
 import csv
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from abode.schema import RAW_COLUMNS
 from abode.sources.files import read_listings_csv
+from abode.sources.split_csv import _lines, read_records, read_split_csv
 from abode.sources.tpch_binding import read_table
 from tests.conftest import SF_SMALL
 
@@ -39,6 +42,49 @@ def test_missing_column_is_null_and_files_follow_each_other(spark, tmp_path):
     assert all(r["Area"] is None for r in got)
 
 
+@pytest.fixture
+def small_ranges(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "211")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_split_csv_equals_one_reader(spark, tmp_path, small_ranges, end):
+    """Many byte ranges a file, borders inside quotes, records longer than a range; against Python's csv."""
+    rng = random.Random(len(end))
+    word = lambda: rng.choice(["a", 'say ""', ',', "\n", "\r\n", "nhà", " ", '"', "\n\n", "x" * 20])
+    want = []
+    for n, head in enumerate([["Title", " Price ", "Note"], ["Note", "Title", "Price"]]):
+        rows = [["".join(word() for _ in range(rng.randrange(1, 9))) + "." for _ in head] for _ in range(60)]
+        rows[7][1] = "line\n" * 200 + "end"
+        rows[20][0] = '"' * 500 + "\n"
+        with open(tmp_path / f"{n}.csv", "w", newline="", encoding="utf-8") as f:
+            csv.writer(f, lineterminator=end).writerows([head, *rows[:30]])
+            f.write(end + end)
+            csv.writer(f, lineterminator=end).writerows(rows[30:])
+        names = [h.strip() for h in head]
+        want += [(r[names.index("Title")], r[names.index("Price")], None) for r in rows]
+    assert _lines(spark, str(tmp_path)).select("file", "block").distinct().count() > 40
+    got = read_split_csv(spark, str(tmp_path), ["Title", "Price", "Area"]).orderBy("file", "block", "line").collect()
+    assert [(r["Title"], r["Price"], r["Area"]) for r in got] == want
+    numbered = read_listings_csv(spark, str(tmp_path)).orderBy("row_ordinal").collect()
+    assert [(r["row_ordinal"], r["Title"]) for r in numbered] == [(i, w[0]) for i, w in enumerate(want)]
+
+
+def test_split_csv_edges(spark, tmp_path, small_ranges):
+    (tmp_path / "bom.csv").write_bytes("\ufeffTitle,Price\nt,\n\"\",2\nshort\nlast,3".encode())
+    got = read_split_csv(spark, str(tmp_path / "bom.csv"), ["Title", "Price"]).orderBy("block", "line").collect()
+    assert [(r["Title"] or "", r["Price"]) for r in got] == [("t", None), ("", "2"), ("short", None), ("last", "3")]
+    (tmp_path / "header.csv").write_text("Title,Price\n")
+    (tmp_path / "empty.csv").write_text("")
+    assert read_split_csv(spark, str(tmp_path / "header.csv"), ["Title"]).count() == 0
+    assert read_split_csv(spark, str(tmp_path / "empty.csv"), ["Title"]).count() == 0
+    (tmp_path / "open.csv").write_text('Title\n"never closed\n' + "more\n" * 200)
+    with pytest.raises(ValueError, match="open.csv"):
+        read_records(spark, str(tmp_path / "open.csv"))
+
+
 def test_district_collation(spark):
     from abode.operators.catalog import distinct_districts
 
