@@ -15,10 +15,13 @@ _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|itemprop|aria-label)\s*=\s*(?:\
 _TOKEN = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
 
 # HTML element names by their role.
-SKIPPED = set("script style title noscript template iframe svg math object canvas audio video head-text".split())
+RAW_TEXT = set("script style title iframe".split())
+HIDDEN = set("noscript template svg object canvas audio video annotation annotation-xml".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q s samp small span "
-             "strike strong sub sup time tt u var label ruby rb rt rp picture".split())
+             "strike strong sub sup time tt u var label ruby rb rt rp picture "
+             "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose mfenced msub msup "
+             "msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd maction semantics".split())
 CLOSES_P = set("address article aside blockquote center details dialog div dl fieldset figure figcaption footer form h1 "
                "h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dd dt td th tr".split())
 TAG_GROUPS = (
@@ -77,12 +80,50 @@ def attribute_groups(attributes: str) -> tuple[int, ...]:
     return tuple(sorted(found))
 
 
+def _raw_text_end(source: str, tag: str, at: int) -> int:
+    """End of a raw-text element whose content starts at ``at``; unclosed, it reaches to the end of the page."""
+    stop = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(source, at)
+    return stop.end() if stop else len(source)
+
+
+def hidden_ends(source: str) -> dict[int, int]:
+    """End of each hidden element, by the place after its start tag; those not closed within their parent have none."""
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    open_tags: dict[str, int] = {}
+    at = 0
+    while (m := _TAG.search(source, at)) is not None:
+        at = m.end()
+        tag = (m[2] or "").lower()
+        if not tag or tag in INLINE or tag in VOID or not m[1] and m[3].rstrip().endswith("/"):
+            continue
+        if not m[1]:
+            if tag in RAW_TEXT:
+                at = _raw_text_end(source, tag, at)
+            else:
+                stack.append((tag, at))
+                open_tags[tag] = open_tags.get(tag, 0) + 1
+        elif open_tags.get(tag):
+            name = ""
+            while name != tag:
+                name, place = stack.pop()
+                open_tags[name] -= 1
+            if tag in HIDDEN:
+                ends[place] = at
+    return ends
+
+
 def parse(source: str) -> Page:
-    """Block nodes and text runs. White space in a run is one space; markup, comments and skipped elements are gone.
+    """Block nodes and text runs. White space in a run is one space; markup, comments and hidden elements are gone.
 
     Inline elements do not break a run, <br> is white space in it. Elements
-    that are never closed end with their parent.
+    that are never closed end with their parent. A hidden element (video, svg,
+    template, ...) that its parent's end finds open hides nothing: its start tag
+    is dropped and what follows is text of the page. Only raw-text elements
+    (script, style, title, iframe) reach to the end of the page if unclosed.
+    Formulas (math) are inline text.
     """
+    hidden: dict[int, int] | None = None
     nodes = [Node("html", -1, 0)]
     runs: list[tuple[int, str]] = []
     stack = [0]
@@ -123,7 +164,7 @@ def parse(source: str) -> Page:
         if m[1]:
             if tag == "a":
                 in_link = max(0, in_link - 1)
-            if tag in INLINE or tag in VOID or tag in SKIPPED:
+            if tag in INLINE or tag in VOID or tag in RAW_TEXT or tag in HIDDEN:
                 continue
             flush()
             for k in range(len(stack) - 1, 0, -1):
@@ -132,10 +173,14 @@ def parse(source: str) -> Page:
                     in_link = 0
                     break
             continue
-        if tag in SKIPPED:
+        if tag in RAW_TEXT:
             if not m[3].rstrip().endswith("/"):
-                stop = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(source, at)
-                at = stop.end() if stop else size
+                at = _raw_text_end(source, tag, at)
+            continue
+        if tag in HIDDEN:
+            if hidden is None:
+                hidden = hidden_ends(source)
+            at = hidden.get(at, at)
             continue
         if tag in INLINE:
             in_link += tag == "a"

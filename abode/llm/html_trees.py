@@ -301,7 +301,7 @@ def _layout_labels(source: str, page: dom.Page) -> np.ndarray:
 def _block_tags(source: str) -> list[str]:
     """The start tags that make nodes, in order."""
     return [m[3] for m in dom._TAG.finditer(source)
-            if m[2] and not m[1] and m[2].lower() not in dom.INLINE | dom.VOID | dom.SKIPPED | {"html", "body", "head"}]
+            if m[2] and not m[1] and m[2].lower() not in dom.INLINE | dom.VOID | dom.RAW_TEXT | dom.HIDDEN | {"html", "body", "head"}]
 
 
 def fit(pages: DataFrame, settings: Settings = Settings()) -> Forest:

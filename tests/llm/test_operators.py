@@ -404,6 +404,19 @@ def test_op8_consistent_labels():
     assert all(kept[x.parent] for x, k in zip(page.nodes, kept) if k and x.parent >= 0)
 
 
+def test_op8_unclosed_hidden_elements_drop_nothing():
+    """Only raw-text elements may run to the end of a page; formulas are text."""
+    texts = lambda source: [t for _, t in dom.parse(source).runs]
+    for tag in ("video", "svg", "object", "audio", "canvas", "template", "noscript"):
+        page = f"<article><p>One two.</p><{tag} class=x><p>Three four.</p></article><p>End.</p>"
+        assert texts(page) == ["One two.", "Three four.", "End."]
+        assert texts(f"<p>a <{tag}><i>x</i><{tag}>y</{tag}>z</{tag}> b</p>c") == ["a b", "c"]
+        assert texts(f"<div><{tag}>x<{tag}>y</{tag}></div>z") == ["x", "z"]
+    assert texts("Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.") == ["Let x=1 be."]
+    for tag in ("script", "style", "title", "iframe"):
+        assert texts(f"<p>a</p><{tag}>b<p>c</p>") == ["a"]
+
+
 def test_op8_reader():
     runs = dom.parse("<!-- x --><title>t</title><style>p{}</style><script>var a='</p>';</script><p class='a>b'>one &amp; <b>two</b>"
                      "\n three<br>four<p>five &nbsp; six<div>seven<!-- <p>no --> eight</div>nine<p>un<closed").runs
