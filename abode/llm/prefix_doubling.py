@@ -85,8 +85,9 @@ def samples(data: np.ndarray, bounds: np.ndarray, settings: Settings) -> tuple[n
     grams *= np.uint64(0x9E3779B97F4A7C15)
     grams ^= grams >> np.uint64(29)
     grams *= np.uint64(0xBF58476D1CE4E5B9)
-    # hash above, position below: the least is the first position of the least hash
-    bits = np.uint64(max(1, int(n).bit_length()))
+    # hash above, position below: the least is the first position of the least hash. The width is the same for
+    # every slice, so equal strings break ties of the hash alike; a slice is shorter than 2^32 bytes
+    bits = np.uint64(32)
     grams = grams >> bits << bits | np.arange(n, dtype=np.uint64)
     blocks = -(-n // w) + 1
     padded = np.full(blocks * w, np.iinfo(np.uint64).max, np.uint64)
