@@ -468,6 +468,8 @@ forms AS (SELECT CASE WHEN c_custkey % 7 = 0 THEN concat('u-', c_custkey) ELSE c
     # the streams must leave the same tables as the batch jobs
     o["stream_status_updates"] = o["chg_update_status"]
     o["stream_add_favorites"] = o["chg_add_favorites"]
+    o["stream_request_log"] = o["chg_request_log"]
+    o["stream_request_log__deposits"] = o["chg_request_log__deposits"]
     from abode.plans.model_oracle import model_oracle_queries
     o.update(model_oracle_queries(Q))
     return o

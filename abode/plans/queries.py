@@ -749,6 +749,21 @@ def q_stream_status_updates(spark, sf_dir):
     return stream_status_updates(spark, sf_dir)
 
 
+def _stream_request_log(spark, sf_dir):
+    from abode.streaming.request_log import stream_request_log
+    return stream_request_log(spark, sf_dir).tables
+
+
+@query("stream_request_log")
+def q_stream_request_log(spark, sf_dir):
+    return _stream_request_log(spark, sf_dir).status
+
+
+@query("stream_request_log__deposits")
+def q_stream_request_log_dep(spark, sf_dir):
+    return _stream_request_log(spark, sf_dir).deposits
+
+
 @query("stream_add_favorites")
 def q_stream_add_favorites(spark, sf_dir):
     from abode.streaming.requests import stream_add_favorites

@@ -150,6 +150,17 @@ def favorite_click_requests(events: DataFrame) -> DataFrame:
         "ts", "event_id")
 
 
+def log_requests(events: DataFrame) -> DataFrame:
+    """A mixed log of listing requests in the order of events (batch or stream): kinds, users and administrators by the event's id."""
+    k = F.col("event_id")
+    kind = F.when(k % 10 < 4, "confirm").when(k % 10 < 7, "cancel").when(k % 10 == 7, "admin_cancel").otherwise("status")
+    return events.select(
+        "ts", "event_id", kind.alias("kind"), house_id_of(F.col("user_id")).alias("house_id"),
+        user_id_of(F.floor(k / 10) % 5).alias("user_id"),
+        F.element_at(F.array(F.lit("admin"), F.lit("mod1"), F.lit("nobody")), (k % 3 + 1).cast("int")).alias("admin_id"),
+        F.when(k % 4 == 0, STATUS_SELLING).otherwise(STATUS_PROCESSING).alias("statue"))
+
+
 class ListingTables:
     """Lazily derived tables of the listing application for one data folder."""
 
@@ -306,14 +317,7 @@ class ListingTables:
         return status_update_requests(self.events())
 
     def batch_request_log(self) -> DataFrame:
-        """A mixed log of listing requests in the order of events: kinds, users and administrators by the event's id."""
-        k = F.col("event_id")
-        kind = F.when(k % 10 < 4, "confirm").when(k % 10 < 7, "cancel").when(k % 10 == 7, "admin_cancel").otherwise("status")
-        return self.events().select(
-            "ts", "event_id", kind.alias("kind"), house_id_of(F.col("user_id")).alias("house_id"),
-            user_id_of(F.floor(k / 10) % 5).alias("user_id"),
-            F.element_at(F.array(F.lit("admin"), F.lit("mod1"), F.lit("nobody")), (k % 3 + 1).cast("int")).alias("admin_id"),
-            F.when(k % 4 == 0, STATUS_SELLING).otherwise(STATUS_PROCESSING).alias("statue"))
+        return log_requests(self.events())
 
     def batch_buy_requests(self) -> DataFrame:
         e = self.events_of("view")
