@@ -26,8 +26,8 @@ def op2_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10
     scratch = Scratch(spark, "suffix-tree")
-    model, words = suffix_tree.fit(docs.filter(fold != 0), scratch)
-    out = suffix_tree.score(docs, model, words, scratch)
+    model, tables = suffix_tree.fit(docs.filter(fold != 0), scratch)
+    out = suffix_tree.score(docs, model, tables, scratch)
     return out.withColumn("held_out", fold == 0).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 

@@ -8,8 +8,7 @@ cross words but not the start of the text, which counts as a line feed.
 Training counts every (context, next symbol) of all training texts, and every
 word. A context becomes a state of the tree if
 
-* its share of all training symbols is at least ``least_share`` (and it
-  occurs ``least_count`` times), and
+* it occurs at least ``least_count`` times, and
 * its next-symbol distribution diverges from that of its longest proper
   suffix: sum n(x) ln(p(x | context) / p(x | suffix)) > 0.5 (k - 1) ln n, with
   k distinct next symbols (the gain in likelihood exceeds its description
@@ -20,9 +19,12 @@ p(x | s) = (n(s, x) + m p(x | suffix)) / (n(s) + m), below the root the
 uniform distribution over 256 symbols. A symbol is scored in the state of the
 longest suffix of what precedes it. So every text has a probability above 0.
 
-Size bounds: at most depth / least_share states, whatever the corpus; what the
-driver and the tasks hold is the tree (states x symbols x 8 bytes) and ``heavy_words`` word
-counts. All other word counts are joined to the texts' words by key.
+The states are Spark tables that grow with the corpus. Tasks hold the counts of
+``heavy_words`` words and the ``top_states`` most frequent states at most (with all
+their suffixes, which are more frequent): 8 bytes a state and distinct symbol, so 135 MB
+at most. A symbol whose longest suffix lies beyond them leaves its task as one row per text and (context,
+symbol); these are joined to the tables of the deeper states, each distinct one is
+smoothed once, and the sums are joined back to the texts. Words beyond ``heavy_words`` are joined by key too.
 
 The unigram base score of a text is the sum over its tokens of
 log10((c + 0.1) / (N + 0.1 (V + 1))).
@@ -47,6 +49,8 @@ from abode.llm.common import Scratch, row_key
 
 END, SPACE = 10, 32
 WORD, GRAM = 0, 1
+#: Marks in place of a child: no state, a state that is in the tables only.
+NONE, DEEPER = -1, -2
 _SLICE = 2 << 20
 _CHUNK = 1 << 18
 #: Keys that a task holds before it hands its counts on.
@@ -55,11 +59,11 @@ _TALLY = 2_000_000
 
 @dataclass(frozen=True)
 class Settings:
-    depth: int = 5
-    least_share: float = 2e-6
+    depth: int = 5  # 7 at most: a context and its symbol are one 64-bit key
     least_count: int = 8
     smoothing: float = 8.0
     heavy_words: int = 1 << 18
+    top_states: int = 1 << 16
 
 
 def normalised(column: pa.Array) -> np.ndarray:
@@ -150,11 +154,16 @@ def training_counts(df: DataFrame, settings: Settings) -> DataFrame:
     return made.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
+def _masks(settings: Settings) -> list[int]:
+    """By depth: the bits of a context of that many symbols."""
+    return [(1 << (8 * d)) - 1 for d in range(settings.depth + 1)]
+
+
 def tree_rows(counts: DataFrame, settings: Settings) -> DataFrame:
-    """``d, ctx, x, n, total``: next-symbol counts of the contexts that become states."""
-    mask = [0] + [(1 << (8 * d)) - 1 for d in range(1, settings.depth + 1)]
+    """``d, ctx, x, n, total, kinds``: next-symbol counts of the contexts that occur often enough."""
+    mask = _masks(settings)
     g = counts.filter(F.col("kind") == GRAM).select(
-        F.shiftright("key", 8).alias("full"), F.col("key").bitwiseAND(255).cast("int").alias("x"), "n")
+        F.shiftrightunsigned("key", 8).alias("full"), F.col("key").bitwiseAND(255).cast("int").alias("x"), "n")
     depths = F.array(*[F.struct(F.lit(d).alias("d"), F.col("full").bitwiseAND(mask[d]).alias("ctx"))
                        for d in range(settings.depth + 1)])
     g = g.select(F.explode(depths).alias("c"), "x", "n").select("c.d", "c.ctx", "x", "n")
@@ -164,18 +173,14 @@ def tree_rows(counts: DataFrame, settings: Settings) -> DataFrame:
         complete = complete | ((F.col("d") == d) & (F.shiftright("ctx", 8 * (d - 1)) != 0))
     g = g.filter(complete).groupBy("d", "ctx", "x").agg(F.sum("n").alias("n"))
     sizes = g.groupBy("d", "ctx").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
-    every = sizes.filter("d = 0").agg(F.coalesce(F.sum("total"), F.lit(0))).collect()[0][0]
-    least = max(settings.least_count, int(np.ceil(settings.least_share * every)))
-    sizes = sizes.filter((F.col("total") >= least) | (F.col("d") == 0))
+    sizes = sizes.filter((F.col("total") >= settings.least_count) | (F.col("d") == 0))
     return g.join(sizes, ["d", "ctx"])
 
 
 def retained(rows: DataFrame, settings: Settings) -> DataFrame:
     """``d, ctx`` of the contexts that pass the divergence test."""
-    parent_ctx = F.lit(0).cast("long")
-    for d in range(2, settings.depth + 1):
-        parent_ctx = F.when(F.col("d") == d, F.col("ctx").bitwiseAND((1 << (8 * (d - 1))) - 1)).otherwise(parent_ctx)
-    child = rows.filter("d > 0").withColumn("pd", F.col("d") - 1).withColumn("pctx", parent_ctx)
+    shorter = F.element_at(F.array(*[F.lit(m).cast("long") for m in _masks(settings)]), F.col("d"))
+    child = rows.filter("d > 0").withColumn("pd", F.col("d") - 1).withColumn("pctx", F.col("ctx").bitwiseAND(shorter))
     parent = rows.select(F.col("d").alias("pd"), F.col("ctx").alias("pctx"), "x",
                          F.col("n").alias("pn"), F.col("total").alias("ptotal"))
     gain = F.sum(F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("pn") / F.col("ptotal"))))
@@ -183,12 +188,21 @@ def retained(rows: DataFrame, settings: Settings) -> DataFrame:
     return tested.filter(F.col("gain") > 0.5 * (F.col("kinds") - 1) * F.log("total")).select("d", "ctx")
 
 
+def states_of(rows: DataFrame, settings: Settings) -> DataFrame:
+    """``d, ctx, total`` of all states but the root: the retained contexts and their suffixes."""
+    mask = _masks(settings)
+    suffixes = F.filter(F.array(*[F.struct(F.lit(a).alias("d"), F.col("ctx").bitwiseAND(mask[a]).alias("ctx"))
+                                  for a in range(1, settings.depth + 1)]), lambda s: s["d"] <= F.col("d"))
+    closed = retained(rows, settings).select(F.explode(suffixes).alias("s")).select("s.d", "s.ctx").distinct()
+    return closed.join(rows.groupBy("d", "ctx").agg(F.max("total").alias("total")), ["d", "ctx"])
+
+
 @dataclass
 class Tree:
-    """States by number (0 is the root): children by symbol code, log10 probabilities by symbol code."""
+    """The frequent states by number (0 is the root): children by symbol code, log10 probabilities by symbol code."""
 
     code: np.ndarray    # symbol -> code; the last code is for symbols never seen
-    child: np.ndarray   # (states, codes): the state of one more symbol of context, or -1
+    child: np.ndarray   # (states, codes): the state of one more symbol of context, NONE or DEEPER
     logp: np.ndarray    # (states, codes)
     depth: int
 
@@ -197,49 +211,67 @@ class Tree:
         return len(self.child)
 
 
-def build_tree(rows: pa.Table, kept: pa.Table, settings: Settings) -> Tree:
-    """The tree from next-symbol counts (``tree_rows``) and the retained contexts."""
-    d, ctx, x, n = (np.asarray(rows.column(c)).astype(np.int64) for c in ("d", "ctx", "x", "n"))
-    closed = {(0, 0)}
-    for a, c in zip(kept.column("d").to_pylist(), kept.column("ctx").to_pylist()):
-        while a > 0 and (a, c) not in closed:
-            closed.add((a, c))
-            a -= 1
-            c &= (1 << (8 * a)) - 1
-    states = sorted(closed)
-    number = {s: i for i, s in enumerate(states)}
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    return np.asarray(table.column(name)).astype(np.int64)
+
+
+def build_tree(rows: pa.Table, deeper: pa.Table, settings: Settings) -> Tree:
+    """The tree of the states in ``rows`` (as ``tree_rows``, closed under suffixes).
+
+    ``deeper``: ``d, ctx`` of the other states that are one symbol longer than one of these.
+    """
+    d, ctx, x, n = (_column(rows, c) for c in ("d", "ctx", "x", "n"))
+    # the depth above the context: states ascend by depth, then by context
+    label = (d.astype(np.uint64) << np.uint64(56)) | ctx.astype(np.uint64)
+    states, at = np.unique(np.append(label, np.uint64(0)), return_inverse=True)
+    at = at[:-1]
     seen = np.unique(x) if len(x) else np.zeros(0, np.int64)
     code = np.full(256, len(seen), np.int64)
     code[seen] = np.arange(len(seen))
     code[0] = code[1]
     width = len(seen) + 1
-    table = np.zeros((len(states), width))
-    for a, c, s, k in zip(d.tolist(), ctx.tolist(), x.tolist(), n.tolist()):
-        i = number.get((a, c))
-        if i is not None:
-            table[i, code[s]] += k
-    child = np.full((len(states), width), -1, np.int32)
-    p = np.empty_like(table)
-    m = settings.smoothing
-    for i, (a, c) in enumerate(states):
-        total = table[i].sum()
-        if a == 0:
-            below = np.full(width, 1 / 256)
+    child = np.full((len(states), width), NONE, np.int32)
+    logp = np.empty((len(states), width), np.float32)
+
+    def up(labels: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """(state of the longest proper suffix, code of the symbol before it) of contexts of one depth."""
+        c = labels & np.uint64((1 << 56) - 1)
+        short = (c & np.uint64((1 << (8 * (depth - 1))) - 1)) | np.uint64((depth - 1) << 56)
+        return np.searchsorted(states, short), code[(c >> np.uint64(8 * (depth - 1))).astype(np.int64)]
+
+    m, below, first_below = settings.smoothing, None, 0
+    for depth in range(settings.depth + 1):
+        a, z = np.searchsorted(states, [np.uint64(depth << 56), np.uint64((depth + 1) << 56)])
+        mine = d == depth
+        table = np.zeros((z - a, width))
+        np.add.at(table, (at[mine] - a, code[x[mine]]), n[mine])
+        if depth == 0:
+            base = np.full((1, width), 1 / 256)
         else:
-            up = number[(a - 1, c & ((1 << (8 * (a - 1))) - 1))]
-            child[up, code[c >> (8 * (a - 1))]] = i
-            below = p[up]
-        p[i] = (table[i] + m * below) / (total + m)
-    return Tree(code, child, np.log10(p).astype(np.float32), settings.depth)
-
-
-def symbol_scores(data: np.ndarray, n: int, tree: Tree) -> np.ndarray:
-    """log10 probability of each symbol but the first, in the state of its longest suffix."""
+            parent, symbol = up(states[a:z], depth)
+            child[parent, symbol] = np.arange(a, z)
+            base = below[parent - first_below]
+        below, first_below = (table + m * base) / (table.sum(1, keepdims=True) + m), a
+        logp[a:z] = np.log10(below)
+        more = _column(deeper, "d") == depth
+        if depth and more.any():
+            found = _column(deeper, "ctx")[more].astype(np.uint64) | np.uint64(depth << 56)
+            parent, symbol = up(found, depth)
+            child[parent, symbol] = DEEPER
+    return Tree(code, child, logp, settings.depth)
+
+
+def walk(data: np.ndarray, n: int, tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores of the symbols, the positions with a state beyond the tree, and the depth they reached in it.
+
+    Score i is the log10 probability of symbol i + 1 in the state of its longest suffix within the tree.
+    """
     out = np.empty(n - 1)
     codes = tree.code[data[:n]]
     width = tree.child.shape[1]
     child = tree.child.ravel()
     flat = tree.logp.ravel()
+    beyond, depths = [], []
     for a in range(1, n, _CHUNK):
         z = min(n, a + _CHUNK)
         state = np.zeros(z - a, np.int64)
@@ -249,11 +281,30 @@ def symbol_scores(data: np.ndarray, n: int, tree: Tree) -> np.ndarray:
             if a - k < 0:
                 live, at = live[at >= 0], at[at >= 0]
             after = child[state[live] * width + codes[at]]
+            off = live[after == DEEPER]
+            beyond.append(off + a)
+            depths.append(np.full(len(off), k - 1))
             go = after >= 0
             live = live[go]
             state[live] = after[go]
         out[a - 1:z - 1] = flat[state * width + codes[a:z]]
-    return out
+    none = np.zeros(0, np.int64)
+    return out, np.concatenate([none, *beyond]), np.concatenate([none, *depths])
+
+
+def symbol_scores(data: np.ndarray, n: int, tree: Tree) -> np.ndarray:
+    """log10 probability of each symbol but the first, in the state of its longest suffix within the tree."""
+    return walk(data, n, tree)[0]
+
+
+def grams_at(data: np.ndarray, at: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
+    """Keys as those of ``grams``, of the symbols at some positions; ``ends``: positions of all line feeds."""
+    begin = ends[np.searchsorted(ends, at) - 1]
+    keys = np.maximum(data[at], 1).astype(np.uint64)
+    for k in range(1, depth + 1):
+        there = at - k >= begin
+        keys[there] |= np.maximum(data[at[there] - k], 1).astype(np.uint64) << np.uint64(8 * k)
+    return keys
 
 
 @dataclass
@@ -283,6 +334,8 @@ class Heavy:
 
 @dataclass
 class Model:
+    """What the tasks hold."""
+
     tree: Tree
     heavy: Heavy
     end_count: int
@@ -293,25 +346,35 @@ class Model:
         return np.log10((count + 0.1) / (self.tokens + 0.1 * (self.distinct + 1)))
 
 
-def frequent(word_counts: DataFrame, most: int) -> DataFrame:
-    """The words above a count that at most ``most`` words exceed.
+@dataclass
+class Tables:
+    """What grows with the corpus: ``words`` (key, n), the deeper states (d, ctx, total) and their next symbols (d, ctx, x, n)."""
+
+    words: DataFrame
+    states: DataFrame
+    symbols: DataFrame
+    settings: Settings
+
+
+def frequent(counts: DataFrame, most: int, n: str = "n") -> DataFrame:
+    """The rows above a count that at most ``most`` rows exceed.
 
     The count comes from a histogram of the counts' logarithms (a few hundred
-    rows), so no task sorts or gathers the vocabulary.
+    rows), so no task sorts or gathers the rows.
     """
-    step = F.floor(F.log2("n") * 8).cast("int")
-    sizes = sorted(word_counts.groupBy(step.alias("step")).count().collect(), reverse=True)
+    step = F.floor(F.log2(n) * 8).cast("int")
+    sizes = sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True)
     cut, total = None, 0
     for row in sizes:
         total += row["count"]
         if total > most:
             cut = row["step"]
             break
-    return word_counts if cut is None else word_counts.filter(step > F.lit(cut))
+    return counts if cut is None else counts.filter(step > F.lit(cut))
 
 
-def fit(train: DataFrame, scratch: Scratch, settings: Settings = Settings()) -> tuple[Model, DataFrame]:
-    """The model and the table ``key, n`` of all training words."""
+def fit(train: DataFrame, scratch: Scratch, settings: Settings = Settings()) -> tuple[Model, Tables]:
+    """The model that the tasks hold, and the tables of all training words and deeper states."""
     counts = scratch.write(training_counts(train, settings), "counts")
     word_counts = counts.filter((F.col("kind") == WORD) & (F.col("n") > 0)).select("key", "n")
     sums = word_counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("kinds"),
@@ -319,11 +382,43 @@ def fit(train: DataFrame, scratch: Scratch, settings: Settings = Settings()) ->
     heavy = frequent(word_counts.filter("key <> 0"), settings.heavy_words).toArrow()
     heavy = Heavy.of(np.asarray(heavy.column("key")).view(np.uint64), np.asarray(heavy.column("n")))
     rows = scratch.write(tree_rows(counts, settings), "tree")
-    tree = build_tree(rows.select("d", "ctx", "x", "n").toArrow(), retained(rows, settings).toArrow(), settings)
-    return Model(tree, heavy, int(sums["ends"]), int(sums["tokens"]), int(sums["kinds"])), word_counts
+    states = scratch.write(states_of(rows, settings), "states")
+    # a suffix is as frequent as its contexts or more, so the top is closed under suffixes
+    top = scratch.write(frequent(states, settings.top_states, "total").select("d", "ctx"), "top")
+    deep = scratch.write(states.join(top, ["d", "ctx"], "left_anti"), "deep")
+    symbols = scratch.write(rows.join(deep, ["d", "ctx"], "left_semi").select("d", "ctx", "x", "n"), "symbols")
+    inner = rows.filter("d = 0").unionByName(rows.join(top, ["d", "ctx"], "left_semi")).select("d", "ctx", "x", "n")
+    # one row at most per state and symbol of the top
+    shorter = F.element_at(F.array(*[F.lit(m).cast("long") for m in _masks(settings)]), F.col("d"))
+    above = top.select(F.col("d").alias("pd"), F.col("ctx").alias("pctx"))
+    edge = deep.withColumn("pd", F.col("d") - 1).withColumn("pctx", F.col("ctx").bitwiseAND(shorter))
+    edge = edge.filter("pd = 0").select("d", "ctx").unionByName(edge.join(above, ["pd", "pctx"], "left_semi").select("d", "ctx"))
+    tree = build_tree(inner.toArrow(), edge.toArrow(), settings)
+    model = Model(tree, heavy, int(sums["ends"]), int(sums["tokens"]), int(sums["kinds"]))
+    return model, Tables(word_counts, deep, symbols, settings)
+
+
+def deeper_scores(found: DataFrame, tables: Tables) -> DataFrame:
+    """``gram, logp``: log10 probability of each distinct (context, symbol) whose state is in the tables.
+
+    ``found``: ``gram, reached, base``, the depth and the log10 probability it has in the tasks' tree.
+    """
+    settings, mask = tables.settings, _masks(tables.settings)
+    grams = found.groupBy("gram").agg(F.max("reached").alias("reached"), F.max("base").alias("base"))
+    full = F.shiftrightunsigned("gram", 8)
+    chain = F.filter(F.array(*[F.struct(F.lit(d).alias("d"), full.bitwiseAND(mask[d]).alias("ctx"))
+                               for d in range(1, settings.depth + 1)]), lambda s: s["d"] > F.col("reached"))
+    links = grams.select("gram", "base", F.col("gram").bitwiseAND(255).cast("int").alias("x"), F.explode(chain).alias("s")) \
+        .select("gram", "base", "x", "s.d", "s.ctx")
+    links = links.join(tables.states, ["d", "ctx"]).join(tables.symbols, ["d", "ctx", "x"], "left")
+    links = links.groupBy("gram", "base").agg(F.sort_array(F.collect_list(  # at most one link per depth
+        F.struct("d", F.coalesce("n", F.lit(0)).cast("double").alias("n"), F.col("total").cast("double").alias("total")))).alias("links"))
+    m = settings.smoothing
+    p = F.aggregate("links", F.pow(F.lit(10.0), F.col("base")), lambda below, s: (s["n"] + below * m) / (s["total"] + m))
+    return links.select("gram", F.log10(p).alias("logp"))
 
 
-def score(df: DataFrame, model: Model, word_counts: DataFrame, scratch: Scratch) -> DataFrame:
+def score(df: DataFrame, model: Model, tables: Tables, scratch: Scratch) -> DataFrame:
     """doc_id, row_key, n_tokens, n_known, train_tokens, base_score and score of each row (doc_id and text)."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     rows = df.select("doc_id", row_key().alias("row_key"), "text")
@@ -338,13 +433,27 @@ def score(df: DataFrame, model: Model, word_counts: DataFrame, scratch: Scratch)
             h, doc = word_hashes(data, n)
             found, count = m.heavy.find(h)
             ends = np.flatnonzero(data[:n] == END)
-            symbols = symbol_scores(data, n, m.tree)
-            yield pa.record_batch({
+            symbols, at, reached = walk(data, n, m.tree)
+            keys, base = grams_at(data, at, ends, m.tree.depth), symbols[at - 1]
+            symbols[at - 1] = 0
+            texts = {
                 "doc_id": b.column("doc_id"), "row_key": b.column("row_key"),
                 "n_tokens": np.bincount(doc, minlength=b.num_rows) + 1,
                 "heavy": np.bincount(doc[found], minlength=b.num_rows) + int(m.end_count > 0),
                 "heavy_score": np.bincount(doc[found], m.base_log(count[found]), minlength=b.num_rows) + end_score,
-                "score": np.add.reduceat(symbols, ends[:-1])})
+                "score": np.add.reduceat(symbols, ends[:-1])}
+            text = np.searchsorted(ends, at) - 1
+            order = np.lexsort((keys, text))
+            text, keys, base, reached = text[order], keys[order], base[order], reached[order]
+            first = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (keys[1:] != keys[:-1])))) \
+                if len(at) else np.zeros(0, np.int64)
+            left = {"row_key": np.asarray(b.column("row_key"))[text[first]], "gram": keys[first].view(np.int64),
+                    "times": np.diff(np.append(first, len(at))), "reached": reached[first].astype(np.int32), "base": base[first]}
+            types = {"doc_id": b.schema.field("doc_id").type, "row_key": pa.int64(), "n_tokens": pa.int64(), "heavy": pa.int64(),
+                     "heavy_score": pa.float64(), "score": pa.float64(), "gram": pa.int64(), "times": pa.int64(),
+                     "reached": pa.int32(), "base": pa.float64()}
+            for part, size in ((texts, b.num_rows), (left, len(first))):
+                yield pa.record_batch({c: part.get(c, pa.nulls(size, t)) for c, t in types.items()})
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -353,18 +462,24 @@ def score(df: DataFrame, model: Model, word_counts: DataFrame, scratch: Scratch)
             h, doc = word_hashes(data, len(data) - B.PAD)
             left = ~m.heavy.find(h)[0]
             yield pa.record_batch({"row_key": np.asarray(b.column("row_key"))[doc[left]], "key": h[left].view(np.int64)})
-    main = scratch.write(rows.mapInArrow(
-        scored, f"doc_id {id_type}, row_key long, n_tokens long, heavy long, heavy_score double, score double"), "scored")
+    both = scratch.write(rows.mapInArrow(
+        scored, f"doc_id {id_type}, row_key long, n_tokens long, heavy long, heavy_score double, score double, "
+        "gram long, times long, reached int, base double"), "scored")
+    main = both.filter("gram is null").select("doc_id", "row_key", "n_tokens", "heavy", "heavy_score", "score")
+    found = both.filter("gram is not null").select("row_key", "gram", "times", "reached", "base")
+    logs = scratch.write(deeper_scores(found, tables), "deeper")
+    deep = found.join(logs, "gram").groupBy("row_key").agg(F.sum(F.col("times") * F.col("logp")).alias("deep_score"))
     tail = rows.select("row_key", "text").mapInArrow(rare, "row_key long, key long")
-    tail = tail.join(word_counts, "key", "left").select("row_key", F.coalesce("n", F.lit(0)).alias("n"))
+    tail = tail.join(tables.words, "key", "left").select("row_key", F.coalesce("n", F.lit(0)).alias("n"))
     base = F.log10((F.col("n") + 0.1) / F.lit(model.tokens + 0.1 * (model.distinct + 1)))
     tail = tail.groupBy("row_key").agg(F.sum(base).alias("rare_score"),
                                        F.sum((F.col("n") > 0).cast("long")).alias("rare"))
     # equal rows share their key: each has its share of the sums
     same = main.groupBy("row_key").agg(F.count(F.lit(1)).alias("same"))
-    tail = tail.join(same, "row_key")
+    tail = tail.join(deep, "row_key", "full").join(same, "row_key")
+    part = lambda c, zero: F.coalesce(F.col(c) / F.col("same"), F.lit(zero))
     return main.join(tail, "row_key", "left").select(
-        "doc_id", "row_key", "n_tokens",
-        (F.col("heavy") + F.coalesce(F.col("rare") / F.col("same"), F.lit(0)).cast("long")).alias("n_known"),
+        "doc_id", "row_key", "n_tokens", (F.col("heavy") + part("rare", 0).cast("long")).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("heavy_score") + F.coalesce(F.col("rare_score") / F.col("same"), F.lit(0.0))).alias("base_score"), "score")
+        (F.col("heavy_score") + part("rare_score", 0.0)).alias("base_score"),
+        (F.col("score") + part("deep_score", 0.0)).alias("score"))

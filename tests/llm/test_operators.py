@@ -136,6 +136,56 @@ def test_op2_tree_is_a_distribution_and_uses_longest_suffix(spark, given):
         assert got[t - 1] == tree.logp[state, tree.code[data[t]]]
 
 
+def plain_tree(texts, settings):
+    """(states, probability of a symbol after a context) by dictionaries over all contexts."""
+    norm = [b"\n" + b" ".join((t or "").encode().lower().split()) + b"\n" for t in texts]
+    seen = {}
+    for t in norm:
+        for i in range(1, len(t)):
+            for d in range(min(i, settings.depth) + 1):
+                after = seen.setdefault(t[i - d:i], {})
+                after[t[i]] = after.get(t[i], 0) + 1
+    often = {c for c, after in seen.items() if not c or sum(after.values()) >= settings.least_count}
+    states = {b""}
+    for c in often - {b""}:
+        n, up = sum(seen[c].values()), seen[c[1:]]
+        gain = sum(k * np.log((k / n) / (up[x] / sum(up.values()))) for x, k in seen[c].items())
+        # sums of equal shares may end a rounding above or below the bound 0
+        if gain > 0.5 * (len(seen[c]) - 1) * np.log(n):
+            states |= {c[i:] for i in range(len(c))}
+
+    def p(c, x):
+        below = p(c[1:], x) if c else 1 / 256
+        return (seen.get(c, {}).get(x, 0) + settings.smoothing * below) / (sum(seen.get(c, {}).values()) + settings.smoothing)
+
+    def log10(t):
+        total = 0.0
+        for i in range(1, len(t)):
+            d = max(d for d in range(min(i, settings.depth) + 1) if t[i - d:i] in states)
+            total += np.log10(p(t[i - d:i], t[i]))
+        return total
+    return states, [log10(t) for t in norm]
+
+
+@pytest.mark.parametrize("top", [1, 40, 1 << 16])
+def test_op2_equals_plain_tree_wherever_its_states_lie(spark, given, top):
+    """States and scores against dictionaries, with all but a few states in the joined tables, and with none."""
+    from abode.llm.common import Scratch
+    texts = [t if t is None else t[:3000] for _, t in given[:40]] + [None, "", "q", "q", "aaaaaaaaaaaaaaaaaaaa"]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc_id long, text string").repartition(3)
+    settings = suffix_tree.Settings(depth=4, top_states=top, heavy_words=20)
+    scratch = Scratch(spark, "test")
+    model, tables = suffix_tree.fit(docs, scratch, settings)
+    states, want = plain_tree([*texts, texts[0]], settings)
+    deep = tables.states.count()
+    assert abs(model.tree.states + deep - len(states)) <= 0.002 * len(states)  # rounding at the bound of the test
+    assert (deep > 500) == (top < 100) and model.tree.states <= top + 1
+    got = suffix_tree.score(docs, model, tables, scratch).collect()
+    assert len(got) == len(texts) + 1
+    for r in got:
+        assert np.isclose(r["score"], want[r["doc_id"]], rtol=2e-4), (r["doc_id"], r["score"], want[r["doc_id"]])
+
+
 def test_op2_beats_unigrams_on_held_out(spark):
     rows = [r for r in Q.op2_suffix_tree_score(spark, "/root/testdata/sf0.1").collect() if r["held_out"]]
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
