@@ -13,9 +13,10 @@ the window. Rarity is how often a word occurs in all texts, ties by the word.
    text (length bound).
 4. Verify the candidates word by word.
 
-The index is broadcast in blocks of at most ``block_words`` window words, a
-fixed bound; all blocks are held by one pass over the texts, so a task's memory grows
-with the benchmark.
+The index is broadcast in blocks of about ``block_words`` window words (an item is never
+split). A benchmark of one block is searched in one pass over the texts. A larger one takes a
+pass per block, which writes the hits of the texts that have any; a task never holds
+more than one block. The hits are then united by the text's md5 and joined to the texts.
 
 Defined cases: null texts have no words and hold nothing, null items have no
 windows. Repeated items and repeated rows count like any other; an item id with
@@ -30,6 +31,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -181,6 +184,48 @@ def _blocks(df: DataFrame, key: str, most: int) -> Iterator[DataFrame]:
         yield df.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == k)
 
 
+_SPANS = pa.list_(pa.struct([("first", pa.int32()), ("stop", pa.int32())]))
+_HITS = "spans array<struct<first:int,stop:int>>, items array<string>"
+
+
+def mark_hits(data: np.ndarray, w: B.Words, index: Index, change: np.ndarray, found: list[set[str]]) -> None:
+    """Adds the block's windows to ``change`` (by word: windows that start less those that have ended) and their items to ``found``."""
+    if not len(w.doc):
+        return
+    number = _numbers(data, w, index.vocabulary, index.hashes)
+    which, start = find_windows(number, w.doc, index)
+    np.add.at(change, start, 1)
+    np.add.at(change, start + index.length[which], -1)
+    for d, i in set(zip(w.doc[start].tolist(), index.item[which].tolist())):
+        found[d].add(index.items[i])
+
+
+def hit_columns(w: B.Words, n: int, change: np.ndarray, found: list[set[str]]) -> dict[str, pa.Array]:
+    """n_words, n_hit, spans and items of each text of a slice."""
+    hit = np.cumsum(change)[:-1] > 0
+    first_word = np.searchsorted(w.doc, np.arange(n))
+    runs = B.find_words(hit, np.append(first_word, len(hit)))
+    spans: list[list[dict[str, int]]] = [[] for _ in range(n)]
+    for d, a, z in zip(runs.doc.tolist(), runs.start.tolist(), runs.end.tolist()):
+        spans[d].append({"first": a - int(first_word[d]), "stop": z - int(first_word[d])})
+    return {"n_words": pa.array(np.bincount(w.doc, minlength=n)), "n_hit": pa.array(np.bincount(w.doc[hit], minlength=n)),
+            "spans": pa.array(spans, _SPANS), "items": pa.array([sorted(f) for f in found], pa.list_(pa.string()))}
+
+
+def block_hits(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    """``text_key, spans, items`` of each different text that holds windows of one block."""
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in B.slices(batches, "text", _SLICE):
+            data, w, n = words_of(b.column("text"))
+            change, found = np.zeros(len(w.doc) + 1, np.int32), [set() for _ in range(n)]
+            mark_hits(data, w, shared.value, change, found)
+            made = hit_columns(w, n, change, found)
+            rows = pa.RecordBatch.from_pydict({"text_key": b.column("text_key"), "spans": made["spans"], "items": made["items"]})
+            yield rows.filter(pc.greater(made["n_hit"], 0))
+    hits = docs.select(F.md5("text").alias("text_key"), "text").mapInArrow(search, f"text_key string, {_HITS}")
+    return hits.groupBy("text_key").agg(F.first("spans").alias("spans"), F.first("items").alias("items"))
+
+
 def contaminated_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW,
                        block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with n_words, n_hit, spans (first and end word of each run of hit words) and items."""
@@ -188,43 +233,62 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     scratch = Scratch(spark, "set-join")
     windows = scratch.write(item_windows(items, window), "windows")
     frequency = scratch.write(word_frequency(docs, windows), "frequency")
-    sized = windows.withColumn("n", F.size("tokens"))
-    indexes = []
-    for block in _blocks(sized, "item", block_words):
+    blocks = list(_blocks(windows.withColumn("n", F.size("tokens")), "item", block_words))
+
+    def index_of(block: DataFrame) -> Broadcast | None:
         rows = [(r["item"], list(r["tokens"])) for r in block.select("item", "tokens").collect()]
         used = block.select(F.explode("tokens").alias("word")).distinct()
         counts = {r["word"]: r["n"] for r in frequency.join(used, "word").collect()}
-        if rows:
-            indexes.append(spark.sparkContext.broadcast(build_index(rows, counts)))
+        return spark.sparkContext.broadcast(build_index(rows, counts)) if rows else None
     names = ["n_words", "n_hit", "spans", "items"]
     docs = docs.drop(*names)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    types = "n_words long, n_hit long, spans array<struct<first:int,stop:int>>, items array<string>"
+    types = f"{fields}, n_words long, n_hit long, {_HITS}"
+    columns = docs.columns
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def with_hits(b: pa.RecordBatch, w: B.Words, change: np.ndarray, found: list[set[str]]) -> pa.RecordBatch:
+        made = hit_columns(w, b.num_rows, change, found)
+        return pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], *[made[c] for c in names]], [*columns, *names])
+
+    if len(blocks) <= 1:
+        shared = index_of(blocks[0]) if blocks else None
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in B.slices(batches, "text", _SLICE):
+                data, w, n = words_of(b.column("text"))
+                change, found = np.zeros(len(w.doc) + 1, np.int32), [set() for _ in range(n)]
+                if shared is not None:
+                    mark_hits(data, w, shared.value, change, found)
+                yield with_hits(b, w, change, found)
+        return docs.mapInArrow(search, types)
+
+    hits = None
+    for k, block in enumerate(blocks):
+        shared = index_of(block)
+        if shared is not None:
+            one = scratch.write(block_hits(docs, shared), f"hits-{k}")
+            shared.destroy()
+            hits = one if hits is None else hits.unionByName(one)
+    key, spans, held = (_free(docs, c) for c in ("text_key", "text_spans", "text_items"))
+    hits = hits.groupBy(F.col("text_key").alias(key)).agg(  # one row at most per text and block
+        F.flatten(F.collect_list("spans")).alias(spans), F.array_distinct(F.flatten(F.collect_list("items"))).alias(held))
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in B.slices(batches, "text", _SLICE):
-            data, w, n = words_of(b.column("text"))
-            change = np.zeros(len(w.doc) + 1, np.int32)
-            found: list[set[str]] = [set() for _ in range(n)]
-            for shared in indexes:
-                index = shared.value
-                if not len(w.doc):
-                    break
-                number = _numbers(data, w, index.vocabulary, index.hashes)
-                which, start = find_windows(number, w.doc, index)
-                np.add.at(change, start, 1)
-                np.add.at(change, start + index.length[which], -1)
-                for d, i in set(zip(w.doc[start].tolist(), index.item[which].tolist())):
-                    found[d].add(index.items[i])
-            hit = np.cumsum(change)[:-1] > 0
+            _, w, n = words_of(b.column("text"))
             first_word = np.searchsorted(w.doc, np.arange(n))
-            runs = B.find_words(hit, np.append(first_word, len(hit)))
-            spans: list[list[dict[str, int]]] = [[] for _ in range(n)]
-            for d, a, z in zip(runs.doc.tolist(), runs.start.tolist(), runs.end.tolist()):
-                spans[d].append({"first": a - int(first_word[d]), "stop": z - int(first_word[d])})
-            made = [np.bincount(w.doc, minlength=n), np.bincount(w.doc[hit], minlength=n),
-                    pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("stop", pa.int32())]))),
-                    pa.array([sorted(f) for f in found], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(x) if isinstance(x, np.ndarray) else x for x in made]],
-                                             [*b.schema.names, *names])
-    return docs.mapInArrow(search, f"{fields}, {types}")
+            change = np.zeros(len(w.doc) + 1, np.int32)
+            for d, runs in enumerate(b.column(spans).to_pylist()):
+                for run in runs or ():
+                    change[first_word[d] + run["first"]] += 1
+                    change[first_word[d] + run["stop"]] -= 1
+            yield with_hits(b, w, change, [set(x or ()) for x in b.column(held).to_pylist()])
+    return docs.withColumn(key, F.md5("text")).join(hits, key, "left").mapInArrow(unite, types)
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name

@@ -510,3 +510,24 @@ def test_op10_blocks_change_nothing(spark):
     many = set_join.contaminated_spans(docs, items, block_words=2_000).select("doc_id", "n_hit", "items", "spans").collect()
     check([(r["doc_id"], r["n_hit"], tuple(r["items"]), str(r["spans"])) for r in one],
           [(r["doc_id"], r["n_hit"], tuple(sorted(r["items"])), str(r["spans"])) for r in many])
+
+
+def test_op10_pass_per_block_unites_hits(spark, monkeypatch):
+    """Texts with windows of several blocks, copies, nulls, clashing columns; no task holds two blocks' indexes."""
+    words = [f"w{i}" for i in range(400)]
+    items = [(f"i{k}", " ".join(words[k * 10:k * 10 + 14])) for k in range(30)]
+    texts = [" ".join(words), " ".join(words[5:40]), " ".join(words[35:47] + ["x"] + words[100:110]), None, "", "w1 w2"]
+    rows = [(i, t, "mine", "mine") for i, t in enumerate(texts * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_key string, text_spans string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    sizes = []
+    build = set_join.build_index
+    monkeypatch.setattr(set_join, "build_index", lambda r, f: sizes.append(sum(len(ws) for _, ws in r)) or build(r, f))
+    one = sorted(map(repr, set_join.contaminated_spans(docs, bench).collect()))
+    assert len(sizes) == 1
+    many = sorted(map(repr, set_join.contaminated_spans(docs, bench, block_words=200).collect()))
+    assert one == many and len(one) == len(rows)
+    assert len(sizes) > 4 and max(sizes[1:]) < sizes[0] / 2
+    got = {r["doc_id"]: r for r in set_join.contaminated_spans(docs, bench, block_words=200).collect()}
+    assert got[0]["n_hit"] == 304 and len(got[0]["items"]) == 30 and got[3]["n_hit"] == got[5]["n_hit"] == 0
+    assert got[0]["text_key"] == got[0]["text_spans"] == "mine"
