@@ -154,12 +154,12 @@ class RidgeModel:
 
 def terms(x: np.ndarray, exps: np.ndarray) -> np.ndarray:
     """All monomials of the rows of ``x``: one column per row of exponents."""
-    z = np.ones((len(x), len(exps)))
+    z = np.ones((len(exps), len(x)))  # a term's values lie side by side
     for i in range(x.shape[1]):
         powers = exps[:, i]
         for k in range(1, int(powers.max(initial=0)) + 1):
-            z[:, powers >= k] *= x[:, [i]]
-    return z
+            z[powers >= k] *= x[:, i]
+    return z.T
 
 
 def fold_factors(train: DataFrame, inputs: list[str], exps: list[tuple[int, ...]], shift: np.ndarray, scale: np.ndarray,

@@ -15,7 +15,11 @@ standardised, gives the solution for every penalty.
 
 from __future__ import annotations
 
+import ctypes
+import glob
+import os
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -29,6 +33,24 @@ _ROWS = 2048
 _FACTOR = "fold int, part long, factor binary"
 
 
+@cache
+def one_thread() -> bool:
+    """Let this process's OpenBLAS compute on its caller's thread; False if numpy has no such library.
+
+    A task has one core. The threads of several tasks would only wait for each other, at many times the CPU time.
+    """
+    done = False
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__), "..", "numpy.libs", "*openblas*")):
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_",
+                     "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                done = True
+                break
+    return done
+
+
 def stacked_factor(parts: list[np.ndarray]) -> np.ndarray:
     """R of the rows of all parts, square whatever their number."""
     a = np.concatenate(parts)
@@ -53,6 +75,7 @@ def task_factors(rows: DataFrame, design: Callable[[pd.DataFrame], np.ndarray])
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
+        one_thread()
         held: dict[int, list[np.ndarray]] = {}
         for pdf in batches:
             folds = pdf["fold"].to_numpy()
@@ -74,6 +97,7 @@ def merged_factors(factors: DataFrame, width: int) -> dict[int, np.ndarray]:
     spark, base, level = factors.sparkSession, scratch_path(factors.sparkSession, "factors"), 0
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        one_thread()
         pdf = pdf.sort_values("part")
         r = stacked_factor([_unpacked(x, width) for x in pdf["factor"]])
         return pd.DataFrame({"fold": pdf["fold"].iloc[:1], "part": pdf["part"].iloc[:1] // FAN_IN, "factor": [_packed(r)]})

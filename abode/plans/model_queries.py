@@ -27,7 +27,10 @@ SAMPLE_ROWS = [  # (area, bedrooms, bathrooms, floors, width) - the fixed sample
 
 def training(t) -> DataFrame:
     """Listings with a numeric price and all five inputs, tagged with split/fold."""
-    l = t.listings
+    return _numeric(t.listings)
+
+
+def _numeric(l: DataFrame) -> DataFrame:
     cond = F.col("price_vnd").isNotNull()
     for c in TRAIN_FEATURES:
         cond = cond & F.col(c).isNotNull()
@@ -37,13 +40,21 @@ def training(t) -> DataFrame:
 
 
 def _train_test(spark, sf_dir):
-    d = training(T(spark, sf_dir))
+    """Training and test rows, read from a written table: a fit goes over them more than once, and cleaning costs most.
+
+    The numbers are written before the filters, which would be pushed below the cleaning and clean each value again.
+    """
+    numbers = T(spark, sf_dir).listings.select("house_id", *TRAIN_FEATURES, "price_vnd")
+    path = scratch_path(spark, "training")
+    numbers.write.parquet(path)
+    d = _numeric(spark.read.schema(numbers.schema).parquet(path))
     return d.filter(~F.col("is_test")), d.filter(F.col("is_test"))
 
 
 def _fitted(spark, sf_dir, inputs: tuple, degree: int, alpha):
-    tr, _ = _train_test(spark, sf_dir)
-    return M.fit(tr, list(inputs), degree, alpha=alpha)
+    """The model, and the training and test rows."""
+    tr, te = _train_test(spark, sf_dir)
+    return M.fit(tr, list(inputs), degree, alpha=alpha), tr, te
 
 
 def _r(c, n=6):
@@ -77,10 +88,9 @@ def q_ml_scale(spark, sf_dir):
 
 @query("ml_ridge_fit")
 def q_ml_ridge_fit(spark, sf_dir):
-    m = _fitted(spark, sf_dir, tuple(ONE_INPUT), 1, RIDGE_ALPHA)
+    m, tr, _ = _fitted(spark, sf_dir, tuple(ONE_INPUT), 1, RIDGE_ALPHA)
     slope = m.coefficients()[0]
     intercept = m.beta0 - m.beta[0] * m.center[0] / m.scale[0]
-    tr, _ = _train_test(spark, sf_dir)
     # One row per fit, derived from the training data it was fitted on.
     return tr.agg(F.count(F.lit(1)).alias("n_train")).select(
         F.lit(m.alpha).alias("alpha"), F.round(F.lit(slope), 8).alias("slope"),
@@ -95,25 +105,24 @@ def _cv_frame(spark, model) -> DataFrame:
 
 @query("ml_grid_search")
 def q_ml_grid_search(spark, sf_dir):
-    return _cv_frame(spark, _fitted(spark, sf_dir, tuple(ONE_INPUT), 1, None))
+    return _cv_frame(spark, _fitted(spark, sf_dir, tuple(ONE_INPUT), 1, None)[0])
 
 
 @query("ml_evaluate")
 def q_ml_evaluate(spark, sf_dir):
-    m = _fitted(spark, sf_dir, tuple(ONE_INPUT), 1, None)
-    _, te = _train_test(spark, sf_dir)
+    m, _, te = _fitted(spark, sf_dir, tuple(ONE_INPUT), 1, None)
     ev = M.evaluate(m.transform(te))
     return ev.select("n_test", _r("mse"), _r("rmse"), _r("r2"), _r("mape_pct"), "n_zero_price_skipped")
 
 
 @query("ml_grid_search_poly5")
 def q_ml_grid_search_poly5(spark, sf_dir):
-    return _cv_frame(spark, _fitted(spark, sf_dir, tuple(M.INPUTS), 5, None))
+    return _cv_frame(spark, _fitted(spark, sf_dir, tuple(M.INPUTS), 5, None)[0])
 
 
 @query("ml_ridge_fit_poly5")
 def q_ml_ridge_fit_poly5(spark, sf_dir):
-    m = _fitted(spark, sf_dir, tuple(M.INPUTS), 5, None)
+    m, _, _ = _fitted(spark, sf_dir, tuple(M.INPUTS), 5, None)
     names = M.term_names(m.inputs, [tuple(e) for e in m.exponents])
     rows = [(n, float(c)) for n, c in zip(names, m.coefficients())]
     return spark.createDataFrame(rows, "term string, coefficient double")
@@ -121,14 +130,13 @@ def q_ml_ridge_fit_poly5(spark, sf_dir):
 
 @query("ml_evaluate_poly5")
 def q_ml_evaluate_poly5(spark, sf_dir):
-    m = _fitted(spark, sf_dir, tuple(M.INPUTS), 5, None)
-    _, te = _train_test(spark, sf_dir)
+    m, _, te = _fitted(spark, sf_dir, tuple(M.INPUTS), 5, None)
     return M.evaluate(m.transform(te))
 
 
 def _batch_predict(spark, sf_dir, inputs, degree):
     """Predictions for all listings; those without an input keep their row with a null prediction."""
-    m = _fitted(spark, sf_dir, tuple(inputs), degree, None)
+    m, _, _ = _fitted(spark, sf_dir, tuple(inputs), degree, None)
     l = T(spark, sf_dir).listings.select("house_id", *[F.col(c).cast("double").alias(c) for c in TRAIN_FEATURES])
     return m.transform(l).select("house_id", F.round("prediction", 2).alias("prediction"))
 
@@ -144,7 +152,7 @@ def q_ml_batch_predict_poly5(spark, sf_dir):
 
 
 def _sample_predict(spark, sf_dir, inputs, degree):
-    m = _fitted(spark, sf_dir, tuple(inputs), degree, None)
+    m, _, _ = _fitted(spark, sf_dir, tuple(inputs), degree, None)
     s = spark.createDataFrame([tuple(float(v) for v in r) for r in SAMPLE_ROWS],
                               "area double, bedrooms double, bathrooms double, floors double, width_meters double")
     out = m.transform(s).withColumn("prediction", F.round("prediction", 2))
@@ -162,7 +170,7 @@ def q_ml_sample_predict_poly5(spark, sf_dir):
 
 
 def _importance(spark, sf_dir, inputs, degree):
-    m = _fitted(spark, sf_dir, tuple(inputs), degree, None)
+    m, _, _ = _fitted(spark, sf_dir, tuple(inputs), degree, None)
     names = M.term_names(m.inputs, [tuple(e) for e in m.exponents])
     rows = [(n, abs(c * s)) for n, c, s in zip(names, m.coefficients(), m.term_sigma)]
     df = spark.createDataFrame(rows, "term string, importance double")
@@ -180,11 +188,10 @@ def q_ml_top10_importance_poly5(spark, sf_dir):
 
 
 def _save_load(spark, sf_dir, inputs, degree):
-    m = _fitted(spark, sf_dir, tuple(inputs), degree, None)
+    m, _, te = _fitted(spark, sf_dir, tuple(inputs), degree, None)
     path = scratch_path(spark, "price_model")
     m.save(spark, path)
     loaded = M.RidgeModel.load(spark, path)
-    _, te = _train_test(spark, sf_dir)
     both = loaded.transform(m.transform(te, "before"), "after")
     return both.select("house_id", F.round("before", 2).alias("before"), F.round("after", 2).alias("after"),
                        (F.col("before") == F.col("after")).alias("same"))

@@ -1,5 +1,6 @@
 """Ridge from per-fold QR factors against a direct numpy solve."""
 import numpy as np
+import pytest
 
 from abode.operators import model as M
 from abode.plans.model_queries import _train_test
@@ -101,3 +102,38 @@ def test_factors_merge_over_several_levels(spark):
     for f in (0, 1):
         part = a[f::2]
         assert np.allclose(factors[f].T @ factors[f], part.T @ part)
+
+
+def test_a_fit_cleans_the_listings_once(spark, monkeypatch):
+    """The training rows are read from a written table, not derived again by each pass over them."""
+    from abode.plans import model_queries as Q
+    seen = []
+    fit = Q.M.fit
+    monkeypatch.setattr(Q.M, "fit", lambda train, *a, **k: seen.append(train) or fit(train, *a, **k))
+    SF = "/root/testdata/sf0.001"
+    Q.q_model_save_load(spark, SF).collect()
+    files = seen[0].inputFiles()
+    assert files and not any("orders" in f or "customer" in f for f in files)
+    direct = Q.training(Q.T(spark, SF)).filter("not is_test")
+    assert sorted(map(tuple, seen[0].collect())) == sorted(map(tuple, direct.collect())) and direct.count() > 0
+
+
+def test_factors_are_computed_on_one_thread(spark):
+    """A task's factors take the CPU time of one core: no library threads beside the tasks' own."""
+    import time
+
+    import numpy as np
+    from abode.operators import tsqr
+    if not tsqr.one_thread():
+        pytest.skip("numpy without OpenBLAS")
+
+    def design(pdf):
+        a = np.random.default_rng(7).random((2048, 253))
+        wall, cpu = time.perf_counter(), time.process_time()
+        for _ in range(20):
+            tsqr.stacked_factor([a])
+        # one row, whose factor is that row up to its sign: the cores used
+        return np.full((len(pdf), 1), (time.process_time() - cpu) / (time.perf_counter() - wall))
+    rows = spark.range(1).selectExpr("cast(id as int) fold", "id")
+    (found,) = tsqr.task_factors(rows, design).collect()
+    assert abs(np.frombuffer(found["factor"], "<f8")[0]) < 1.5
