@@ -43,7 +43,8 @@ def test_empty_tables(spark, name):
     assert Q.QUERIES[name](spark, cases.folder(spark, cases.empty_documents(spark))).collect() == []
 
 
-@pytest.mark.parametrize("name", OPS)
+# op11 returns rows per group and item, op13 per conversation (none here): test_audits.py holds both against brute force
+@pytest.mark.parametrize("name", [n for n in OPS if not n.startswith(("op11_", "op13_"))])
 def test_one_row_per_row(spark, odd, odd_docs, name):
     n = 5 if name.startswith("op8") else len(odd_docs)
     assert Q.QUERIES[name](spark, odd).count() == n
