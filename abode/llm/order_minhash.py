@@ -64,6 +64,7 @@ class Settings:
     small: int = 32
     few_links: int = 20         # rounds end at one new link per so many mixed buckets
     cells: int = 1 << 18    # counters of the shingles' frequencies: only the order of a prefix depends on them
+    flags: int = 1 << 24    # 2 MB: cells of prefix tokens that two classes have; what shares one is told apart by exact keys
     seed: int = 20240229
 
 
@@ -262,42 +263,90 @@ def _cell(tokens: np.ndarray, cells: int) -> np.ndarray:
     return (_mix(tokens ^ _MIX) % np.uint64(cells)).astype(np.int64)
 
 
+#: Cells that go into one row of a task's counts and of its marks.
+_STRETCH, _CHUNK = 1 << 9, 1 << 12
+
+
 def _frequencies(sequences: DataFrame, settings: Settings) -> np.ndarray:
-    """How many tokens of all sequences fall into each cell."""
+    """How many tokens of all sequences fall into each cell. A task makes a row per stretch of cells, not per token or cell."""
+    stretch = min(settings.cells, _STRETCH)
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(settings.cells, np.int64)
         for batch in batches:
             for x in batch.column("seq").to_pylist():
                 np.add.at(total, _cell(numbered(np.frombuffer(x, "<u4")), settings.cells), 1)
-        at = np.flatnonzero(total)
-        yield pa.record_batch({"cell": pa.array(at), "n": pa.array(total[at])})
-    found = sequences.select("seq").mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(settings.cells, np.int64)
-    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    return out
-
-
-def _token_bitmap(prefixes: DataFrame, settings: Settings) -> np.ndarray:
-    """Flags of the cells (their number fixed by ``cells``) that the tokens of these prefixes fall into."""
+        parts = total.reshape(-1, stretch)
+        used = np.flatnonzero(parts.any(1))
+        yield pa.record_batch({"part": pa.array(used), "counts": pa.array([x.tobytes() for x in parts[used]], pa.binary())})
+
+    def summed(table: pa.Table) -> pa.Table:
+        total = np.zeros(stretch, np.int64)
+        for x in table.column("counts").to_pylist():
+            total += np.frombuffer(x, np.int64)
+        return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+    found = sequences.select("seq").mapInArrow(counted, "part long, counts binary") \
+        .groupBy("part").applyInArrow(summed, "part long, counts binary").toArrow()
+    out = np.zeros((settings.cells // stretch, stretch), np.int64)
+    for part, counts in zip(found.column("part").to_pylist(), found.column("counts").to_pylist()):
+        out[part] = np.frombuffer(counts, np.int64)
+    return out.ravel()
+
+
+def _met_flags(prefixes: DataFrame, settings: Settings) -> np.ndarray:
+    """Packed flags (their number fixed by ``flags``) of the cells where a ``few`` node may meet one of another class.
+
+    Each task marks the cells of its prefixes' tokens, those of two classes, and
+    those of ``few`` nodes; the tasks' marks are united by stretches of cells. A
+    cell that two tasks mark counts as one of two classes.
+    """
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice, rare = (np.zeros(settings.flags, bool) for _ in range(3))
         for batch in batches:
-            tokens = np.asarray(batch.column("firsts").flatten()).astype(np.int64).view(np.uint64)
-            yield pa.record_batch({"cell": np.unique(_cell(tokens, settings.cells))})
-    found = prefixes.select("firsts").mapInArrow(made, "cell long").distinct().toArrow()
-    out = np.zeros(settings.cells, bool)
-    out[found.column("cell").to_numpy()] = True
-    return out
-
-
-def _meeting(prefixes: DataFrame, bitmap: np.ndarray, settings: Settings) -> DataFrame:
+            firsts = batch.column("firsts")
+            cell = _cell(np.asarray(firsts.flatten()).astype(np.int64).view(np.uint64), settings.flags)
+            size = np.asarray(firsts.value_lengths())
+            label = np.repeat(np.asarray(batch.column("label")), size)
+            rare[cell[np.repeat(np.asarray(batch.column("few")), size)]] = True
+            order = np.lexsort((label, cell))
+            cell, label = cell[order], label[order]
+            new = np.ones(len(cell), bool)
+            new[1:] = cell[1:] != cell[:-1]
+            twice[cell[1:][~new[1:] & (label[1:] != label[:-1])]] = True
+            cell = cell[new]
+            twice[cell[once[cell]]] = True
+            once[cell] = True
+        bits = [np.packbits(x).reshape(-1, _CHUNK // 8) for x in (once, twice, rare)]
+        used = np.flatnonzero(bits[0].any(1))
+        yield pa.record_batch({"chunk": pa.array(used), **{
+            name: pa.array([row.tobytes() for row in x[used]], pa.binary()) for name, x in zip(("once", "twice", "rare"), bits)}})
+
+    def united(table: pa.Table) -> pa.Table:
+        once, twice, rare = (np.zeros(_CHUNK // 8, np.uint8) for _ in range(3))
+        for o, t, r in zip(*(table.column(c).to_pylist() for c in ("once", "twice", "rare"))):
+            o, t, r = (np.frombuffer(x, np.uint8) for x in (o, t, r))
+            twice |= t | once & o
+            once |= o
+            rare |= r
+        return pa.table({"chunk": table.column("chunk")[:1], "flags": pa.array([(twice & rare).tobytes()], pa.binary())})
+    found = prefixes.select("label", "few", "firsts").mapInArrow(made, "chunk long, once binary, twice binary, rare binary") \
+        .groupBy("chunk").applyInArrow(united, "chunk long, flags binary").toArrow()
+    out = np.zeros((settings.flags // _CHUNK, _CHUNK // 8), np.uint8)
+    for chunk, flags in zip(found.column("chunk").to_pylist(), found.column("flags").to_pylist()):
+        out[chunk] = np.frombuffer(flags, np.uint8)
+    return out.ravel()
+
+
+def _meeting(prefixes: DataFrame, flags: np.ndarray, settings: Settings) -> DataFrame:
     """``prefixes`` with only those tokens that fall into a flagged cell."""
-    shared = prefixes.sparkSession.sparkContext.broadcast(bitmap)
+    shared = prefixes.sparkSession.sparkContext.broadcast(flags)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             firsts = batch.column("firsts")
             tokens, size = np.asarray(firsts.flatten()).astype(np.int64), np.asarray(firsts.value_lengths())
-            good = shared.value[_cell(tokens.view(np.uint64), settings.cells)]
+            cell = _cell(tokens.view(np.uint64), settings.flags)
+            good = shared.value[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1 == 1
             row = np.repeat(np.arange(batch.num_rows), size)[good]
             ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
             at = batch.schema.get_field_index("firsts")
@@ -332,7 +381,7 @@ def remaining_pairs(left: DataFrame, table: DataFrame, scratch: Scratch, setting
                                    "firsts": pa.array(firsts, pa.list_(pa.int64()))})
     columns = ", ".join(f"{name} long" for name in ["size", *bits])
     prefixes = scratch.write(sequences.mapInArrow(made, f"node long, label long, few boolean, {columns}, firsts array<long>"), "prefixes")
-    prefixes = _meeting(prefixes, _token_bitmap(prefixes.filter("few"), settings), settings)
+    prefixes = scratch.write(_meeting(prefixes, _met_flags(prefixes, settings), settings).filter(F.size("firsts") > 0), "meeting")
     # of two nodes of different classes one is not in the token's most frequent class
     shared = prefixes.select("label", F.explode("firsts").alias("token")).groupBy("token", "label").agg(F.count(F.lit(1)).alias("n")) \
         .groupBy("token").agg(F.max(F.struct("n", "label"))["label"].alias("top"), F.count(F.lit(1)).alias("classes")) \

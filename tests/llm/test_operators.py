@@ -11,7 +11,7 @@ from abode.llm import (
     dom, html_trees, mixing, order_minhash, prefix_doubling, rendezvous, repair_codec, set_join, suffix_tree, weak_labels,
 )
 from abode.llm import queries as Q
-from abode.llm.common import read_table
+from abode.llm.common import Scratch, read_table
 from tests.llm import brute, cases
 
 OPS = sorted(Q.QUERIES)
@@ -344,6 +344,33 @@ def test_op6_large_buckets_are_compared_whole(spark):
     check([(r["doc_id"], r["class_id"]) for r in got.collect()], list(zip([i for i, _ in docs], want)))
 
 
+def test_op6_tokens_of_one_class_make_no_row(spark):
+    """Prefix tokens stay where a node outside the main class and one of another class have them; no pair is lost."""
+    rng = np.random.default_rng(8)
+    own = rng.choice(1 << 30, (40, 20), replace=False).astype(np.uint32)
+    common = (np.arange(80) + (1 << 31)).astype(np.uint32)
+    seqs = [np.concatenate([common, own[i]]) for i in range(40)]
+    seqs[21][80:92] = seqs[20][80:92]  # two classes, 92 of 100 in common
+    seqs[1][80:92] = seqs[0][80:92]    # one class
+    labels = [7] * 20 + list(range(100, 120))
+    left = spark.createDataFrame([(i, labels[i], labels[i] != 7) for i in range(40)], "node long, label long, few boolean").repartition(3)
+    table = spark.createDataFrame([(i, x.astype("<u4").tobytes()) for i, x in enumerate(seqs)], "node long, seq binary")
+    scratch = Scratch(spark, "test")
+    pairs = order_minhash.remaining_pairs(left, table, scratch, order_minhash.Settings()).collect()
+    assert [(r["a"], r["b"]) for r in pairs] == [(20, 21)]
+    prefixes = {r["node"]: r["firsts"] for r in spark.read.parquet(f"{scratch.base}/prefixes").collect()}
+    classes = defaultdict(set)
+    for i, tokens in prefixes.items():
+        for t in tokens:
+            classes[t].add(labels[i])
+    counts = np.bincount(order_minhash._cell(np.concatenate([order_minhash.numbered(x) for x in seqs]), 1 << 18), minlength=1 << 18)
+    assert (order_minhash._frequencies(table.repartition(3), order_minhash.Settings()) == counts).all()
+    kept = {r["node"]: r["firsts"] for r in spark.read.parquet(f"{scratch.base}/meeting").collect()}
+    met = {i: [t for t in prefixes[i] if len(classes[t]) > 1] for i in prefixes}
+    assert kept == {i: tokens for i, tokens in met.items() if tokens}
+    assert sum(map(len, kept.values())) < sum(map(len, prefixes.values())) / 5
+
+
 def test_op6_prefix_and_bitmap_lose_no_pair():
     rng = np.random.default_rng(3)
     for _ in range(300):
