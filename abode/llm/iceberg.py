@@ -49,6 +49,8 @@ from abode.llm import textbytes as B
 from abode.llm.common import Scratch
 
 UNIT = 1_000_000_000
+#: Counts below this times ``UNIT`` fit into 64 bits.
+_LONG_COUNT = 9_000_000_000
 
 
 @dataclass(frozen=True)
@@ -180,29 +182,40 @@ def _bitmap(prefixes: DataFrame, settings: Settings) -> np.ndarray | None:
 
 def refined_terms(docs: DataFrame, settings: Settings = Settings(), scratch: Scratch | None = None) -> DataFrame:
     """lang, source, term, n: occurrences of each kept term in each source that has it (needs text, lang, source)."""
-    scratch = scratch or Scratch(docs.sparkSession, "iceberg")
+    return kept_terms(docs, settings, scratch or Scratch(docs.sparkSession, "iceberg"))[0].drop("lang_n")
+
+
+def kept_terms(docs: DataFrame, settings: Settings, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(terms, sums): written tables of lang, source, term, n and lang_n (occurrences in the language), and of lang and lang_n per kept term.
+
+    Join keys begin with the prefix: a sort compares the first bytes of its first key, and a language has none that differ.
+    """
     texts = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    done, length, bitmap, kept = 0, settings.first, None, None
+    done, length, bitmap, kept, sums = 0, settings.first, None, None, None
     while True:
         level = scratch.write(_level(texts, done, length, bitmap, settings), f"level-{length}")
         whole = level.filter("whole")
         # written, so that the join shuffles both sides and a term of very many sources can be split
-        enough = scratch.write(whole.groupBy("lang", "prefix").agg(F.sum("docs").alias("docs"))
-                               .filter(F.col("docs") >= settings.least_docs).select("lang", "prefix"), f"enough-{length}")
-        terms = scratch.write(whole.join(enough, ["lang", "prefix"]).select(
-            "lang", "source", F.col("prefix").cast("string").alias("term"), "n"), f"terms-{length}")
+        enough = scratch.write(whole.groupBy("lang", "prefix").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n"))
+                               .filter(F.col("docs") >= settings.least_docs).select("lang", "prefix", "lang_n"), f"enough-{length}")
+        terms = scratch.write(whole.join(enough, ["prefix", "lang"]).select(
+            "lang", "source", F.col("prefix").cast("string").alias("term"), "n", "lang_n"), f"terms-{length}")
         kept = terms if kept is None else kept.unionByName(terms)
+        enough = enough.select("lang", "lang_n")
+        sums = enough if sums is None else sums.unionByName(enough)
         bitmap = _bitmap(level.filter(~F.col("whole") & (F.col("docs") >= settings.least_docs)), settings)
-        scratch.drop(f"level-{length}", f"enough-{length}")
+        scratch.drop(f"level-{length}")
         if bitmap is None:
-            return kept
+            return kept, sums
         done, length = length, 2 * length
 
 
 def _share(count: Column, total: Column, kinds: Column) -> Column:
-    """1 + floor(10^9 (count + 1) / (total + kinds)), exactly."""
+    """1 + floor(10^9 (count + 1) / (total + kinds)), exactly: in 64 bits where the product fits, else in decimals."""
+    count, below = count.cast("long"), total + kinds
     top = (count + 1).cast("decimal(19,0)") * F.lit(UNIT).cast("decimal(10,0)")
-    return F.call_function("div", top, (total + kinds).cast("decimal(19,0)")) + 1
+    return F.when(count < _LONG_COUNT, F.call_function("div", (count + 1) * F.lit(UNIT), below)) \
+        .otherwise(F.call_function("div", top, below.cast("decimal(19,0)"))) + 1
 
 
 def _part(p: Column, q: Column) -> Column:
@@ -229,25 +242,22 @@ def source_divergence(docs: DataFrame, settings: Settings = Settings()) -> DataF
     frequent there than in the language.
     """
     scratch = Scratch(docs.sparkSession, "divergence")
-    terms = scratch.write(refined_terms(docs, settings, scratch), "terms")
+    terms, sums = kept_terms(docs, settings, scratch)
     groups = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
-    by_lang = terms.groupBy("lang", "term").agg(F.sum("n").alias("n"))
-    by_lang = scratch.write(by_lang, "lang-terms")
-    kinds = by_lang.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("lang_total"))
+    kinds = sums.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
     totals = terms.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("has"))
     groups = groups.join(totals, ["lang", "source"], "left").join(kinds, "lang", "left") \
         .na.fill(0, ["total", "has", "v", "lang_total"])
     # p0: share of a kept term that the group does not have
     groups = scratch.write(groups.withColumn("p0", F.when(F.col("v") > 0, _share(F.lit(0), F.col("total"), F.col("v")))), "groups")
     shares = terms.join(groups, ["lang", "source"]).select(
-        "lang", "source", "term", "n", _share(F.col("n"), F.col("total"), F.col("v")).alias("p"), "p0", "lang_total", "v")
+        "lang", "source", "term", _share(F.col("n"), F.col("total"), F.col("v")).alias("p"), "p0",
+        _share(F.col("lang_n"), F.col("lang_total"), F.col("v")).alias("q"))
     shares = scratch.write(shares, "shares")
 
-    overall = by_lang.select("lang", "term", F.col("n").alias("lang_n"))
-    named = shares.join(overall, ["lang", "term"]) \
-        .withColumn("q", _share(F.col("lang_n"), F.col("lang_total"), F.col("v"))).filter("p > q") \
+    named = shares.filter("p > q") \
         .select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _part(F.col("p"), F.col("q")).alias("value"))
-    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
+    order = Window.partitionBy("source", "lang").orderBy(F.desc("value"), "item")
     named = named.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= settings.top_terms)
 
     pairs = _pair_values(shares, groups, scratch)
@@ -284,7 +294,7 @@ def _pair_values(shares: DataFrame, groups: DataFrame, scratch: Scratch) -> Data
     def mended(p: Column, q: Column, p0: Column, q0: Column) -> Column:
         return _part(p, q) - _part(p, q0) - _part(p0, q) + _part(p0, q0)
     # each two sources of a term once, for both directions
-    both = a.join(b, ["lang", "term"]).filter("x < y").groupBy("lang", "x", "y").agg(
+    both = a.join(b, ["term", "lang"]).filter("x < y").groupBy("lang", "x", "y").agg(
         *_sums(mended(px, py, x0, y0), "there"), *_sums(mended(py, px, y0, x0), "back"))
     names = ["mended_upper", "mended_lower"]
     both = scratch.write(both, "both")

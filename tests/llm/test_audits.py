@@ -1,8 +1,10 @@
 """Operators 11 to 13 against brute force, on given and odd tables."""
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from abode.llm import covering, iceberg, turn_repair
 from abode.llm import queries as Q
@@ -41,6 +43,24 @@ def test_op11_shared_bits_change_nothing(spark, odd):
     check(iceberg.refined_terms(docs, iceberg.Settings(first=1, bits=8)).collect(), wanted)
 
 
+def test_op11_shares_of_any_count(spark):
+    """Shares are exact on both sides of the count from which the product needs more than 64 bits."""
+    counts = [0, 1, 7, 8_999_999_999, 9_000_000_000, 9_223_372_036, 10 ** 12 + 7]
+    rows_ = spark.createDataFrame([(c, t) for c in counts for t in (1, 10 ** 12 + 39, 10 ** 15 + 37)], "n long, total long")
+    got = rows_.select("n", "total", iceberg._share(F.col("n"), F.col("total"), F.lit(3)).alias("p")).collect()
+    assert all(r["p"] == 1 + 10 ** 9 * (r["n"] + 1) // (r["total"] + 3) for r in got if r["n"] <= r["total"])
+
+
+def test_op11_sums_by_language(spark, odd):
+    """Terms come with their occurrences in the language, once per term, as sums over its sources."""
+    terms, sums = iceberg.kept_terms(read_table(spark, odd, "documents"), iceberg.Settings(), Scratch(spark, "test"))
+    total = Counter()
+    for r in terms.collect():
+        total[r["lang"], r["term"]] += r["n"]
+    assert total and all(r["lang_n"] == total[r["lang"], r["term"]] for r in terms.collect())
+    assert Counter((r["lang"], r["lang_n"]) for r in sums.collect()) == Counter((k[0], n) for k, n in total.items())
+
+
 def test_op11_levels_discard(spark):
     """A level makes no row below a discarded prefix; prefixes that end inside a character are kept apart."""
     docs = spark.createDataFrame([("zebra zebu éé", "en", "a"), ("zebra éa", "en", "b"), ("zebra ëé quartz", "en", "b"),
