@@ -51,10 +51,14 @@ END, SPACE = 10, 32
 WORD, GRAM = 0, 1
 #: Marks in place of a child: no state, a state that is in the tables only.
 NONE, DEEPER = -1, -2
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 _CHUNK = 1 << 18
-#: Keys that a task holds before it hands its counts on.
-_TALLY = 2_000_000
+#: States whose distributions are smoothed at once.
+_ROWS = 1 << 12
+#: Keys that a task holds before it hands its counts on, and rows of a batch it hands on at once.
+_TALLY, _BATCH = 2_000_000, 1 << 16
+#: Parts in which a tally is merged, so that its working arrays are small beside it.
+_MERGED = 16
 
 
 @dataclass(frozen=True)
@@ -103,7 +107,7 @@ def grams(data: np.ndarray, n: int, depth: int) -> np.ndarray:
 
 
 class Tally:
-    """Counts by key, merged over the slices of a task."""
+    """Counts by key, merged over the slices of a task. Keys are added in ascending order, each once."""
 
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -121,17 +125,28 @@ class Tally:
 
     def take(self) -> tuple[np.ndarray, np.ndarray]:
         """All counts so far; the tally is empty then."""
-        if not self.parts:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        keys, counts = (np.concatenate(x) for x in zip(*self.parts))
-        order, first, _ = B.grouped(keys)
-        self.parts, self.merged = [], 0
-        return keys[order[first]], np.add.reduceat(counts[order], first) if len(first) else counts
-
-
-def _tally_rows(kind: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch({"kind": np.full(len(keys), kind, np.int8), "key": keys.view(np.int64),
-                            "n": counts.astype(np.int64)})
+        parts, self.parts, self.merged = self.parts, [], 0
+        if len(parts) == 1:
+            return parts[0]
+        longest = max((k for k, _ in parts), key=len, default=np.zeros(0, np.uint64))
+        bounds = longest[len(longest) * np.arange(1, _MERGED) // _MERGED] if len(longest) else longest
+        cuts = [[0, *np.searchsorted(k, bounds).tolist(), len(k)] for k, _ in parts]
+        made = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        for i in range(len(bounds) + 1):
+            keys = np.concatenate([np.zeros(0, np.uint64), *(k[c[i]:c[i + 1]] for (k, _), c in zip(parts, cuts))])
+            counts = np.concatenate([np.zeros(0, np.int64), *(n[c[i]:c[i + 1]] for (_, n), c in zip(parts, cuts))])
+            order, first, _ = B.grouped(keys)
+            if len(first):
+                made.append((keys[order[first]], np.add.reduceat(counts[order], first)))
+        del parts
+        return np.concatenate([k for k, _ in made]), np.concatenate([n for _, n in made])
+
+
+def _tally_rows(kind: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(keys), _BATCH):
+        some = keys[a:a + _BATCH]
+        yield pa.record_batch({"kind": np.full(len(some), kind, np.int8), "key": some.view(np.int64),
+                               "n": counts[a:a + _BATCH].astype(np.int64)})
 
 
 def training_counts(df: DataFrame, settings: Settings) -> DataFrame:
@@ -146,10 +161,10 @@ def training_counts(df: DataFrame, settings: Settings) -> DataFrame:
             ends += b.num_rows
             for kind, tally in ((WORD, words), (GRAM, keys)):
                 if tally.size > _TALLY:
-                    yield _tally_rows(kind, *tally.take())
-        yield _tally_rows(WORD, *words.take())
-        yield _tally_rows(GRAM, *keys.take())
-        yield _tally_rows(WORD, np.zeros(1, np.uint64), np.array([ends]))
+                    yield from _tally_rows(kind, *tally.take())
+        yield from _tally_rows(WORD, *words.take())
+        yield from _tally_rows(GRAM, *keys.take())
+        yield from _tally_rows(WORD, np.zeros(1, np.uint64), np.array([ends]))
     made = df.select("text").mapInArrow(count, "kind byte, key long, n long")
     return made.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
@@ -245,14 +260,15 @@ def build_tree(rows: pa.Table, deeper: pa.Table, settings: Settings) -> Tree:
         mine = d == depth
         table = np.zeros((z - a, width))
         np.add.at(table, (at[mine] - a, code[x[mine]]), n[mine])
-        if depth == 0:
-            base = np.full((1, width), 1 / 256)
-        else:
+        if depth:
             parent, symbol = up(states[a:z], depth)
             child[parent, symbol] = np.arange(a, z)
-            base = below[parent - first_below]
-        below, first_below = (table + m * base) / (table.sum(1, keepdims=True) + m), a
-        logp[a:z] = np.log10(below)
+        for i in range(0, z - a, _ROWS):
+            some = slice(i, min(i + _ROWS, z - a))
+            base = below[parent[some] - first_below] if depth else np.full((1, width), 1 / 256)
+            table[some] = (table[some] + m * base) / (table[some].sum(1, keepdims=True) + m)
+            logp[a:z][some] = np.log10(table[some])
+        below, first_below = table, a
         more = _column(deeper, "d") == depth
         if depth and more.any():
             found = _column(deeper, "ctx")[more].astype(np.uint64) | np.uint64(depth << 56)
@@ -267,7 +283,7 @@ def walk(data: np.ndarray, n: int, tree: Tree) -> tuple[np.ndarray, np.ndarray,
     Score i is the log10 probability of symbol i + 1 in the state of its longest suffix within the tree.
     """
     out = np.empty(n - 1)
-    codes = tree.code[data[:n]]
+    codes = tree.code.astype(np.int16)[data[:n]]
     width = tree.child.shape[1]
     child = tree.child.ravel()
     flat = tree.logp.ravel()

@@ -1,5 +1,6 @@
 """The training-data operators against brute force, on given and odd tables."""
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -112,6 +113,27 @@ def test_op2_grams_and_states():
     assert suffix_tree.grams(data, n, 3).tolist() == want
 
 
+def test_op2_tallies_are_merged_and_handed_on_in_parts():
+    """Merging takes little beside the keys themselves, and no batch holds a whole tally."""
+    rng = np.random.default_rng(4)
+    parts = [np.unique(rng.integers(0, 1 << 40, 1_000_000).astype(np.uint64)) for _ in range(2)]
+    parts[1][:1000] = parts[0][:1000]
+    parts[1] = np.unique(parts[1])
+    tally = suffix_tree.Tally()
+    tally.parts = [(k, np.full(len(k), 3)) for k in parts]
+    held = sum(k.nbytes + n.nbytes for k, n in tally.parts)
+    tracemalloc.start()
+    keys, counts = tally.take()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.6 * held
+    want, times = np.unique(np.concatenate(parts), return_counts=True)
+    assert (keys == want).all() and (counts == 3 * times).all() and tally.size == 0
+    rows = list(suffix_tree._tally_rows(suffix_tree.GRAM, keys, counts))
+    assert max(b.num_rows for b in rows) <= 1 << 16 and sum(b.num_rows for b in rows) == len(keys)
+    assert [len(x) for x in suffix_tree.Tally().take()] == [0, 0]
+
+
 def test_op2_tree_is_a_distribution_and_uses_longest_suffix(spark, given):
     from abode.llm.common import Scratch
     docs = read_table(spark, cases.SF, "documents").select("doc_id", "text")
