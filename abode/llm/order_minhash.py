@@ -25,7 +25,9 @@ shingles in common, so two such texts share one of the first of them in any
 common order; the order puts rare ones first. Bounds on the lengths and on the
 number of differing shingles (the differing bits of two parity bitmaps are never
 more) drop pairs that cannot reach 0.8; all other pairs of different classes are
-verified. So no pair of 0.8 or more that shares a bucket is left out, however
+verified. A pair counts at the first prefix shingle that both have: there all
+earlier ones differ, which the bound adds to the bits of the others, so later
+shared shingles make few further rows of it. So no pair of 0.8 or more that shares a bucket is left out, however
 large the bucket.
 
 Verification: two shingle sequences of lengths m and n with c shingles aligned
@@ -248,9 +250,13 @@ def numbered(s: np.ndarray) -> np.ndarray:
     return ranked | (at - start).astype(np.uint64) << np.uint64(32)
 
 
+def _bit(tokens: np.ndarray) -> np.ndarray:
+    return (_mix(tokens) % np.uint64(64 * _BITMAP)).astype(np.int64)
+
+
 def parity_bitmap(tokens: np.ndarray) -> np.ndarray:
     """Two bitmaps differ in at most as many bits as their token sets in tokens."""
-    bits = np.bincount((_mix(tokens) % np.uint64(64 * _BITMAP)).astype(np.int64), minlength=64 * _BITMAP) & 1
+    bits = np.bincount(_bit(tokens), minlength=64 * _BITMAP) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -354,6 +360,63 @@ def _meeting(prefixes: DataFrame, flags: np.ndarray, settings: Settings) -> Data
     return prefixes.mapInArrow(made, prefixes.schema)
 
 
+#: Rows that a task makes of its prefixes at once.
+_PLACES = 1 << 13
+
+
+def _placed(prefixes: DataFrame) -> DataFrame:
+    """A row for each token of ``firsts``: the token, how many of ``firsts`` come before it, and the parity bitmap of
+    all tokens of the text but those."""
+    bits = [f"bits_{k}" for k in range(_BITMAP)]
+    kept = ["node", "label", "size"]
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            firsts = batch.column("firsts")
+            tokens, size = np.asarray(firsts.flatten()).astype(np.int64), np.asarray(firsts.value_lengths())
+            row = np.repeat(np.arange(batch.num_rows), size)
+            before = np.arange(len(tokens)) - np.searchsorted(row, row)
+            whole = np.stack([np.asarray(batch.column(name)) for name in bits], 1).view(np.uint8)
+            at = _bit(tokens.view(np.uint64))
+            byte, change = at >> 3, (128 >> (at & 7)).astype(np.uint8)
+            now = np.zeros(whole.shape[1], np.uint8)
+            for a in range(0, len(tokens), _PLACES):
+                z = min(a + _PLACES, len(tokens))
+                maps = np.empty((z - a, whole.shape[1]), np.uint8)
+                for i in range(a, z):
+                    if before[i] == 0:
+                        now[:] = whole[row[i]]
+                    maps[i - a] = now
+                    now[byte[i]] ^= change[i]
+                words = maps.view(np.int64)
+                yield pa.record_batch({
+                    **{name: batch.column(name).take(pa.array(row[a:z])) for name in kept},
+                    **{name: pa.array(words[:, k]) for k, name in enumerate(bits)},
+                    "token": pa.array(tokens[a:z]), "before": pa.array(before[a:z])})
+    return prefixes.mapInArrow(made, ", ".join(f"{name} long" for name in [*kept, *bits, "token", "before"]))
+
+
+def _met(places: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs (a, b) of nodes of different labels that share a token and may be similar.
+
+    ``places``: as ``_placed`` makes them, with the most frequent label of the
+    token (``top``). At the first token of two nodes all tokens before it are of
+    one of them alone; so a similar pair meets the bound there, if not at others.
+    """
+    columns = [c for c in places.columns if c not in ("token", "top")]
+    few = places.filter("label <> top").select("token", *[F.col(c).alias(f"x_{c}") for c in columns])
+    others = places.select("token", "top", *[F.col(c).alias(f"y_{c}") for c in columns])
+    # the same bound as in ``similar``
+    both = F.col("x_size") + F.col("y_size")
+    least = F.ceil(F.lit(settings.similarity) * both / F.lit(1 + settings.similarity) - F.lit(1e-9))
+    differing = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in columns if c.startswith("bits_")),
+                    F.col("x_before") + F.col("y_before"))
+    return few.join(others, "token").filter(F.col("x_label") != F.col("y_label")) \
+        .filter((F.col("y_label") == F.col("top")) | (F.col("x_label") < F.col("y_label"))) \
+        .filter(F.least("x_size", "y_size") >= least).filter(differing <= both - 2 * least) \
+        .select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
+
+
 def remaining_pairs(left: DataFrame, table: DataFrame, scratch: Scratch, settings: Settings) -> DataFrame:
     """Pairs (a, b) of the nodes ``left`` (node, label, few) with different labels that may be similar; none that is gets lost.
 
@@ -387,19 +450,8 @@ def remaining_pairs(left: DataFrame, table: DataFrame, scratch: Scratch, setting
         .groupBy("token").agg(F.max(F.struct("n", "label"))["label"].alias("top"), F.count(F.lit(1)).alias("classes")) \
         .filter("classes > 1").select("token", "top")
     shared = scratch.write(shared, "tokens")
-    places = prefixes.select("node", "label", "size", *bits, F.explode("firsts").alias("token")).join(shared, "token")
-    places = scratch.write(places, "token-places")
-    few = places.filter("label <> top").drop("top").toDF("token", *[f"x_{c}" for c in ["node", "label", "size", *bits]])
-    others = places.toDF("token", *[f"y_{c}" for c in ["node", "label", "size", *bits]], "top")
-    # the same bound as in ``similar``
-    both = F.col("x_size") + F.col("y_size")
-    least = F.ceil(F.lit(settings.similarity) * both / F.lit(1 + settings.similarity) - F.lit(1e-9))
-    differing = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in bits), F.lit(0))
-    met = few.join(others, "token").filter(F.col("x_label") != F.col("y_label")) \
-        .filter((F.col("y_label") == F.col("top")) | (F.col("x_label") < F.col("y_label"))) \
-        .filter(F.least("x_size", "y_size") >= least).filter(differing <= both - 2 * least)
-    return scratch.write(met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct(),
-                         "remaining")
+    places = scratch.write(_placed(prefixes).join(shared, "token"), "token-places")
+    return scratch.write(_met(places, settings).distinct(), "remaining")
 
 
 def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:

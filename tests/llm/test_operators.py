@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from abode.llm import (
     dom, html_trees, mixing, order_minhash, prefix_doubling, rendezvous, repair_codec, set_join, suffix_tree, weak_labels,
@@ -393,6 +394,34 @@ def test_op6_tokens_of_one_class_make_no_row(spark):
     assert sum(map(len, kept.values())) < sum(map(len, prefixes.values())) / 5
 
 
+def test_op6_pairs_are_made_at_few_shared_tokens(spark, monkeypatch):
+    """Near copies of many classes share most of a prefix; a pair makes a row at its first shared tokens, and none is lost."""
+    rng = np.random.default_rng(5)
+    origin = rng.choice(1 << 30, 200, replace=False).astype(np.uint32)
+    seqs = []
+    for i in range(40):
+        x = origin.copy()
+        at = rng.choice(200, rng.integers(4, 24), replace=False)
+        x[at] = rng.integers(1 << 30, 1 << 31, len(at))
+        seqs.append(x)
+    labels = [7] * 15 + list(range(100, 125))
+    left = spark.createDataFrame([(i, labels[i], labels[i] != 7) for i in range(40)], "node long, label long, few boolean").repartition(3)
+    table = spark.createDataFrame([(i, x.astype("<u4").tobytes()) for i, x in enumerate(seqs)], "node long, seq binary")
+    made, met = [], order_minhash._met
+    monkeypatch.setattr(order_minhash, "_met", lambda places, settings: made.append((places, met(places, settings))) or made[0][1])
+    pairs = order_minhash.remaining_pairs(left, table, Scratch(spark, "test"), order_minhash.Settings()).collect()
+    pairs = {(r["a"], r["b"]) for r in pairs}
+    sets = [set(x.tolist()) for x in seqs]
+    similar = {(i, j) for i in range(40) for j in range(i + 1, 40) if labels[i] != labels[j]
+               and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(similar) > 150 and similar <= pairs
+    places, rows = made[0]
+    common = places.select("node", "label", "token").join(
+        places.select(F.col("node").alias("other"), F.col("label").alias("other_label"), "token"), "token")
+    common = common.filter("node < other and label <> other_label").count()  # rows of pairs that meet at every shared token
+    assert rows.count() < 6 * len(pairs) and rows.count() < common / 3
+
+
 def test_op6_prefix_and_bitmap_lose_no_pair():
     rng = np.random.default_rng(3)
     for _ in range(300):
