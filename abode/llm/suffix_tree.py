@@ -22,9 +22,11 @@ longest suffix of what precedes it. So every text has a probability above 0.
 The states are Spark tables that grow with the corpus. Tasks hold the counts of
 ``heavy_words`` words and the ``top_states`` most frequent states at most (with all
 their suffixes, which are more frequent): 8 bytes a state and distinct symbol, so 135 MB
-at most. A symbol whose longest suffix lies beyond them leaves its task as one row per text and (context,
-symbol); these are joined to the tables of the deeper states, each distinct one is
-smoothed once, and the sums are joined back to the texts. Words beyond ``heavy_words`` are joined by key too.
+at most. A symbol whose longest suffix lies beyond them leaves its task as one row per (context, symbol) and block, a
+run of texts of the task with ``block`` such entries; the texts keep the places of theirs among the rows of their block.
+These are joined to the tables of the deeper states, each distinct one is smoothed once, and each block's texts meet
+its scores once. So a (context, symbol) of many texts costs a row per block, not per text. Words beyond ``heavy_words``
+are joined by key too.
 
 The unigram base score of a text is the sum over its tokens of
 log10((c + 0.1) / (N + 0.1 (V + 1))).
@@ -41,6 +43,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +72,7 @@ class Settings:
     smoothing: float = 8.0
     heavy_words: int = 1 << 18
     top_states: int = 1 << 16
+    block: int = 1 << 20  # entries (text and gram) beyond the tasks' tree whose grams are looked up together
 
 
 def normalised(column: pa.Array) -> np.ndarray:
@@ -434,16 +439,81 @@ def deeper_scores(found: DataFrame, tables: Tables) -> DataFrame:
     return links.select("gram", F.log10(p).alias("logp"))
 
 
+class Block:
+    """Texts of a task and their entries (text, gram and how often) beyond its tree, until they are handed on."""
+
+    def __init__(self) -> None:
+        self.texts: list[pa.RecordBatch] = []
+        self.entries: list[tuple[np.ndarray, ...]] = []
+
+    @property
+    def rows(self) -> int:
+        return sum(t.num_rows for t in self.texts)
+
+    @property
+    def size(self) -> int:
+        return sum(len(e[0]) for e in self.entries)
+
+    def add(self, texts: pa.RecordBatch, text: np.ndarray, keys: np.ndarray, reached: np.ndarray, base: np.ndarray) -> None:
+        """``texts``, and the text, gram, depth and score of each symbol beyond the tree."""
+        order = np.lexsort((keys, text))
+        text, keys = text[order], keys[order]
+        first = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (keys[1:] != keys[:-1])))) \
+            if len(text) else np.zeros(0, np.int64)
+        self.entries.append((text[first] + self.rows, keys[first], np.diff(np.append(first, len(text))).astype(np.int32),
+                             reached[order][first].astype(np.int8), base[order][first]))
+        self.texts.append(texts)
+
+    def take(self, number: int) -> Iterator[dict[str, pa.Array | np.ndarray]]:
+        """Columns of the texts, then of the distinct grams by ``place``; the block is empty then."""
+        n = self.rows
+        texts = pa.Table.from_batches(self.texts).combine_chunks()
+        text, keys, times, reached, base = (np.concatenate(c) for c in zip(*self.entries))
+        self.texts, self.entries = [], []
+        grams, first, place = np.unique(keys, return_index=True, return_inverse=True)
+        bounds = pa.array(np.searchsorted(text, np.arange(n + 1)), pa.int32())
+        yield {c: texts.column(c).combine_chunks() for c in texts.column_names} | {
+            "block": np.full(n, number), "places": pa.ListArray.from_arrays(bounds, pa.array(place, pa.int32())),
+            "times": pa.ListArray.from_arrays(bounds, pa.array(times, pa.int32()))}
+        for a in range(0, len(grams), _BATCH):
+            some = first[a:a + _BATCH]
+            yield {"block": np.full(len(some), number), "gram": grams[a:a + _BATCH].view(np.int64),
+                   "place": np.arange(a, a + len(some), dtype=np.int32), "reached": reached[some].astype(np.int32),
+                   "base": base[some]}
+
+
+def with_deeper(texts: pa.Table, logs: pa.Table) -> pa.Table:
+    """The texts of a block, ``score`` with the scores of their entries; ``logs``: place and logp."""
+    texts = texts.combine_chunks()
+    text = np.repeat(np.arange(texts.num_rows), np.asarray(pc.list_value_length(texts.column("places"))))
+    places, times = (np.asarray(pc.list_flatten(texts.column(c))) for c in ("places", "times"))
+    logp = np.zeros(places.max(initial=-1) + 1)
+    logp[np.asarray(logs.column("place"))] = np.asarray(logs.column("logp"))
+    score = pa.array(np.asarray(texts.column("score")) + np.bincount(text, times * logp[places], texts.num_rows))
+    return texts.drop_columns(["score", "block", "places", "times"]).append_column("score", score)
+
+
 def score(df: DataFrame, model: Model, tables: Tables, scratch: Scratch) -> DataFrame:
     """doc_id, row_key, n_tokens, n_known, train_tokens, base_score and score of each row (doc_id and text)."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     rows = df.select("doc_id", row_key().alias("row_key"), "text")
     id_type = df.schema["doc_id"].dataType.simpleString()
+    most = tables.settings.block
+    types = {"row_key": pa.int64(), "n_tokens": pa.int64(), "heavy": pa.int64(), "heavy_score": pa.float64(),
+             "score": pa.float64(), "block": pa.int64(), "places": pa.list_(pa.int32()), "times": pa.list_(pa.int32()),
+             "gram": pa.int64(), "place": pa.int32(), "reached": pa.int32(), "base": pa.float64()}
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m, block, number, id_kind = shared.value, Block(), TaskContext.get().partitionId() << 32, None
         end_score = float(m.base_log(np.array([m.end_count]))[0])
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            for part in block.take(number):
+                size = len(part["block"])
+                yield pa.record_batch({c: part[c] if c in part else pa.nulls(size, t)
+                                       for c, t in ({"doc_id": id_kind} | types).items()})
         for b in B.slices(batches, "text", _SLICE):
+            id_kind = b.schema.field("doc_id").type
             data = normalised(b.column("text"))
             n = len(data) - B.PAD
             h, doc = word_hashes(data, n)
@@ -452,24 +522,18 @@ def score(df: DataFrame, model: Model, tables: Tables, scratch: Scratch) -> Data
             symbols, at, reached = walk(data, n, m.tree)
             keys, base = grams_at(data, at, ends, m.tree.depth), symbols[at - 1]
             symbols[at - 1] = 0
-            texts = {
+            texts = pa.record_batch({
                 "doc_id": b.column("doc_id"), "row_key": b.column("row_key"),
                 "n_tokens": np.bincount(doc, minlength=b.num_rows) + 1,
                 "heavy": np.bincount(doc[found], minlength=b.num_rows) + int(m.end_count > 0),
                 "heavy_score": np.bincount(doc[found], m.base_log(count[found]), minlength=b.num_rows) + end_score,
-                "score": np.add.reduceat(symbols, ends[:-1])}
-            text = np.searchsorted(ends, at) - 1
-            order = np.lexsort((keys, text))
-            text, keys, base, reached = text[order], keys[order], base[order], reached[order]
-            first = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (keys[1:] != keys[:-1])))) \
-                if len(at) else np.zeros(0, np.int64)
-            left = {"row_key": np.asarray(b.column("row_key"))[text[first]], "gram": keys[first].view(np.int64),
-                    "times": np.diff(np.append(first, len(at))), "reached": reached[first].astype(np.int32), "base": base[first]}
-            types = {"doc_id": b.schema.field("doc_id").type, "row_key": pa.int64(), "n_tokens": pa.int64(), "heavy": pa.int64(),
-                     "heavy_score": pa.float64(), "score": pa.float64(), "gram": pa.int64(), "times": pa.int64(),
-                     "reached": pa.int32(), "base": pa.float64()}
-            for part, size in ((texts, b.num_rows), (left, len(first))):
-                yield pa.record_batch({c: part.get(c, pa.nulls(size, t)) for c, t in types.items()})
+                "score": np.add.reduceat(symbols, ends[:-1])})
+            block.add(texts, np.searchsorted(ends, at) - 1, keys, reached, base)
+            if block.size >= most or block.rows >= _BATCH:
+                yield from handed_on()
+                number += 1
+        if block.texts:
+            yield from handed_on()
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -479,12 +543,16 @@ def score(df: DataFrame, model: Model, tables: Tables, scratch: Scratch) -> Data
             left = ~m.heavy.find(h)[0]
             yield pa.record_batch({"row_key": np.asarray(b.column("row_key"))[doc[left]], "key": h[left].view(np.int64)})
     both = scratch.write(rows.mapInArrow(
-        scored, f"doc_id {id_type}, row_key long, n_tokens long, heavy long, heavy_score double, score double, "
-        "gram long, times long, reached int, base double"), "scored")
-    main = both.filter("gram is null").select("doc_id", "row_key", "n_tokens", "heavy", "heavy_score", "score")
-    found = both.filter("gram is not null").select("row_key", "gram", "times", "reached", "base")
+        scored, f"doc_id {id_type}, row_key long, n_tokens long, heavy long, heavy_score double, score double, block long, "
+        "places array<int>, times array<int>, gram long, place int, reached int, base double"), "scored")
+    main = both.filter("gram is null").select("doc_id", "row_key", "n_tokens", "heavy", "heavy_score", "score",
+                                              "block", "places", "times")
+    found = scratch.read("scored", both).filter("gram is not null").select("block", "place", "gram", "reached", "base")
     logs = scratch.write(deeper_scores(found, tables), "deeper")
-    deep = found.join(logs, "gram").groupBy("row_key").agg(F.sum(F.col("times") * F.col("logp")).alias("deep_score"))
+    logs = found.join(logs, "gram").select("block", "place", "logp")
+    main = main.groupBy("block").cogroup(logs.groupBy("block")).applyInArrow(
+        with_deeper, f"doc_id {id_type}, row_key long, n_tokens long, heavy long, heavy_score double, score double")
+    main = scratch.write(main, "main")
     tail = rows.select("row_key", "text").mapInArrow(rare, "row_key long, key long")
     tail = tail.join(tables.words, "key", "left").select("row_key", F.coalesce("n", F.lit(0)).alias("n"))
     base = F.log10((F.col("n") + 0.1) / F.lit(model.tokens + 0.1 * (model.distinct + 1)))
@@ -492,10 +560,10 @@ def score(df: DataFrame, model: Model, tables: Tables, scratch: Scratch) -> Data
                                        F.sum((F.col("n") > 0).cast("long")).alias("rare"))
     # equal rows share their key: each has its share of the sums
     same = main.groupBy("row_key").agg(F.count(F.lit(1)).alias("same"))
-    tail = tail.join(deep, "row_key", "full").join(same, "row_key")
+    tail = tail.join(same, "row_key")
     part = lambda c, zero: F.coalesce(F.col(c) / F.col("same"), F.lit(zero))
     return main.join(tail, "row_key", "left").select(
         "doc_id", "row_key", "n_tokens", (F.col("heavy") + part("rare", 0).cast("long")).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("heavy_score") + part("rare_score", 0.0)).alias("base_score"),
-        (F.col("score") + part("deep_score", 0.0)).alias("score"))
+        "score")

@@ -210,6 +210,40 @@ def test_op2_equals_plain_tree_wherever_its_states_lie(spark, given, top):
         assert np.isclose(r["score"], want[r["doc_id"]], rtol=2e-4), (r["doc_id"], r["score"], want[r["doc_id"]])
 
 
+@pytest.fixture
+def small_batches(spark):
+    """Python tasks get 50 rows at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 50)
+    yield
+    spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("block", [100, 1 << 20])
+def test_op2_a_gram_beyond_the_tree_is_a_row_per_block(spark, given, block, small_batches):
+    """Many texts with the same grams make no row each; the scores are those of a tree held whole, whatever the blocks."""
+    from abode.llm.common import Scratch
+    texts = [t if t is None else t[:600] for _, t in given[:20]] + [None, ""]
+    copies = [(i, t if t is None else f"{t} {i}") for i, t in enumerate(texts * 30)] + [(0, texts[0]), (0, texts[0])]
+    docs = spark.createDataFrame(copies, "doc_id long, text string").repartition(2)
+    made = {}
+    for top in (1, 1 << 16):
+        scratch = Scratch(spark, "test")
+        settings = suffix_tree.Settings(top_states=top, block=block)
+        model, tables = suffix_tree.fit(docs, scratch, settings)
+        scores = sorted((r["doc_id"], r["row_key"], r["score"]) for r in suffix_tree.score(docs, model, tables, scratch).collect())
+        made[top] = scores, [r["gram"] for r in spark.read.parquet(f"{scratch.base}/scored").collect() if r["gram"] is not None]
+    (some, grams), (whole, none) = made.values()
+    assert [r[:2] for r in some] == [r[:2] for r in whole] and len(some) == len(copies) and not none
+    assert np.allclose([r[2] for r in some], [r[2] for r in whole], rtol=1e-5)
+    assert len(set(grams)) > 1000
+    if block == 1 << 20:
+        assert len(grams) <= 2 * len(set(grams))
+    else:
+        assert len(grams) > 2 * len(set(grams))
+
+
 def test_op2_beats_unigrams_on_held_out(spark):
     rows = [r for r in Q.op2_suffix_tree_score(spark, "/root/testdata/sf0.1").collect() if r["held_out"]]
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
